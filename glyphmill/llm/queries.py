@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["url_filter", "sharding"]
+MODULES = ["url_filter", "sharding", "exact_topk", "ann"]
 
 
 def _gather(what: str) -> dict:
