@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["url_filter", "sharding", "exact_topk", "ann"]
+MODULES = ["packing", "url_filter", "exact_topk", "sharding", "ann"]
 
 
 def _gather(what: str) -> dict:
