@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "url_filter", "exact_topk", "piece_codec", "sharding", "ann"]
+MODULES = ["packing", "url_filter", "shingle_join", "exact_topk", "piece_codec", "sharding", "ann"]
 
 
 def _gather(what: str) -> dict:
