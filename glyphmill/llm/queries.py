@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "url_filter", "shingle_join", "line_dedup", "exact_topk", "piece_codec", "sharding", "ann"]
+MODULES = ["packing", "url_filter", "shingle_join", "line_dedup", "exact_topk", "piece_codec", "sharding", "quality", "ann", "pipeline_query"]
 
 
 def _gather(what: str) -> dict:
