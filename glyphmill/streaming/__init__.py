@@ -1 +1 @@
-"""glyphmill.streaming"""
+"""Structured Streaming twins of the change operators."""
