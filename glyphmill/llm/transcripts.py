@@ -3,7 +3,7 @@
 Each row holds a piece of a transcript: its conversation, its order there, its text, and perhaps a
 speaker marker.  Rows are cut into lines.  A line shows a marker (from the row, or as in ``Human: ...`` at
 its start), whether it opens a row, and its shape (length, question mark, list or code).  Hidden states
-are roles.  The model, transitions between and within rows and the emissions of each role, is counted from
+are roles.  The model, transitions where a row or marker begins and within rows, and the emissions of each role, is counted from
 rows whose marker is a known role, with smoothing.
 
 Viterbi runs on segments of consecutive rows: each segment first gives the matrix of best scores from any
@@ -88,7 +88,7 @@ class Hmm:
         self.marks = log(marks)
 
     def step(self, first: bool, mark: int, shape: int, opening: bool = False) -> np.ndarray:
-        """S x S: score of going from one role to another and showing this line."""
+        """S x S: score of going from one role to another and showing this line; first: it may open a turn."""
         moves = np.broadcast_to(self.start, self.between.shape) if opening else self.between if first else self.within
         return moves + (self.marks[:, mark] + self.shapes[:, shape])[None, :]
 
@@ -96,7 +96,7 @@ class Hmm:
         out = []
         for marks, shapes in rows:
             for i, (m, s) in enumerate(zip(marks, shapes, strict=True)):
-                out.append(self.step(i == 0, m, s, opening and not out))
+                out.append(self.step(i == 0 or m != NONE, m, s, opening and not out))
         return out
 
 
