@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,7 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
         for name in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
+    gc.collect()  # plans that Python still refers to keep their shuffles
     jvm.System.gc()
 
 

@@ -11,10 +11,10 @@ prefix of the set of signatures under a common order), which leaves out those th
 make.  Sets that touch too few parts for the bound also sign with the smallest of their single features.
 Signatures travel as packed arrays dealt by signature; counting and grouping is done on sorted arrays.
 
-Groups of one signature are never expanded to pairs.  First each set is compared with one leader only,
-that with which it shares most signatures; then pivots of groups that still span several components are
-compared with members of other components; what is left after some rounds of that is compared in full,
-component against component.  No candidate is dropped, and all links are verified on whole sets.
+Of the sets that this leaves, those go on most of whose features occur in another such set, as t of either
+side's must.  First each is compared with one leader only, that with which it shares most signatures,
+then, in some rounds, one document of each component in a group with one of the group's largest; what
+still shares a signature across components after that is compared in full.  No candidate is dropped, and all links are verified on whole sets.
 
 Defined results: null, empty or wordless texts have an empty set and link with nothing; texts of fewer
 than five words are one shingle; rows of one id are one node, linked as any of them is; rows without id
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, release, shuffle_parts, staged, table
+from .common import free_name, release, staged, table
 from .graph import components
 from .url_filter import BlockedBloom
 
@@ -42,7 +42,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Ids for which a filter is broadcast ahead of a join (2 bytes each).
 FILTERED_IDS = 5_000_000
 #: Rounds with pivots before what is left is compared in full.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
 #: Parts of a band, as a share of its largest set; small bands get more.
 PART_SHARE, SMALL_BAND, SMALL_SHARE = 0.5, 6, 4
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -97,23 +97,34 @@ def sign(features: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """One binary a row: ``counts[i]`` consecutive 8-byte values each."""
-    offsets = np.concatenate([[0], np.cumsum(counts * 8)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+def _packed(values: np.ndarray, counts: np.ndarray, width: int = 8) -> pa.Array:
+    """One binary a row: ``counts[i]`` consecutive values each, of their lowest ``width`` bytes."""
+    offsets = np.concatenate([[0], np.cumsum(counts * width)]).astype(np.int32)
+    raw = np.ascontiguousarray(np.ascontiguousarray(values, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
-def _unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(col: pa.Array, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """All values of a column of packed arrays, and how many each row has."""
     if not len(col):
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     offsets = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1]
     data = col.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data else np.empty(0, np.uint8)
-    return raw.copy().view(np.uint64), np.diff(offsets) // 8
+    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
+    return out.reshape(-1).view("<u8").astype(np.uint64), np.diff(offsets) // width
+
+
+def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
+    return ((values >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
 UNITS = "bucket int, doc long, band int, n int, p int, sigs binary"
+#: Bytes of a value that travel; with its bucket they tell values apart well enough to find candidates.
+SENT = 5
+#: Text that the signatures of one task may come from; there are LEAST_BUCKETS tasks at least.
+TASK_BYTES, LEAST_BUCKETS = 48 << 20, 32
 
 
 def _units(buckets: int):
@@ -128,7 +139,7 @@ def _units(buckets: int):
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     features = shingles(text)
                     for band, sigs in sign(features):
-                        at = (sigs >> np.uint64(33)) % np.uint64(buckets)
+                        at = _bucket(sigs, buckets)
                         order = np.argsort(at, kind="stable")
                         names, sizes = np.unique(at, return_counts=True)
                         values.append(sigs[order])
@@ -138,19 +149,21 @@ def _units(buckets: int):
                 if values:
                     kinds = (np.int32, np.int64, np.int32, np.int32, np.int32)
                     arrays = [pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*arrays, _packed(np.concatenate(values), np.concatenate(counts))], names=["bucket", "doc", "band", "n", "p", "sigs"])
+                    yield pa.RecordBatch.from_arrays([*arrays, _packed(np.concatenate(values), np.concatenate(counts), SENT)], names=["bucket", "doc", "band", "n", "p", "sigs"])
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch], *names: str) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray] | None:
-    """Of a task: columns by row, all packed values, and the row of each."""
+def _gather(batches: Iterator[pa.RecordBatch], *names: str, width: int = 8) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray] | None:
+    """Of a task: columns by row, all packed values, and the row of each.  Short values get their bucket on top."""
     cols: dict[str, list] = {k: [] for k in names}
     values, counts = [], []
     for b in batches:
         for k in names:
             cols[k].append(b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False))
-        v, c = _unpacked(b.column(b.schema.get_field_index("sigs")))
+        v, c = _unpacked(b.column(b.schema.get_field_index("sigs")), width)
+        if width < 8:
+            v |= np.repeat(b.column(b.schema.get_field_index("bucket")).to_numpy().astype(np.uint64), c) << np.uint64(8 * width)
         values.append(v)
         counts.append(c)
     if not values:
@@ -166,7 +179,7 @@ def _starts(a: np.ndarray) -> np.ndarray:
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Signatures that several documents have, each followed by its count; rows as they came."""
-    got = _gather(batches, "doc", "band", "n", "p")
+    got = _gather(batches, "doc", "band", "n", "p", width=SENT)
     if got is None:
         return
     rows, sigs, row = got
@@ -190,7 +203,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*arrays, _packed(both[2 * ends[lo] : 2 * ends[hi]], 2 * np.diff(ends[lo : hi + 1]))], names=["doc", "band", "n", "p", "sigs"])
 
 
-def _rarest(buckets: int):
+def _rarest():
     """The d + 1 rarest signatures of each document and band, as far as they are shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +224,7 @@ def _rarest(buckets: int):
         nth = np.arange(len(doc)) - np.repeat(first, counts)
         keep = nth < np.repeat(wanted, counts)
         sigs, doc, size = sigs[keep], doc[keep], rows["n"][row[keep]]
-        at = ((sigs >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+        at = (sigs >> np.uint64(8 * SENT)).astype(np.int32)
         order = np.lexsort((at, doc))
         sigs, doc, at, size = sigs[order], doc[order], at[order], size[order]
         if not len(doc):
@@ -226,13 +239,55 @@ def _rarest(buckets: int):
     return run
 
 
+def _dealt(buckets: int):
+    """Features of each set (id, set), one row for each bucket of features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(1)
+            offsets = col.offsets.to_numpy()
+            values = col.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
+            sizes = np.diff(offsets)
+            row, at = np.repeat(np.arange(len(sizes)), sizes), _bucket(values, buckets)
+            order = np.lexsort((at, row))
+            values, row, at = values[order], row[order], at[order]
+            if not len(row):
+                continue
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1])])
+            ids = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int32)), pa.array(ids[row[first]]), pa.array(sizes[row[first]].astype(np.int32)), _packed(values, np.diff(np.r_[first, len(row)]), SENT)], names=["bucket", "doc", "n", "sigs"])
+
+    return run
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, n, and how many of its features here another document has."""
+    got = _gather(batches, "doc", "n", width=SENT)
+    if got is None:
+        return
+    rows, values, row = got
+    doc, n = rows["doc"][row], rows["n"][row]
+    order = np.lexsort((n, doc, values))
+    values, doc, n = values[order], doc[order], n[order]
+    first = _starts(values)
+    counts = np.diff(np.r_[first, len(values)])
+    shared = np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), counts)
+    doc, n = doc[shared], n[shared]
+    order = np.lexsort((n, doc))
+    doc, n = doc[order], n[order]
+    if not len(doc):
+        return
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (n[1:] != n[:-1])])
+    yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(n[first]), pa.array(np.diff(np.r_[first, len(doc)]).astype(np.int64))], names=["doc", "n", "c"])
+
+
 def _near_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)
 
 
 def _pairs(step: int | None):
     """Pairs to compare.  step 0: each document with the leader (smallest id) of its groups, with votes;
-    step k: with a pivot of those of its groups that span components; None: all pairs across components."""
+    step k: in each group, one document of each component with one of the largest; None: all pairs across components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _gather(batches, "doc", "n", "comp")
@@ -240,18 +295,23 @@ def _pairs(step: int | None):
             return
         rows, sigs, row = got
         doc, n, comp = rows["doc"][row], rows["n"][row].astype(np.int64), rows["comp"][row]
-        chosen = doc if not step else mix(doc.view(np.uint64) + ODD[4:] * np.uint64(step))
-        order = np.lexsort((chosen, sigs))
+        if step:  # of each component in a group one document, the same in all groups where it is
+            chosen = mix(doc.view(np.uint64) + ODD[4:] * np.uint64(step))
+            order = np.lexsort((chosen, comp, sigs))
+            sigs, doc, n, comp = sigs[order], doc[order], n[order], comp[order]
+            one = np.r_[True, (sigs[1:] != sigs[:-1]) | (comp[1:] != comp[:-1])]
+            size = np.diff(np.r_[np.flatnonzero(one), len(sigs)])
+            sigs, doc, n, comp = sigs[one], doc[one], n[one], comp[one]
+            order = np.lexsort((comp, -size, sigs))  # the largest component leads
+        else:
+            order = np.lexsort((doc, sigs))
         sigs, doc, n, comp = sigs[order], doc[order], n[order], comp[order]
         first = _starts(sigs)
         counts = np.diff(np.r_[first, len(sigs)])
         if step is not None:
             lead = np.repeat(first, counts)
-            keep = (doc != doc[lead]) & _near_sizes(n, n[lead])
-            if step:
-                keep &= comp != comp[lead]
-            a, b = doc[lead][keep], doc[keep]
-            yield from _counted(np.minimum(a, b) if step else a, np.maximum(a, b) if step else b)
+            keep = (doc != doc[lead]) & (comp != comp[lead]) & _near_sizes(n, n[lead])
+            yield from _counted(doc[lead][keep], doc[keep])
             return
         low, high = np.minimum.reduceat(comp, first), np.maximum.reduceat(comp, first)
         done: list[np.ndarray] = []
@@ -332,51 +392,71 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").where(both * DENOMINATOR >= (F.size("sa") + F.size("sb") - both) * NUMERATOR).select("a", "b").distinct()
 
 
+def _prefixes(texts: DataFrame, buckets: int) -> DataFrame:
+    """bucket, doc, n, sigs: signatures to look up, of the documents that share enough to have a partner."""
+    units = texts.mapInArrow(_units(buckets), UNITS)
+    shared = units.repartition(buckets, "bucket").mapInArrow(_shared, "doc long, band int, n int, p int, sigs binary")
+    return staged(shared.repartition(buckets, "doc").mapInArrow(_rarest(), "bucket int, doc long, n int, sigs binary"), "join-prefix")
+
+
+def _likely(sets: DataFrame, buckets: int) -> DataFrame:
+    """id of the sets most of whose features occur in other sets: a similar pair shares t of either's."""
+    counted = sets.mapInArrow(_dealt(buckets), "bucket int, doc long, n int, sigs binary").repartition(buckets, "bucket").mapInArrow(_common, "doc long, n int, c long")
+    enough = counted.groupBy("doc", "n").agg(F.sum("c").alias("c")).where(F.col("c") * DENOMINATOR >= F.col("n") * NUMERATOR)
+    return staged(enough.select(F.col("doc").alias("id")).distinct(), "join-likely")
+
+
+def _round(step: int | None, prefix: DataFrame, labels: DataFrame | None, tested: DataFrame | None, buckets: int) -> DataFrame:
+    """Pairs (a, b) to compare in this round."""
+    if labels is None:
+        now = prefix.withColumn("comp", F.col("doc"))
+    else:
+        now = prefix.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", "sigs", F.coalesce("label", "doc").alias("comp"))
+    pairs = now.repartition(buckets, "bucket").mapInArrow(_pairs(step), "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    if step == 0:  # one leader for each document, the one it shares most with
+        best = F.max(F.struct("votes", (-F.col("a")).alias("a"))).alias("x")
+        pairs = pairs.groupBy("b").agg(best).select((-F.col("x.a")).alias("a"), "b")
+    else:
+        pairs = pairs.select("a", "b")
+    return staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs")
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after the components that ``links`` connect have become one."""
+    if labels is None:
+        return components(links)
+    named = links.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+    found = components(named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b"))
+    moved = labels.join(found.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return staged(moved.union(found.join(labels.select("node"), "node", "left_anti")), "join-labels")
+
+
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, label) of the documents that link with others; label: the smallest id of its component."""
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    parts = shuffle_parts(spark)
-    buckets = 2 * parts
-    units = texts.mapInArrow(_units(buckets), UNITS)
-    shared = units.repartition(parts, "bucket").mapInArrow(_shared, "doc long, band int, n int, p int, sigs binary")
-    prefix = staged(shared.repartition(parts, "doc").mapInArrow(_rarest(buckets), "bucket int, doc long, n int, sigs binary"), "join-prefix")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-size // TASK_BYTES))
+    prefix = _prefixes(texts, buckets)
     release(spark)
     live = staged(prefix.select(F.col("doc").alias("id")).distinct(), "join-live")
-    sets = staged(only(texts.withColumnRenamed("doc", "id"), "id", live).select("id", _features_column()("text").alias("set")), "join-sets")
+    met = staged(only(texts.withColumnRenamed("doc", "id"), "id", live).select("id", _features_column()("text").alias("set")), "join-sets")
+    release(spark)
+    likely = _likely(met, buckets)
     release(spark)
-    labels = spark.createDataFrame([], "node long, label long")
-    tested = spark.createDataFrame([], "a long, b long")
+    sets = staged(only(met, "id", likely), "join-sets")
+    some = staged(only(prefix, "doc", likely), "join-prefix")
+    release(spark, met, prefix, live)
+    labels = tested = None
     for step in [*range(PIVOT_ROUNDS + 1), None]:
-        own = F.coalesce("label", "doc").alias("comp")
-        now = prefix.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", "sigs", own) if step != 0 else prefix.withColumn("comp", F.col("doc"))
-        pairs = now.repartition(parts, "bucket").mapInArrow(_pairs(step), "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
-        if step == 0:
-            pairs = pairs.groupBy("b").agg(F.max(F.struct("votes", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-        else:
-            pairs = pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "join-pairs")
-        if not pairs.limit(1).count():
-            if step:
-                continue
-            break
-        links = verified(pairs, sets)
-        if step != 0:
-            names = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-            links = links.join(names[0], "a", "left").join(names[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
-        links = staged(links, "join-links")
-        tested = staged(tested.union(pairs.select("a", "b")), "join-tested")
-        if links.limit(1).count():
-            found = components(links)
-            if step == 0:
-                labels = found
-            else:  # components join: old labels are the nodes of the new links
-                moved = labels.join(found.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-                fresh = found.join(labels.select("node"), "node", "left_anti")
-                labels = staged(moved.union(fresh), "join-labels")
-        release(spark, links)
-    release(spark, sets, prefix)
-    return labels
+        pairs = _round(step, some, labels, tested, buckets)
+        links = staged(verified(pairs, sets), "join-links") if pairs.limit(1).count() else None
+        if links is not None and links.limit(1).count():
+            labels = _joined(labels, links)
+        tested = staged(tested.union(pairs), "join-tested") if tested is not None else pairs
+        release(spark)
+    release(spark, sets, some, tested)
+    return labels if labels is not None else spark.createDataFrame([], "node long, label long")
 
 
 def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
