@@ -6,8 +6,8 @@ similar sets must share SHARED words, under length and positional filters; what
 A line is removed if any line before it, in order of (document, line), is similar; of such lines all go,
 also those similar to a line that goes itself.
 
-Rarity: occurrences are counted over all lines in up to 2**24 counters, by hash of the word, and sent to
-the tasks as one byte each (16 MB at most).  Any common order gives right results; counters only make
+Rarity: occurrences are counted over all distinct sets in up to 2**23 counters, by hash of the word, and sent to
+the tasks as half a byte each (4 MB at most).  Any common order gives right results; counters only make
 frequent words come last.  A word whose counter stands at one occurs nowhere else and is not joined.
 
 Frequent words reach a prefix only where many lines are near copies of each other.  Before the join,
@@ -33,10 +33,13 @@ SHARED = 3
 #: Occurrences (as a class, see ``_rarity``) from which on a prefix word is looked up by first line first.
 FREQUENT = 32
 SPACE = r"[\x20\x09-\x0D]+"
+#: Texts whose lower case can only differ in A-Z: there the fast built-in gives the same.
+PLAIN = r"^[\x00-\x7Fà-öø-ÿß\u2010-\u2027]*$"
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(ascii_lower(line), SPACE)), "")
+    lower = F.when(line.rlike(PLAIN), F.lower(line)).otherwise(ascii_lower(line))
+    return F.array_remove(F.array_distinct(F.split(lower, SPACE)), "")
 
 
 def _least_overlap(n: Column) -> Column:
@@ -45,20 +48,31 @@ def _least_overlap(n: Column) -> Column:
 
 
 def _rarity(words: DataFrame, size: int) -> tuple[Column, int]:
-    """Hashed counters of all words, as a binary literal of one byte for each: four times the logarithm."""
-    buckets = 1 << max(10, min(24, (max(1, size) // 64).bit_length()))
+    """Hashed counters of all words, as a binary literal of half a byte for each: the logarithm."""
+    buckets = 1 << max(10, min(23, (max(1, size) // 64).bit_length()))
     bucket = F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int")
-    counts = words.select(F.explode("words").alias("w")).groupBy(bucket.alias("b")).count()
-    level = F.least(F.lit(255), F.floor(F.log2("count") * 4)).cast("int")
-    rows = counts.groupBy(F.floor(F.col("b") / 4096).cast("int").alias("g")).agg(F.array_join(F.collect_list((F.pmod("b", F.lit(4096)) * 256 + level).cast("string")), ",").alias("s"))
-    table = bytearray(buckets)
+    counts = words.select(F.explode(F.split("words", " ")).alias("w")).groupBy(bucket.alias("b")).count()
+    level = F.least(F.lit(15), F.floor(F.log2("count"))).cast("int")
+    rows = counts.groupBy(F.floor(F.col("b") / 4096).cast("int").alias("g")).agg(F.array_join(F.collect_list((F.pmod("b", F.lit(4096)) * 16 + level).cast("string")), ",").alias("s"))
+    table = bytearray(buckets // 2)
     for g, s in rows.toLocalIterator():
         base = g * 4096
         for x in map(int, s.split(",")):
-            table[base + (x >> 8)] = x & 255
+            b = base + (x >> 4)
+            table[b >> 1] |= (x & 15) << (0 if b & 1 else 4)
     return F.lit(bytes(table)), buckets
 
 
+def _ordered(words: Column, rare: Column, buckets: int) -> Column:
+    """Words behind the digit of their counter, in order of both."""
+
+    def keyed(w: Column) -> Column:
+        b = F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")
+        return F.concat(F.substring(F.hex(F.substring(rare, F.shiftright(b, 1) + 1, 1)), b.bitwiseAND(1) + 1, F.lit(1)), w)
+
+    return F.array_sort(F.transform(words, keyed))
+
+
 def similar_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, h, line): the lines that stay, of those with words."""
     base = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).where("text is not null")
@@ -69,41 +83,58 @@ def similar_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     exploded = base.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     # where ids allow, the place of a line is one number; else a struct, which compares and joins alike
     place = F.shiftleft(F.col("doc").cast("long"), 26) + F.col("line") if whole else F.struct("doc", "h", "line")
-    lines = exploded.select(place.alias("at"), _words("s").alias("words")).where(F.size("words") > 0)
+    lines = exploded.select(place.alias("at"), _words(F.col("s")).alias("words")).where(F.size("words") > 0)
     sets = F.sort_array("words")
     keyed = lines.select("at", F.size("words").alias("n"), F.xxhash64(sets).alias("k1"), F.xxhash64(F.lit(1), sets).alias("k2"))
     first = staged(keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at")).select("at", "n"), "lines-first")
-    rare, buckets = _rarity(lines, shape[0] or 0)
-    ordered = F.array_sort(F.transform("words", lambda w: F.concat(F.hex(F.substring(rare, F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int") + 1, 1)), w)))
     longer = first.where(F.col("n") >= SHARED)
-    kept = staged(lines.select("at", F.array_join("words", " ").alias("words")).join(longer.select("at"), "at", "left_semi").select("at", F.split("words", " ").alias("words")).select("at", F.size("words").alias("n"), F.array_join(ordered, " ").alias("words")), "lines-sets")
+    kept = staged(lines.select("at", F.array_join("words", " ").alias("words")).join(longer.select("at"), "at", "left_semi"), "lines-sets")
+    del lines, exploded, keyed
+    release(docs.sparkSession)
+    rare, buckets = _rarity(kept, shape[0] or 0)
+    ordered = _ordered(F.split("words", " "), rare, buckets)
+    n = F.size("words")
+    head = F.slice("words", F.lit(1), (n - _least_overlap(n) + SHARED).cast("int"))
+    level = format(FREQUENT.bit_length() - 1, "X")
+    lead = kept.select("at", ordered.alias("words")).select("at", n.alias("n"), head.alias("head"))
+    # led: whether a frequent word lies in the prefix; by order it is then the last one
+    lead = lead.withColumn("led", F.element_at("head", -1) >= level)
+    words = lead.select("at", "n", "led", F.posexplode("head").alias("p", "w")).where(~F.col("w").startswith("0"))
+    # written once: the counters are spelled out in every plan that refers to them
+    prefix = staged(words.select(F.xxhash64("w").alias("t"), "at", "n", "p", "led", (F.col("w") >= level).alias("frequent")), "lines-prefix")
     release(docs.sparkSession)
-    length = (F.col("n") - _least_overlap(F.col("n")) + SHARED).cast("int")
-    words = kept.select("at", "n", F.posexplode(F.slice(F.split("words", " "), F.lit(1), length)).alias("p", "w"))
-    words = words.where(~F.col("w").startswith("00"))
-    prefix = words.select(F.xxhash64("w").alias("t"), "at", "n", "p", F.substring("w", 1, 2).alias("c"))
 
     def may_match(n: str, p: str, m: str, q: str) -> Column:
         """Length and positional filters for sets of n and m words that share the one at p and q."""
-        fits = (F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR) & (F.least(F.col(n) - F.col(p), F.col(m) - F.col(q)) + F.least(p, q) >= F.ceil((F.col(n) + F.col(m)) * NUMERATOR / (NUMERATOR + DENOMINATOR)))
-        return fits
+        most = F.least(F.col(n) - F.col(p), F.col(m) - F.col(q)) + F.least(p, q)
+        return (F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR) & (most * (NUMERATOR + DENOMINATOR) >= (F.col(n) + F.col(m)) * NUMERATOR)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """x of the pairs (x, y) whose whole sets are similar."""
-        xs = kept.select(F.col("at").alias("x"), F.split("words", " ").alias("xw"))
-        ys = kept.select(F.col("at").alias("y"), F.split("words", " ").alias("yw"))
-        both = F.size(F.array_intersect("xw", "yw"))
-        return pairs.join(xs, "x").join(ys, "y").where(both * DENOMINATOR >= (F.size("xw") + F.size("yw") - both) * NUMERATOR).select("x").distinct()
-
-    level = format(int(4 * (FREQUENT.bit_length() - 1)), "02X")
-    frequent = prefix.where(F.col("c") >= level)
+        xs = kept.select(F.col("at").alias("x"), F.col("words").alias("xw"))
+        ys = kept.select(F.col("at").alias("y"), F.col("words").alias("yw"))
+        a, b = F.split("xw", " "), F.split("yw", " ")
+        both = F.size(F.array_intersect(a, b))
+        return pairs.join(xs, "x").join(ys, "y").where(both * DENOMINATOR >= (F.size(a) + F.size(b) - both) * NUMERATOR).select("x").distinct()
+
+    def count_shared(x: DataFrame, y: DataFrame, looks_up: Column) -> DataFrame:
+        """(x, y): earlier lines y that share SHARED prefix words with x."""
+        x, y = x.select("t", F.col("at").alias("x"), "n", "p", "led"), y.select("t", F.col("at").alias("y"), F.col("n").alias("m"), F.col("p").alias("q"))
+        met = x.join(y, "t").where((F.col("y") < F.col("x")) & may_match("n", "p", "m", "q") & looks_up)
+        return met.groupBy("x", "y").count().where(F.col("count") >= SHARED).select("x", "y")
+
+    frequent = prefix.where("frequent")
     leaders = frequent.groupBy("t").agg(F.min(F.struct("at", "n", "p")).alias("l")).select("t", F.col("l.at").alias("y"), F.col("l.n").alias("m"), F.col("l.p").alias("q"))
     led = frequent.join(leaders, "t").where((F.col("y") < F.col("at")) & may_match("n", "p", "m", "q")).groupBy(F.col("at").alias("x"), "y").count().groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
     settled = staged(verified(led), "lines-settled")
-    open_lines = prefix.join(settled.select(F.col("x").alias("at")), "at", "left_anti").select("t", F.col("at").alias("x"), "n", "p")
-    others = prefix.select("t", F.col("at").alias("y"), F.col("n").alias("m"), F.col("p").alias("q"))
-    pairs = open_lines.join(others, "t").where((F.col("y") < F.col("x")) & may_match("n", "p", "m", "q")).groupBy("x", "y").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).select("x", "y")
-    near = settled.union(verified(pairs)).distinct()
+    release(docs.sparkSession)
+    # lines without frequent words look up all of theirs; the condition refers to both sides, so that it
+    # is not pushed below the exchange and both sides read the same one
+    rare_pairs = staged(count_shared(prefix, prefix, F.when(F.col("led"), -1).otherwise(0) * F.col("m") == 0), "lines-pairs")
+    release(docs.sparkSession)
+    still = prefix.where("led").join(settled.select(F.col("x").alias("at")), "at", "left_anti")
+    near = staged(settled.union(verified(rare_pairs)).union(verified(count_shared(still, prefix, F.lit(True)))).distinct(), "lines-near")
+    release(docs.sparkSession, kept, prefix, settled, rare_pairs)
     stay = first.join(near.select(F.col("x").alias("at")), "at", "left_anti")
     if whole:
         return staged(stay.select(F.shiftright("at", 26).alias("doc"), F.lit(None).cast("long").alias("h"), F.col("at").bitwiseAND((1 << 26) - 1).cast("int").alias("line")), "lines-stay")
