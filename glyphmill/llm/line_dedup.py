@@ -80,10 +80,11 @@ def similar_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     whole = dict(docs.dtypes)[key] in ("bigint", "int") and shape[3] == shape[4] and (shape[1] is None or shape[1] >= 0 and shape[2] < 1 << 36) and (shape[5] or 0) < 1 << 26
     if whole and base.groupBy("doc").count().where("count > 1").limit(1).count():
         whole = False
-    exploded = base.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    # words are made within the generator: as a column of a projection they would be copied into every use
+    exploded = base.select("doc", "h", F.posexplode(F.transform(F.split("text", "\n"), _words)).alias("line", "words"))
     # where ids allow, the place of a line is one number; else a struct, which compares and joins alike
     place = F.shiftleft(F.col("doc").cast("long"), 26) + F.col("line") if whole else F.struct("doc", "h", "line")
-    lines = exploded.select(place.alias("at"), _words(F.col("s")).alias("words")).where(F.size("words") > 0)
+    lines = exploded.select(place.alias("at"), "words").where(F.size("words") > 0)
     sets = F.sort_array("words")
     keyed = lines.select("at", F.size("words").alias("n"), F.xxhash64(sets).alias("k1"), F.xxhash64(F.lit(1), sets).alias("k2"))
     first = staged(keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at")).select("at", "n"), "lines-first")
@@ -93,13 +94,13 @@ def similar_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     release(docs.sparkSession)
     rare, buckets = _rarity(kept, shape[0] or 0)
     ordered = _ordered(F.split("words", " "), rare, buckets)
-    n = F.size("words")
-    head = F.slice("words", F.lit(1), (n - _least_overlap(n) + SHARED).cast("int"))
+    n = F.size(F.split("words", " "))
+    head = F.slice(ordered, F.lit(1), (n - _least_overlap(n) + SHARED).cast("int"))
     level = format(FREQUENT.bit_length() - 1, "X")
-    lead = kept.select("at", ordered.alias("words")).select("at", n.alias("n"), head.alias("head"))
-    # led: whether a frequent word lies in the prefix; by order it is then the last one
-    lead = lead.withColumn("led", F.element_at("head", -1) >= level)
-    words = lead.select("at", "n", "led", F.posexplode("head").alias("p", "w")).where(~F.col("w").startswith("0"))
+    # led: whether a frequent word lies in the prefix; by order it is then the last one.  Ordering stands in
+    # the plan once, within one generator: where two expressions share it, it is copied and done for each
+    told = F.transform(F.array(head), lambda h: F.transform(h, lambda w: F.struct(w.alias("w"), (F.element_at(h, -1) >= level).alias("led"))))
+    words = kept.select("at", n.alias("n"), F.posexplode(F.element_at(told, 1)).alias("p", "x")).select("at", "n", "p", "x.led", "x.w").where(~F.col("w").startswith("0"))
     # written once: the counters are spelled out in every plan that refers to them
     prefix = staged(words.select(F.xxhash64("w").alias("t"), "at", "n", "p", "led", (F.col("w") >= level).alias("frequent")), "lines-prefix")
     release(docs.sparkSession)
