@@ -183,10 +183,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if got is None:
         return
     rows, sigs, row = got
-    order = np.lexsort((rows["doc"][row], sigs))
+    row = row.astype(np.int32)
+    bucket = (sigs >> np.uint64(8 * SENT)).astype(np.int32)
+    for b in np.unique(bucket):  # one at a time: values of two buckets never meet
+        own = bucket == b
+        yield from _shared_of(rows, sigs[own], row[own])
+
+
+def _shared_of(rows: dict[str, np.ndarray], sigs: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(sigs, kind="stable")
     sigs, row = sigs[order], row[order]
-    first = _starts(sigs)
-    sizes = np.diff(np.r_[first, len(sigs)])
+    sizes = np.diff(np.r_[_starts(sigs), len(sigs)])
     keep = np.repeat(sizes > 1, sizes)
     sigs, row, sizes = sigs[keep], row[keep], np.repeat(sizes, sizes)[keep]
     order = np.argsort(row, kind="stable")
@@ -196,9 +203,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     of = row[first]
     both = np.column_stack([sigs, sizes.astype(np.uint64)]).ravel()
+    ends = np.r_[first, len(row)]
     for lo in range(0, len(first), 20_000):
         hi = min(lo + 20_000, len(first))
-        ends = np.r_[first, len(row)]
         arrays = [pa.array(rows[k][of[lo:hi]]) for k in ("doc", "band", "n", "p")]
         yield pa.RecordBatch.from_arrays([*arrays, _packed(both[2 * ends[lo] : 2 * ends[hi]], 2 * np.diff(ends[lo : hi + 1]))], names=["doc", "band", "n", "p", "sigs"])
 
@@ -395,13 +402,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _prefixes(texts: DataFrame, buckets: int) -> DataFrame:
     """bucket, doc, n, sigs: signatures to look up, of the documents that share enough to have a partner."""
     units = texts.mapInArrow(_units(buckets), UNITS)
-    shared = units.repartition(buckets, "bucket").mapInArrow(_shared, "doc long, band int, n int, p int, sigs binary")
+    # twice as many tasks as buckets, so that few tasks get several
+    shared = units.repartition(2 * buckets, "bucket").mapInArrow(_shared, "doc long, band int, n int, p int, sigs binary")
     return staged(shared.repartition(buckets, "doc").mapInArrow(_rarest(), "bucket int, doc long, n int, sigs binary"), "join-prefix")
 
 
 def _likely(sets: DataFrame, buckets: int) -> DataFrame:
     """id of the sets most of whose features occur in other sets: a similar pair shares t of either's."""
-    counted = sets.mapInArrow(_dealt(buckets), "bucket int, doc long, n int, sigs binary").repartition(buckets, "bucket").mapInArrow(_common, "doc long, n int, c long")
+    counted = sets.mapInArrow(_dealt(buckets), "bucket int, doc long, n int, sigs binary").repartition(2 * buckets, "bucket").mapInArrow(_common, "doc long, n int, c long")
     enough = counted.groupBy("doc", "n").agg(F.sum("c").alias("c")).where(F.col("c") * DENOMINATOR >= F.col("n") * NUMERATOR)
     return staged(enough.select(F.col("doc").alias("id")).distinct(), "join-likely")
 
@@ -412,7 +420,7 @@ def _round(step: int | None, prefix: DataFrame, labels: DataFrame | None, tested
         now = prefix.withColumn("comp", F.col("doc"))
     else:
         now = prefix.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", "sigs", F.coalesce("label", "doc").alias("comp"))
-    pairs = now.repartition(buckets, "bucket").mapInArrow(_pairs(step), "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    pairs = now.repartition(2 * buckets, "bucket").mapInArrow(_pairs(step), "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     if step == 0:  # one leader for each document, the one it shares most with
         best = F.max(F.struct("votes", (-F.col("a")).alias("a"))).alias("x")
         pairs = pairs.groupBy("b").agg(best).select((-F.col("x.a")).alias("a"), "b")
