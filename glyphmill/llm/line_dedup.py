@@ -32,6 +32,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 SHARED = 3
 #: Occurrences (as a class, see ``_rarity``) from which on a prefix word is looked up by first line first.
 FREQUENT = 32
+#: Pairs that are broadcast to be verified; more are shuffled.
+MAX_BROADCAST_PAIRS = 1_000_000
 SPACE = r"[\x20\x09-\x0D]+"
 #: Texts whose lower case can only differ in A-Z: there the fast built-in gives the same.
 PLAIN = r"^[\x00-\x7Fà-öø-ÿß\u2010-\u2027]*$"
@@ -111,12 +113,14 @@ def similar_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
         return (F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR) & (most * (NUMERATOR + DENOMINATOR) >= (F.col(n) + F.col(m)) * NUMERATOR)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """x of the pairs (x, y) whose whole sets are similar."""
-        xs = kept.select(F.col("at").alias("x"), F.col("words").alias("xw"))
-        ys = kept.select(F.col("at").alias("y"), F.col("words").alias("yw"))
+        """x of the pairs (x, y) whose whole sets are similar.  Few pairs are sent to the lines, so these stay in place."""
+        pairs = staged(pairs.select("x", "y"), "lines-candidates")
+        sent = F.broadcast(pairs) if pairs.count() <= MAX_BROADCAST_PAIRS else pairs
+        xs = sent.join(kept.select(F.col("at").alias("x"), F.col("words").alias("xw")), "x")
+        ys = sent.join(kept.select(F.col("at").alias("y"), F.col("words").alias("yw")), "y")
         a, b = F.split("xw", " "), F.split("yw", " ")
         both = F.size(F.array_intersect(a, b))
-        return pairs.join(xs, "x").join(ys, "y").where(both * DENOMINATOR >= (F.size(a) + F.size(b) - both) * NUMERATOR).select("x").distinct()
+        return xs.join(ys, ["x", "y"]).where(both * DENOMINATOR >= (F.size(a) + F.size(b) - both) * NUMERATOR).select("x").distinct()
 
     def count_shared(x: DataFrame, y: DataFrame, looks_up: Column) -> DataFrame:
         """(x, y): earlier lines y that share SHARED prefix words with x."""
@@ -134,8 +138,10 @@ def similar_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     rare_pairs = staged(count_shared(prefix, prefix, F.when(F.col("led"), -1).otherwise(0) * F.col("m") == 0), "lines-pairs")
     release(docs.sparkSession)
     still = prefix.where("led").join(settled.select(F.col("x").alias("at")), "at", "left_anti")
-    near = staged(settled.union(verified(rare_pairs)).union(verified(count_shared(still, prefix, F.lit(True)))).distinct(), "lines-near")
-    release(docs.sparkSession, kept, prefix, settled, rare_pairs)
+    more = staged(count_shared(still, prefix, F.lit(True)), "lines-pairs")
+    release(docs.sparkSession, prefix)
+    near = staged(settled.union(verified(rare_pairs.union(more))).distinct(), "lines-near")
+    release(docs.sparkSession, kept, settled, rare_pairs, more)
     stay = first.join(near.select(F.col("x").alias("at")), "at", "left_anti")
     if whole:
         return staged(stay.select(F.shiftright("at", 26).alias("doc"), F.lit(None).cast("long").alias("h"), F.col("at").bitwiseAND((1 << 26) - 1).cast("int").alias("line")), "lines-stay")
