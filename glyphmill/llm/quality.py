@@ -1,7 +1,8 @@
 """Quality classifier: document evidence combined with posteriors of its host and path.
 
-A logistic model over byte shares, repetition and learned word features is fitted on a bounded sample of
-labelled documents and scores every document.  Grouped aggregation then estimates, by analysis of
+Two logistic models, of quality and of not being toxic, over byte shares, repetition and hashed words and
+word beginnings of the whole text are fitted on a bounded sample of labelled documents; the product of
+their chances scores every document.  Grouped aggregation then estimates, by analysis of
 variance, how much hosts differ from each other and paths from their hosts; each host's mean score is
 shrunk towards the global mean and each path's towards its host's, the more so the fewer documents it
 has.  A document's own score is left out of its site's.  Its log odds are its own plus what its path's
@@ -16,8 +17,12 @@ rows each count for their site and are judged alike; other columns pass through;
 
 from __future__ import annotations
 
+import functools
+import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -28,8 +33,14 @@ from .common import free_name, staged, table
 
 #: Labelled documents that the model is fitted on, those of the smallest hashes.
 SAMPLE = 8000
-#: Words that become features, those that tell most.
-VOCABULARY = 96
+#: Buckets that words and word beginnings are hashed into, a power of two.
+BUCKETS = 1 << 18
+#: Lengths of word beginnings.
+BEGINNINGS = range(3, 8)
+#: Entries that the fit works on at a time.
+BLOCK = 1 << 20
+#: Labelled documents that must hold a bucket for it to count: what one or two hold tells nothing of others.
+LEAST_ROWS = 3
 #: Share of odds below which a document is rejected.
 LEAST = 0.5
 #: Sites that are broadcast in the join back; more are shuffled.
@@ -49,79 +60,148 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 
 
-def features(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
+@functools.lru_cache(maxsize=100_000)
+def openings(head: str) -> tuple[int, ...]:
+    """Buckets of a word's beginnings, which its first letters give."""
+    return tuple(crc32(b"^" + head[:k].encode()) & (BUCKETS - 1) for k in BEGINNINGS if len(head) >= k)
+
+
+@functools.lru_cache(maxsize=100_000)
+def buckets(word: str) -> tuple[int, ...]:
+    """Buckets of a word, of the word without outer punctuation, and of that one's beginnings."""
+    bare = word.strip(string.punctuation)
+    whole = (crc32(word.encode()) & (BUCKETS - 1),)
+    if bare != word:
+        whole = (*whole, crc32(b"=" + bare.encode()) & (BUCKETS - 1))
+    return whole + openings(bare[: BEGINNINGS[-1]])
+
+
+def marks(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that the words of a whole text fall into, and the logarithm of how often."""
+    met = Counter(chain.from_iterable(map(buckets, (text or "").lower().split())))
+    return np.fromiter(met.keys(), dtype=np.int32, count=len(met)), np.log2(1 + np.fromiter(met.values(), dtype=np.float32, count=len(met)))
+
+
+def features(text: str | None) -> np.ndarray:
+    """Byte shares, repetition and length."""
     raw = (text or "").encode()
     words = raw.lower().split()
     n = max(1, len(words))
     shares = np.sqrt((np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256) @ CLASSES) / max(1, len(raw)))
-    distinct = set(words)
     again = sum(map(bytes.__eq__, words, words[1:])) / n
-    marked = np.zeros(len(vocabulary))
-    for w in distinct:
-        i = vocabulary.get(w)
-        if i is not None:
-            marked[i] = 1
-    dense = [len(distinct) / n, np.sqrt(again), np.log1p(n), len(raw) / n / 10]
-    return np.concatenate([shares, dense, marked])
-
-
-def choose_words(texts: list[str | None], good: np.ndarray, size: int = VOCABULARY) -> dict[str, int]:
-    """The words whose presence has the largest chi-square with the label, of those in eight documents or more."""
-    met = Counter()
-    met_good = Counter()
-    for t, g in zip(texts, good, strict=True):
-        words = set((t or "").encode().lower().split())
-        met.update(words)
-        if g:
-            met_good.update(words)
-    n, n_good = len(texts), int(good.sum())
-    scored = []
-    for w, c in met.items():
-        if c >= 8:
-            expected = c * n_good / n
-            spread = expected * (1 - n_good / n) * (1 - c / n)
-            scored.append(((met_good[w] - expected) ** 2 / max(spread, 1e-9), w))
-    scored = [x for x in scored if x[0] > 12]
-    return {w: i for i, (_, w) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:size])}
+    return np.concatenate([shares, [len(set(words)) / n, np.sqrt(again), np.log1p(n), len(raw) / n / 10]])
+
+
+def logistic(at: np.ndarray, value: np.ndarray, row: np.ndarray, k: int, x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of k buckets and of the columns of ``x``; entries (row, at, value) are scaled by how differently both kinds of rows hold a bucket."""
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(at), BLOCK)]  # entries at a time, as bincount copies what it is given
+    held, held_1 = np.bincount(at, minlength=k), np.zeros(k)
+    for s in blocks:
+        held_1 += np.bincount(at[s], weights=y[row[s]], minlength=k)
+    scale = np.abs(np.log((held_1 + 0.5) / (y.sum() + 1)) - np.log((held - held_1 + 0.5) / ((1 - y).sum() + 1)))
+
+    def times(w):
+        out, scaled = x @ w[k:], w[:k] * scale
+        for s in blocks:
+            out += np.bincount(row[s], weights=scaled[at[s]] * value[s], minlength=len(y))
+        return out
+
+    def back(r):
+        out = np.zeros(k)
+        for s in blocks:
+            out += np.bincount(at[s], weights=r[row[s]] * value[s], minlength=k)
+        return np.concatenate([out * scale, x.T @ r])
+
+    w = np.zeros(k + x.shape[1])
+    penalty = np.full(len(w), ridge)
+    penalty[k:], penalty[-1] = 2.0, 1e-6
+    before = 1 / (penalty + 1)
+    for _ in range(rounds):  # Newton, each step by conjugate gradients
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        g = back(y - p) - penalty * w
+        step, r = np.zeros_like(w), g.copy()
+        q = r * before
+        size = first = r @ q
+        for _ in range(25):
+            if size <= 1e-4 * first or size < 1e-12:
+                break
+            curved = back(np.maximum(p * (1 - p), 1e-6) * times(q)) + penalty * q
+            by = size / (q @ curved)
+            step += by * q
+            r -= by * curved
+            size, last = r @ (r * before), size
+            q = r * before + size / last * q
+        w += step
+        if np.abs(step).max() < 1e-2:
+            break
+    return w[:k] * scale, w[k:]
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, int], centre: np.ndarray, scale: np.ndarray, weights: np.ndarray, bias: float):
-        self.vocabulary, self.centre, self.scale, self.weights, self.bias = vocabulary, centre, scale, weights, bias
+    """Log odds of quality and of not being toxic, each by its own weights; a label of one value only counts for nothing."""
+
+    def __init__(self, centre: np.ndarray, scale: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]):
+        self.centre, self.scale, self.parts = centre, scale, parts
 
     @classmethod
-    def fit(cls, texts: list[str | None], good: np.ndarray, ridge: float = 2.0, rounds: int = 30) -> Model:
-        good = np.asarray(good, dtype=bool)
+    def fit(cls, texts: list[str | None], quality: np.ndarray, toxic: np.ndarray, ridge: float = 3.0) -> Model:
+        quality, harmless = np.asarray(quality, dtype=float), 1 - np.asarray(toxic, dtype=float)
+        good = quality * harmless > 0
         if not len(good) or good.all() or not good.any():
-            return cls({}, np.zeros(0), np.ones(0), np.zeros(0), 0.0)
-        vocabulary = choose_words(texts, good)
-        x = np.array([features(t, vocabulary) for t in texts])
+            return cls(np.zeros(0), np.ones(0), [])
+        x = np.array([features(t) for t in texts])
         centre, scale = x.mean(axis=0), x.std(axis=0)
         scale[scale < 1e-9] = 1
         x = np.column_stack([np.clip((x - centre) / scale, -8, 8), np.ones(len(x))])
-        w = np.zeros(x.shape[1])
-        penalty = np.full(len(w), ridge)
-        penalty[-1] = 1e-6
-        for _ in range(rounds):  # Newton
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (good - p) - penalty * w)
-            w += step
-            if np.abs(step).max() < 1e-6:
-                break
-        return cls(vocabulary, centre, scale, w[:-1], float(w[-1]))
+        marked = [marks(t) for t in texts]
+        buckets.cache_clear()
+        openings.cache_clear()
+        held = np.zeros(BUCKETS, dtype=np.int32)
+        for at, _ in marked:
+            held[at] += 1
+        some = np.flatnonzero(held >= LEAST_ROWS)
+        place = np.full(BUCKETS, -1, dtype=np.int32)
+        place[some] = np.arange(len(some))
+        for i, (at, value) in enumerate(marked):
+            use = place[at] >= 0
+            marked[i] = place[at[use]], value[use]
+        row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(m[0]) for m in marked])
+        at, value = (np.concatenate([m[i] for m in marked]) for i in (0, 1))
+        del marked
+        parts = []
+        for y in (quality, harmless):
+            if 0 < y.sum() < len(y):
+                learned = np.zeros(BUCKETS, dtype=np.float32)
+                learned[some], dense = logistic(at, value, row, len(some), x, y, ridge)
+                parts.append((learned, dense))
+        return cls(centre, scale, parts)
 
     def log_odds(self, texts: list[str | None]) -> np.ndarray:
-        if not len(self.weights):
+        """Log odds of both at once: of the product of the two chances."""
+        if not self.parts:
             return np.zeros(len(texts))
-        x = np.array([features(t, self.vocabulary) for t in texts]).reshape(len(texts), -1)
-        return np.clip(np.clip((x - self.centre) / self.scale, -8, 8) @ self.weights + self.bias, -30, 30)
+        x = np.array([features(t) for t in texts]).reshape(len(texts), -1)
+        x = np.column_stack([np.clip((x - self.centre) / self.scale, -8, 8), np.ones(len(x))])
+        marked = [marks(t) for t in texts]
+        chance = np.zeros(len(texts))
+        for learned, dense in self.parts:
+            odds = np.array([learned[at] @ value for at, value in marked]) + x @ dense
+            chance -= np.logaddexp(0, -np.clip(odds, -30, 30))
+        chance = np.minimum(chance, -1e-13)
+        return np.clip(chance - np.log(-np.expm1(chance)), -30, 30)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    known = labels.where("quality is not null and toxic is not null").groupBy(F.col(key).alias("k")).agg(F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("good"))
+    known = labels.where("quality is not null and toxic is not null").groupBy(F.col(key).alias("k")).agg(F.min(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("quality"), F.max(F.when(F.col("toxic") == 0, 0).otherwise(1)).alias("toxic"))
     few = known.orderBy(F.xxhash64("k"), "k").limit(sample)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(few), "k").select("k", "t", "good").orderBy("k", "t").limit(sample).collect()
-    return Model.fit([r["t"] for r in rows], np.array([r["good"] == 1 for r in rows]))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(few), "k").select("k", "t", "quality", "toxic").orderBy("k", "t").limit(sample).collect()
+    return Model.fit([r["t"] for r in rows], np.array([r["quality"] for r in rows]), np.array([r["toxic"] for r in rows]))
+
+
+def toxic_recall(judged: DataFrame, labels: DataFrame, by: str = "lang", key: str = "doc_id") -> DataFrame:
+    """Toxic documents of ``labels`` in what ``classify`` returns, and how many of them it rejects, by language."""
+    toxic = labels.where("toxic = 1").select(key).distinct()
+    return judged.join(toxic, key, "left_semi").groupBy(by).agg(F.count("*").alias("toxic"), F.count_if(~F.col("keep")).alias("rejected"))
 
 
 def _spread(groups: DataFrame, mean: str = "mean_above") -> float:
@@ -139,8 +219,8 @@ def _spread(groups: DataFrame, mean: str = "mean_above") -> float:
     return max(1.0, within / between)
 
 
-def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text: str = "text", least: float = LEAST) -> DataFrame:
-    """``docs`` with p_document, p_host, p_path, p_good and keep (they replace columns of those names)."""
+def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text: str = "text", least: float = LEAST, keep_text: bool = True) -> DataFrame:
+    """``docs`` with p_document, p_host, p_path, p_good and keep (they replace columns of those names); without ``text`` if so asked."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
@@ -151,8 +231,9 @@ def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "l
 
     odds = free_name(docs, "odds")
     scored = docs.withColumn(odds, score(F.col(text)))
+    scored = staged(scored if keep_text else scored.drop(text), "quality-odds")  # both uses below read one scoring
     p = 1 / (1 + F.exp(-F.col(odds)))
-    paths = staged(docs.select(F.col(host).alias("host"), F.col(path).alias("path"), score(F.col(text)).alias(odds)).groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")), "quality-paths")
+    paths = staged(scored.select(F.col(host).alias("host"), F.col(path).alias("path"), odds).groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")), "quality-paths")
     hosts = paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in "nsq"))
     total = hosts.agg(F.sum("n"), F.sum("s")).first()
     mean = (total[1] or 0.0) / total[0] if total[0] else 0.5
@@ -171,14 +252,14 @@ def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "l
     p_path = bound((F.col("ps") - p + worth_path * p_host) / (F.col("pn") - 1 + worth_path))
     p_good = 1 / (1 + F.exp(-(F.col(odds) + logit(p_path) - float(np.log(mean / (1 - mean))))))
     made = {"p_document": p, "p_host": p_host, "p_path": p_path, "p_good": p_good, "keep": p_good >= least}
-    others = [scored[c] for c in docs.columns if c.lower() not in made]
+    others = [scored[c] for c in scored.columns if c != odds and c.lower() not in made]
     return joined.select(*others, *(c.alias(k) for k, c in made.items()))
 
 
 def op8_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return classify(docs.select("doc_id", "text", "lang", "source"), model).select("doc_id", "source", "lang", "p_document", "p_host", "p_path", "p_good", "keep")
+    return classify(docs.select("doc_id", "text", "lang", "source"), model, keep_text=False).select("doc_id", "source", "lang", "p_document", "p_host", "p_path", "p_good", "keep")
 
 
 QUERIES = {"op8_quality": op8_quality}

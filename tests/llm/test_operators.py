@@ -371,6 +371,27 @@ def test_quality_on_held_out_rows(spark):
     assert sum(k for k, g in held if g) >= 0.98 * sum(g for _, g in held)
 
 
+def test_toxic_families_of_rare_words_are_found_in_every_language(spark):
+    rng = random.Random(5)
+    syllables = {"en": ["the", "ing", "er", "an"], "fr": ["eux", "oi", "en", "que"], "de": ["ung", "ei", "ch", "er"]}
+    families = {"en": "troll", "fr": "vequ", "de": "lowei"}
+    rows, labels = [], []
+    for i in range(900):
+        lang = rng.choice(list(syllables))
+        word = lambda k, lang=lang: "".join(rng.choice(syllables[lang]) for _ in range(k))
+        words, toxic = [word(rng.randint(1, 4)) for _ in range(rng.randint(30, 60))], i % 8 == 0
+        if toxic:  # words that few other documents hold
+            words[5:7] = [families[lang] + word(rng.randint(1, 3)) for _ in range(2)]
+        rows.append((i, " ".join(words), lang, "src", 1, 1, "x"))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, DOCS)
+    schema = "doc_id long, quality int, toxic int"
+    out = quality.classify(docs, quality.fit(docs, spark.createDataFrame(labels[:600], schema)))
+    found = quality.toxic_recall(out, spark.createDataFrame(labels[600:], schema)).collect()
+    assert {r["lang"] for r in found} == set(families)
+    assert all(r["rejected"] >= 0.9 * r["toxic"] for r in found)
+
+
 def test_site_posteriors_by_hand(spark):
     rows, labels = junk_corpus(120)
     docs = spark.createDataFrame(rows, DOCS)
