@@ -1,163 +1,182 @@
 """Line dedup by exact set-similarity join, in DataFrame functions only.
 
-A line's set holds its distinct words, A-Z lower-cased.  Lines whose sets are equal meet in one grouping.
-Of each set the first line goes on: its words are ordered by rarity and joined on the prefixes in which
-similar sets must share SHARED words, under length and positional filters; what is left is verified on whole sets.
-A line is removed if any line before it, in order of (document, line), is similar; of such lines all go,
-also those similar to a line that goes itself.
-
-Rarity: occurrences are counted over all distinct sets in up to 2**23 counters, by hash of the word, and sent to
-the tasks as half a byte each (4 MB at most).  Any common order gives right results; counters only make
-frequent words come last.  A word whose counter stands at one occurs nowhere else and is not joined.
-
-Frequent words reach a prefix only where many lines are near copies of each other.  Before the join,
-each line with such words is compared with the first line that has them; lines found similar are settled
+A line's set holds the 64-bit hashes of its distinct words, A-Z lower-cased.  Lines of equal text meet in one
+grouping and the first goes on.  Its words are ordered by rarity.  Two sets of n and m words that are similar share
+c = 3(n + m) / 7 words at least; the words that only one has, e = n + m - 2c at most, cannot part all of the first
+e + 2 shared words in the order, so two shared words stand side by side in both, within the first n - c + e + 2 and
+m - c + e + 2.  The join is on such neighbours: a line looks up each pair of neighbours of its prefix, which is
+far rarer than a word.  Length, prefix and positional filters hold for each pair of lines, and 64 parity bits of
+either set bound what they do not share; what is left is verified on whole sets.  A line is removed if any line before it, in order of (document, line), is similar; of such lines
+all go, also those similar to a line that goes itself.
+
+Rarity: occurrences are counted over all sets in up to 2**21 counters, by hash of the word, and sent to the
+tasks as a byte each (2 MB at most).  Any common order gives right results; counters only make frequent words
+come last.  A word whose counter stands at one occurs nowhere else, and its pairs are not looked up.
+
+Each line is first compared with the first lines that have its pairs of neighbours; lines found similar are settled
 and look up nothing more, so large groups of near copies do not meet pair by pair.
 
 Defined results: lines end at line feeds; lines without words stay; a null text stays null; a text that
 loses all lines is empty; n_chars, if there, is the new length.  Null ids come first; rows with equal id
 and text share their places, so all of them keep what the first keeps.  Other columns pass through; an empty table
-gives no rows.
+gives no rows.  Very long texts and lines are split into rows before anything is compared.
 """
 
 from __future__ import annotations
 
+import zlib
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, free_name, release, staged, table
+from .common import LOWER, UPPER, free_name, release, staged, table
 
 NUMERATOR, DENOMINATOR = 75, 100
-#: Words that two prefixes must share.  Sets of fewer words are similar only if equal.
-SHARED = 3
-#: Occurrences (as a class, see ``_rarity``) from which on a prefix word is looked up by first line first.
-FREQUENT = 32
 #: Pairs that are broadcast to be verified; more are shuffled.
 MAX_BROADCAST_PAIRS = 1_000_000
-SPACE = r"[\x20\x09-\x0D]+"
-#: Texts whose lower case can only differ in A-Z: there the fast built-in gives the same.
+WORD, SPACES = r"[^\x20\x09-\x0D]", "\t\n\x0b\x0c\r"
+#: Lines whose lower case can only differ in A-Z: there the fast built-in gives the same.
 PLAIN = r"^[\x00-\x7Fà-öø-ÿß\u2010-\u2027]*$"
+#: Hashes of words are few and repeat; in a dictionary they take a third of the room.
+DICTIONARY = {"parquet.dictionary.page.size": str(16 << 20)}
+#: A word's hash has KEY_BITS; its counter goes by the upper ones, and its code has the level above LOW_BITS.
+KEY_BITS, LOW_BITS = 53, 31
+#: Levels of a counter for each doubling, and the most there are.
+STEPS, LEVELS = 4, 128
+#: The byte of each level.  crc32 is the built-in that makes a number of a byte at once: in this order its upper
+#: bits, which lie above those of a hash, rise.
+LEVEL_BYTES = sorted({zlib.crc32(bytes([b])) >> (KEY_BITS - LOW_BITS): b for b in range(256)}.items())[:LEVELS]
+LEVEL_BYTES = [b for _, b in LEVEL_BYTES]
+#: Least code of a word that occurs twice: level 0 is that of single ones.
+SEEN_TWICE = zlib.crc32(bytes(LEVEL_BYTES[1:2])) >> (KEY_BITS - LOW_BITS) << KEY_BITS
 
 
-def _words(line: Column) -> Column:
-    lower = F.when(line.rlike(PLAIN), F.lower(line)).otherwise(ascii_lower(line))
-    return F.array_remove(F.array_distinct(F.split(lower, SPACE)), "")
-
-
-def _least_overlap(n: Column) -> Column:
-    """Least number of words that a set of n shares with a similar one."""
-    return F.ceil(n * NUMERATOR / DENOMINATOR)
+def _hash(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - KEY_BITS)
 
 
-def _rarity(words: DataFrame, size: int) -> tuple[Column, int]:
-    """Hashed counters of all words, as a binary literal of half a byte for each: the logarithm."""
-    buckets = 1 << max(10, min(23, (max(1, size) // 64).bit_length()))
-    bucket = F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int")
-    counts = words.select(F.explode(F.split("words", " ")).alias("w")).groupBy(bucket.alias("b")).count()
-    level = F.least(F.lit(15), F.floor(F.log2("count"))).cast("int")
-    rows = counts.groupBy(F.floor(F.col("b") / 4096).cast("int").alias("g")).agg(F.array_join(F.collect_list((F.pmod("b", F.lit(4096)) * 16 + level).cast("string")), ",").alias("s"))
-    table = bytearray(buckets // 2)
+def _words(line: Column) -> Column:
+    """Hashes of the distinct words."""
+    spaced = F.when(reduce(Column.__or__, [line.contains(x) for x in SPACES]), F.translate(line, SPACES, " " * len(SPACES))).otherwise(line)
+    ascii_only = F.octet_length(line) == F.length(line)
+    lower = F.when(ascii_only | line.rlike(PLAIN), F.lower(spaced)).otherwise(F.translate(spaced, UPPER, LOWER))
+    return F.array_distinct(F.array_remove(F.transform(F.split(lower, " "), _hash), _hash(F.lit(""))))
+
+
+def _overlap(n: Column, m: Column) -> Column:
+    """Least number of words that similar sets of n and m words share: 3(n + m) / 7."""
+    return F.ceil((n + m) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+
+
+def _rarity(sets: DataFrame, size: int) -> tuple[Column, int]:
+    """Hashed counters of all words, as a binary literal of a byte for each: the logarithm.  Places in a binary
+    start at 1, and 0 is the same place, so the first two counters are one."""
+    bits = max(10, min(21, (max(1, size) // 64).bit_length()))
+    counts = sets.select(F.explode("h").alias("w")).groupBy(F.greatest(F.shiftright("w", KEY_BITS - bits).cast("int"), F.lit(1)).alias("b")).count().where("count > 1")
+    level = F.least(F.lit(LEVELS - 1), F.floor(F.log2("count") * STEPS)).cast("int")
+    rows = counts.groupBy(F.shiftright("b", 12).alias("g")).agg(F.array_join(F.collect_list((F.col("b").bitwiseAND(4095) * LEVELS + level).cast("string")), ",").alias("s"))
+    table = bytearray(LEVEL_BYTES[:1] * (1 << bits))
     for g, s in rows.toLocalIterator():
-        base = g * 4096
         for x in map(int, s.split(",")):
-            b = base + (x >> 4)
-            table[b >> 1] |= (x & 15) << (0 if b & 1 else 4)
-    return F.lit(bytes(table)), buckets
+            table[(g << 12) + x // LEVELS - 1] = LEVEL_BYTES[x % LEVELS]
+    return F.lit(bytes(table)), bits
+
 
+def _neighbours(sets: DataFrame, rare: Column, bits: int) -> DataFrame:
+    """t, at, np: keys of the neighbours in each prefix, with the size of the set and the place in it."""
 
-def _ordered(words: Column, rare: Column, buckets: int) -> Column:
-    """Words behind the digit of their counter, in order of both."""
+    def coded(w: Column) -> Column:
+        return F.shiftleft(F.crc32(F.substring(rare, F.shiftright(w, KEY_BITS - bits).cast("int"), F.lit(1))), LOW_BITS).bitwiseXOR(w)
 
-    def keyed(w: Column) -> Column:
-        b = F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")
-        return F.concat(F.substring(F.hex(F.substring(rare, F.shiftright(b, 1) + 1, 1)), b.bitwiseAND(1) + 1, F.lit(1)), w)
+    n = F.size("o")
+    pairs = F.greatest(F.least(n, F.floor(n / 2).cast("int") + 2) - 1, F.lit(1))  # no partner asks for a longer prefix; one word alone is its own key
+    rows = sets.select("at", F.sort_array(F.transform("h", coded)).alias("o")).select("at", "o", F.posexplode(F.slice("o", F.lit(1), pairs)).alias("p", "x"))
+    rows = rows.where(F.col("x") >= SEEN_TWICE)  # the rarer of two comes first
+    return rows.select(F.xxhash64("x", F.get("o", F.col("p") + 1)).alias("t"), "at", (F.shiftleft(n.cast("long"), 32) + F.col("p")).alias("np"))
 
-    return F.array_sort(F.transform(words, keyed))
+
+def _parity(words: Column) -> Column:
+    """64 bits, each turned by the words whose hash falls on it."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int"))))
 
 
 def similar_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, h, line): the lines that stay, of those with words."""
+    """(doc, h, line): the lines that stay."""
     base = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).where("text is not null")
     shape = base.agg(F.sum(F.octet_length("text")), F.min("doc"), F.max("doc"), F.count("*"), F.count("doc"), F.max(F.length("text"))).first()
     whole = dict(docs.dtypes)[key] in ("bigint", "int") and shape[3] == shape[4] and (shape[1] is None or shape[1] >= 0 and shape[2] < 1 << 36) and (shape[5] or 0) < 1 << 26
     if whole and base.groupBy("doc").count().where("count > 1").limit(1).count():
         whole = False
-    # words are made within the generator: as a column of a projection they would be copied into every use
-    exploded = base.select("doc", "h", F.posexplode(F.transform(F.split("text", "\n"), _words)).alias("line", "words"))
     # where ids allow, the place of a line is one number; else a struct, which compares and joins alike
     place = F.shiftleft(F.col("doc").cast("long"), 26) + F.col("line") if whole else F.struct("doc", "h", "line")
-    lines = exploded.select(place.alias("at"), "words").where(F.size("words") > 0)
-    sets = F.sort_array("words")
-    keyed = lines.select("at", F.size("words").alias("n"), F.xxhash64(sets).alias("k1"), F.xxhash64(F.lit(1), sets).alias("k2"))
-    first = staged(keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at")).select("at", "n"), "lines-first")
-    longer = first.where(F.col("n") >= SHARED)
-    kept = staged(lines.select("at", F.array_join("words", " ").alias("words")).join(longer.select("at"), "at", "left_semi"), "lines-sets")
-    del lines, exploded, keyed
+    lines = base.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("line", "s")).select(place.alias("at"), "s")
+    # no line holds a line feed: a line without words equals none but itself
+    value = F.when(F.col("s").rlike(WORD), F.col("s")).otherwise(F.concat(F.lit("\n"), F.col("at").cast("string")))
+    hashed = lines.select("at", F.xxhash64(value).alias("k1"), F.xxhash64(F.lit(1), value).alias("k2"))
+    first = staged(hashed.groupBy("k1", "k2").agg(F.min("at").alias("at")).select("at"), "lines-first")
+    sets = staged(lines.join(first.hint("shuffle_hash"), "at", "left_semi").select("at", _words(F.col("s")).alias("h")), "lines-sets", **DICTIONARY)
     release(docs.sparkSession)
-    rare, buckets = _rarity(kept, shape[0] or 0)
-    ordered = _ordered(F.split("words", " "), rare, buckets)
-    n = F.size(F.split("words", " "))
-    head = F.slice(ordered, F.lit(1), (n - _least_overlap(n) + SHARED).cast("int"))
-    level = format(FREQUENT.bit_length() - 1, "X")
-    # led: whether a frequent word lies in the prefix; by order it is then the last one.  Ordering stands in
-    # the plan once, within one generator: where two expressions share it, it is copied and done for each
-    told = F.transform(F.array(head), lambda h: F.transform(h, lambda w: F.struct(w.alias("w"), (F.element_at(h, -1) >= level).alias("led"))))
-    words = kept.select("at", n.alias("n"), F.posexplode(F.element_at(told, 1)).alias("p", "x")).select("at", "n", "p", "x.led", "x.w").where(~F.col("w").startswith("0"))
+    rare, bits = _rarity(sets, shape[0] or 0)
+    rows = _neighbours(sets, rare, bits).repartition("t")
+
+    def may_match(n: Column, p: Column, m: Column, q: Column) -> Column:
+        """Length, prefix and positional filters for sets of n and m words that share neighbours at p and q."""
+        c = _overlap(n, m)
+        near = (F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR) & (F.least(n - p, m - q) + F.least(p, q) >= c)
+        return near & (p < n + n + m - c * 3 + 1) & (q < n + m + m - c * 3 + 1)
+
+    size, place_in = lambda x: F.shiftright(x, 32), lambda x: F.col(x).bitwiseAND((1 << 32) - 1)
+    # of two lines with a key the pair is known at once; the rows of more go on.  Both read one exchange, and no side is sorted
+    groups = rows.groupBy("t").agg(F.min("at").alias("lead"), F.max("at").alias("last"), F.min("np").alias("np1"), F.max("np").alias("np2"), F.count("*").alias("c")).where(F.col("lead") < F.col("last"))
+    two = (F.col("c") == 2) & may_match(size("np1"), place_in("np1"), size("np2"), place_in("np2"))
+    met = rows.join(groups.hint("shuffle_hash"), "t").where(two | (F.col("c") > 2))
     # written once: the counters are spelled out in every plan that refers to them
-    prefix = staged(words.select(F.xxhash64("w").alias("t"), "at", "n", "p", "led", (F.col("w") >= level).alias("frequent")), "lines-prefix")
+    met = staged(met.select("t", "at", size("np").alias("n"), place_in("np").alias("p"), "lead", (F.col("c") > 2).alias("several")), "lines-met")
+    del rows, groups
     release(docs.sparkSession)
-
-    def may_match(n: str, p: str, m: str, q: str) -> Column:
-        """Length and positional filters for sets of n and m words that share the one at p and q."""
-        most = F.least(F.col(n) - F.col(p), F.col(m) - F.col(q)) + F.least(p, q)
-        return (F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR) & (most * (NUMERATOR + DENOMINATOR) >= (F.col(n) + F.col(m)) * NUMERATOR)
+    bits = sets.select("at", _parity(F.col("h")).alias("bits"))
+    keyed = staged(met.join(bits, "at"), "lines-met")
+    release(docs.sparkSession, met)
+    x = keyed.where(F.col("at") > F.col("lead"))
+    y = keyed.select("t", F.col("at").alias("y"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("bits").alias("other"), (F.col("at") == F.col("lead")).alias("leads"))
+    # a word that only one set has turns one bit at most
+    few_differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))) <= F.col("n") + F.col("m") - _overlap(F.col("n"), F.col("m")) * 2
+    similar = may_match(F.col("n"), F.col("p"), F.col("m"), F.col("q")) & few_differ
 
     def verified(pairs: DataFrame) -> DataFrame:
         """x of the pairs (x, y) whose whole sets are similar.  Few pairs are sent to the lines, so these stay in place."""
-        pairs = staged(pairs.select("x", "y"), "lines-candidates")
         sent = F.broadcast(pairs) if pairs.count() <= MAX_BROADCAST_PAIRS else pairs
-        xs = sent.join(kept.select(F.col("at").alias("x"), F.col("words").alias("xw")), "x")
-        ys = sent.join(kept.select(F.col("at").alias("y"), F.col("words").alias("yw")), "y")
-        a, b = F.split("xw", " "), F.split("yw", " ")
-        both = F.size(F.array_intersect(a, b))
-        return xs.join(ys, ["x", "y"]).where(both * DENOMINATOR >= (F.size(a) + F.size(b) - both) * NUMERATOR).select("x").distinct()
-
-    def count_shared(x: DataFrame, y: DataFrame, looks_up: Column) -> DataFrame:
-        """(x, y): earlier lines y that share SHARED prefix words with x."""
-        x, y = x.select("t", F.col("at").alias("x"), "n", "p", "led"), y.select("t", F.col("at").alias("y"), F.col("n").alias("m"), F.col("p").alias("q"))
-        met = x.join(y, "t").where((F.col("y") < F.col("x")) & may_match("n", "p", "m", "q") & looks_up)
-        return met.groupBy("x", "y").count().where(F.col("count") >= SHARED).select("x", "y")
-
-    frequent = prefix.where("frequent")
-    leaders = frequent.groupBy("t").agg(F.min(F.struct("at", "n", "p")).alias("l")).select("t", F.col("l.at").alias("y"), F.col("l.n").alias("m"), F.col("l.p").alias("q"))
-    led = frequent.join(leaders, "t").where((F.col("y") < F.col("at")) & may_match("n", "p", "m", "q")).groupBy(F.col("at").alias("x"), "y").count().groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
+        xs = sent.join(sets.select(F.col("at").alias("x"), F.col("h").alias("a")), "x")
+        ys = sent.join(sets.select(F.col("at").alias("y"), F.col("h").alias("b")), "y")
+        n, m, both = F.size("a"), F.size("b"), F.size(F.array_intersect("a", "b"))
+        return xs.join(ys, ["x", "y"]).where(both * DENOMINATOR >= (n + m - both) * NUMERATOR).select("x").distinct()
+
+    led = staged(x.join(y.where("leads"), "t").where(similar).select(F.col("at").alias("x"), "y").distinct(), "lines-led")
     settled = staged(verified(led), "lines-settled")
-    release(docs.sparkSession)
-    # lines without frequent words look up all of theirs; the condition refers to both sides, so that it
-    # is not pushed below the exchange and both sides read the same one
-    rare_pairs = staged(count_shared(prefix, prefix, F.when(F.col("led"), -1).otherwise(0) * F.col("m") == 0), "lines-pairs")
-    release(docs.sparkSession)
-    still = prefix.where("led").join(settled.select(F.col("x").alias("at")), "at", "left_anti")
-    more = staged(count_shared(still, prefix, F.lit(True)), "lines-pairs")
-    release(docs.sparkSession, prefix)
-    near = staged(settled.union(verified(rare_pairs.union(more))).distinct(), "lines-near")
-    release(docs.sparkSession, kept, settled, rare_pairs, more)
+    still = x.where("several").join(settled.select(F.col("x").alias("at")), "at", "left_anti")
+    more = still.join(y.where(~F.col("leads")), "t").where((F.col("y") < F.col("at")) & similar).select(F.col("at").alias("x"), "y").distinct()
+    more = staged(more.join(led, ["x", "y"], "left_anti"), "lines-more")
+    near = staged(settled.union(verified(more)).distinct(), "lines-near")
+    release(docs.sparkSession, sets, settled, keyed, led, more)
     stay = first.join(near.select(F.col("x").alias("at")), "at", "left_anti")
-    if whole:
-        return staged(stay.select(F.shiftright("at", 26).alias("doc"), F.lit(None).cast("long").alias("h"), F.col("at").bitwiseAND((1 << 26) - 1).cast("int").alias("line")), "lines-stay")
-    return staged(stay.select("at.doc", "at.h", "at.line"), "lines-stay")
+    place = [F.shiftright("at", 26).alias("doc"), F.lit(None).cast("long").alias("h"), F.col("at").bitwiseAND((1 << 26) - 1).cast("int").alias("line")] if whole else ["at.doc", "at.h", "at.line"]
+    stay = staged(stay.select(*place), "lines-stay")
+    release(docs.sparkSession, first, near)
+    return stay
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` without the lines that repeat or nearly repeat an earlier one."""
     stay = similar_lines(docs, key, text)
     hc, ls, d, h = (free_name(docs, x) for x in ("hash", "lines", "doc", "h"))
-    by_doc = stay.groupBy(F.col("doc").alias(d), F.col("h").alias(h)).agg(F.collect_list("line").alias(ls))
+    by_doc = stay.groupBy(F.col("doc").alias(d), F.col("h").alias(h)).agg(F.sort_array(F.collect_list("line")).alias(ls))
     hashed = docs.withColumn(hc, F.xxhash64(F.col(text)))
     joined = hashed.join(by_doc, hashed[key].eqNullSafe(F.col(d)) & (F.col(h).isNull() | (F.col(hc) == F.col(h))), "left")
-    wordless = lambda s: F.regexp_replace(s, SPACE, "") == ""
-    kept = F.filter(F.split(F.col(text), "\n"), lambda s, i: F.coalesce(F.array_contains(F.col(ls), i), F.lit(False)) | wordless(s))
-    out = joined.withColumn(text, F.array_join(kept, "\n"))
+    places = F.coalesce(F.col(ls), F.array().cast("array<int>"))
+    kept = F.element_at(F.transform(F.array(F.split(F.col(text), "\n")), lambda s: F.transform(places, lambda i: F.get(s, i))), 1)
+    out = joined.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(kept, "\n")))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(text).cast(dict(docs.dtypes)[n_chars]))
     return out.select(*docs.columns)
