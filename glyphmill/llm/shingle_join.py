@@ -1,20 +1,25 @@
 """N-gram Jaccard join by PartEnum signatures, and the components that its links form.
 
-A document's set holds the 64-bit hashes of its distinct five-word shingles.  Sets fall into size bands
-(powers of two); a set also signs the next band if a partner could lie there.  In a band the feature
-domain is partitioned by hash, and a set has one signature for each part that it touches: the hash of its
-features there.  Two sets that differ in d features have the same signature in all but d of those parts,
-and a Jaccard similarity of t bounds d by (1 - t) / t of the smaller set, so similar sets share many.
-
-As at least p - d of a set's p signatures are shared, only its d + 1 rarest need to be looked up (the
-prefix of the set of signatures under a common order), which leaves out those that frequent passages
-make.  Sets that touch too few parts for the bound also sign with the smallest of their single features.
-Signatures travel as packed arrays dealt by signature; counting and grouping is done on sorted arrays.
-
-Of the sets that this leaves, those go on most of whose features occur in another such set, as t of either
-side's must.  First each is compared with one leader only, that with which it shares most signatures,
-then, in some rounds, one document of each component in a group with one of the group's largest; what
-still shares a signature across components after that is compared in full.  No candidate is dropped, and all links are verified on whole sets.
+A document's set holds the 64-bit hashes of its distinct five-word shingles.  Rows of equal sets are one class
+(known by a 64-bit hash of the set); classes meet, not rows, so copies cost no pairs.
+
+The feature domain is partitioned by hash, and similar sets of sizes n and m differ in d = (n + m) / 7 features at most.
+
+First, whole parts are counted.  In bands of sizes (powers of two) a set has one signature for each part that it
+touches, the hash of its features there.  A similar set has all but d of them, so a class goes on only if p - d of
+its p signatures occur in other classes.  Sets that touch too few parts for that are counted by single features.
+Of what goes on, most of the features must occur in another class that goes on.
+
+Then subsets of parts are enumerated.  In finer bands (each 4/3 of the last) the domain has n1 first-level parts of
+SECOND second-level parts each, and a set signs every choice of all but one of the latter.  Where at most one
+second-level part differs, one choice at least is equal; n1 exceeds half of d, so there are first-level parts where
+that is so.  How many signatures two similar sets must share follows from d and n1; all but that many, less one, are
+looked up, the rarest first, which leaves out those that frequent passages and empty parts make.
+
+Candidates are found by group of equal signatures: each class is compared with one leader only, that with which it
+shares most signatures, then, in some rounds, one class of each component in a group with one of the group's
+largest; what still shares a signature across components after that is compared in full.  Pairs within a component
+need no comparison; ``similar_classes`` returns all links instead.  All links are verified on whole sets.
 
 Defined results: null, empty or wordless texts have an empty set and link with nothing; texts of fewer
 than five words are one shingle; rows of one id are one node, linked as any of them is; rows without id
@@ -42,9 +47,15 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Ids for which a filter is broadcast ahead of a join (2 bytes each).
 FILTERED_IDS = 5_000_000
 #: Rounds with pivots before what is left is compared in full.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 #: Parts of a band, as a share of its largest set; small bands get more.
 PART_SHARE, SMALL_BAND, SMALL_SHARE = 0.5, 6, 4
+#: Second-level parts, and first-level parts as a share of the most features that two sets of a band differ in.
+SECOND, FIRST_SHARE = 4, 0.65
+#: Choices that are still equal if no, one, two... second-level parts differ.
+EQUAL_CHOICES = np.array([SECOND, 1, 0, 0])
+#: Features whose signatures one task takes.
+TASK_FEATURES = 1 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -68,9 +79,24 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(mix(s + np.uint64(m)))
 
 
-def difference(n: int) -> int:
-    """Most features in which a set of n can differ from a similar one."""
-    return n * (DENOMINATOR - NUMERATOR) // NUMERATOR
+def most_differ(n, m):
+    """Most features that only one of two similar sets of n and m has."""
+    return (n + m) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+
+
+def largest_partner(n):
+    return n * DENOMINATOR // NUMERATOR
+
+
+def _bounds(most: int = 1 << 31) -> np.ndarray:
+    """Largest sizes of the finer bands: the partners of a set lie in its band, the next one or below."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, largest_partner(out[-1])))
+    return np.array(out)
+
+
+BOUNDS = _bounds()
 
 
 def parts_of(band: int) -> int:
@@ -84,19 +110,50 @@ def sign(features: np.ndarray) -> list[tuple[int, np.ndarray]]:
         return []
     band = (n - 1).bit_length()
     out = []
-    for b in (band, band + 1) if n * DENOMINATOR // NUMERATOR > 1 << band else (band,):
+    for b in (band, band + 1) if largest_partner(n) > 1 << band else (band,):
         part = mix(features ^ ODD[0]) % np.uint64(parts_of(b))
         order = np.argsort(part, kind="stable")
         part = part[order]
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         sums = np.add.reduceat(mix(features[order] + ODD[1]), first)  # no order within a part
         out.append((b, mix(sums ^ mix(part[first] * ODD[2] + np.uint64(b)))))
-        if len(first) <= difference(n):
+        if len(first) <= most_differ(n, largest_partner(n)):
             least = features[: n - -(-n * NUMERATOR // DENOMINATOR) + 1]
             out.append((-1 - b, mix(least ^ ODD[3] + np.uint64(b))))
     return out
 
 
+def first_parts(band):
+    return np.maximum(1, np.ceil(FIRST_SHARE * most_differ(BOUNDS[band], BOUNDS[band]))).astype(np.int64)
+
+
+def shared_at_least(n, band):
+    """Signatures of a finer band that a set of n shares with any similar one."""
+    parts, differ = first_parts(band), most_differ(n, np.minimum(largest_partner(n), BOUNDS[band]))
+    each, more = differ // parts, differ % parts  # fewest are left if differences are spread evenly
+    return more * EQUAL_CHOICES[np.minimum(each + 1, 3)] + (parts - more) * EQUAL_CHOICES[np.minimum(each, 3)]
+
+
+def choices(features: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """[(finer band, signatures)]: in each first-level part all choices that leave out one second-level part."""
+    n = len(features)
+    if not n:
+        return []
+    own = int(np.searchsorted(BOUNDS, n))
+    out = []
+    for b in (own, own + 1) if largest_partner(n) > BOUNDS[own] else (own,):
+        parts = int(first_parts(b))
+        cell = (mix(features ^ ODD[1]) % np.uint64(parts)) * np.uint64(SECOND) + mix(features ^ ODD[2]) % np.uint64(SECOND)
+        order = np.argsort(cell, kind="stable")
+        first = _starts(cell[order])
+        grid = np.zeros(parts * SECOND, dtype=np.uint64)
+        grid[cell[order][first].astype(np.int64)] = np.add.reduceat(mix(features[order] + ODD[1]), first)
+        grid = grid.reshape(parts, SECOND)
+        rest = (grid.sum(axis=1, dtype=np.uint64)[:, None] - grid).ravel()
+        out.append((b, mix(rest ^ mix(np.arange(parts * SECOND, dtype=np.uint64) * ODD[3] + np.uint64(b)))))
+    return out
+
+
 def _packed(values: np.ndarray, counts: np.ndarray, width: int = 8) -> pa.Array:
     """One binary a row: ``counts[i]`` consecutive values each, of their lowest ``width`` bytes."""
     offsets = np.concatenate([[0], np.cumsum(counts * width)]).astype(np.int32)
@@ -120,36 +177,92 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((values >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-UNITS = "bucket int, doc long, band int, n int, p int, sigs binary"
+SIGNED = "bucket int, key long, doc long, h long, band int, n int, p int, sigs binary"
 #: Bytes of a value that travel; with its bucket they tell values apart well enough to find candidates.
 SENT = 5
 #: Text that the signatures of one task may come from; there are LEAST_BUCKETS tasks at least.
 TASK_BYTES, LEAST_BUCKETS = 48 << 20, 32
 
 
-def _units(buckets: int):
-    """Signatures of each document, one row for each band and bucket of signatures."""
+class _Units:
+    """Rows for each bucket of a set's signatures, with what holds for the set; sigs packed."""
+
+    def __init__(self, buckets: int, *names: str):
+        self.buckets, self.names = buckets, names
+        self.values, self.counts = [], []
+        self.cols: dict[str, list] = {k: [] for k in ("bucket", *names)}
+
+    def add(self, sigs: np.ndarray, *of_set: int) -> None:
+        at = _bucket(sigs, self.buckets)
+        order = np.argsort(at, kind="stable")
+        found, sizes = np.unique(at, return_counts=True)
+        self.values.append(sigs[order])
+        self.counts.append(sizes)
+        for k, v in zip(self.cols, (found, *of_set), strict=True):
+            self.cols[k].append(np.broadcast_to(np.asarray(v), found.shape))
+
+    def batch(self, schema: str) -> pa.RecordBatch | None:
+        if not self.values:
+            return None
+        sigs = _packed(np.concatenate(self.values), np.concatenate(self.counts), SENT)
+        arrays, names = [], []
+        for field in schema.split(", "):
+            name, kind = field.split(" ")
+            if name in self.cols:
+                arrays.append(pa.array(np.concatenate(self.cols[name]).astype(np.int32 if kind == "int" else np.int64)))
+            else:
+                arrays.append(sigs if kind == "binary" else pa.nulls(len(sigs), pa.int32() if kind == "int" else pa.int64()))
+            names.append(name)
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def _signed(buckets: int):
+    """Each row's set in one row of bucket -1 (key: the hash of the set), and its signatures of whole parts, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                cols: list[list] = [[], [], [], [], []]
-                values, counts = [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                units, keys, sizes = _Units(buckets, "key", "band", "n", "p"), [], []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
                     features = shingles(text)
-                    for band, sigs in sign(features):
-                        at = _bucket(sigs, buckets)
-                        order = np.argsort(at, kind="stable")
-                        names, sizes = np.unique(at, return_counts=True)
-                        values.append(sigs[order])
-                        counts.append(sizes)
-                        for col, v in zip(cols, (names, doc, band, len(features), len(sigs)), strict=True):
-                            col.append(np.broadcast_to(np.asarray(v), names.shape))
-                if values:
-                    kinds = (np.int32, np.int64, np.int32, np.int32, np.int32)
-                    arrays = [pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*arrays, _packed(np.concatenate(values), np.concatenate(counts), SENT)], names=["bucket", "doc", "band", "n", "p", "sigs"])
+                    key = int.from_bytes(xxhash.xxh3_64_digest(features.tobytes()), "little", signed=True)
+                    keys.append(key)
+                    sizes.append(len(features))
+                    if doc is not None and key not in seen:
+                        seen.add(key)
+                        for band, sigs in sign(features):
+                            units.add(sigs, key, band, len(features), len(sigs))
+                rows, none = part.num_rows, pa.nulls(part.num_rows, pa.int32())
+                heads = [pa.array(np.full(rows, -1, np.int32)), pa.array(keys, pa.int64()), part.column(0), part.column(1), none, pa.array(sizes, pa.int32()), none, pa.nulls(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(heads, names=[f.split(" ")[0] for f in SIGNED.split(", ")])
+                made = units.batch(SIGNED)
+                if made is not None:
+                    yield made
+
+    return run
+
+
+CHOSEN = "bucket int, doc long, band int, n int, p int, sigs binary"
+
+
+def _chosen(buckets: int):
+    """Signatures of the finer bands of each set (id, set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                units = _Units(buckets, "doc", "band", "n", "p")
+                col = part.column(1)
+                ends, values = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                for i, key in enumerate(part.column(0).to_pylist()):
+                    for band, sigs in choices(values[ends[i] : ends[i + 1]]):
+                        units.add(sigs, key, band, ends[i + 1] - ends[i], len(sigs))
+                made = units.batch(CHOSEN)
+                if made is not None:
+                    yield made
 
     return run
 
@@ -177,17 +290,42 @@ def _starts(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, dtype=np.int64)
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns of a task by row, and values and their rows of one bucket after another: those of two never meet."""
+    got = _gather(batches, *names, width=SENT)
+    if got is not None:
+        rows, sigs, row = got
+        row = row.astype(np.int32)
+        bucket = (sigs >> np.uint64(8 * SENT)).astype(np.int32)
+        for b in np.unique(bucket):
+            own = bucket == b
+            yield rows, sigs[own], row[own]
+
+
+def _partly_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, band, how many of its signatures here another class has, and how many must in all."""
+    for rows, sigs, row in _by_bucket(batches, "key", "band", "n", "p"):
+        here = np.unique(row)
+        order = here[np.lexsort((rows["band"][here], rows["key"][here]))]
+        key, band = rows["key"][order], rows["band"][order]
+        again = np.r_[False, (key[1:] == key[:-1]) & (band[1:] == band[:-1])]  # the same class from another task
+        extra = np.zeros(len(rows["key"]), dtype=bool)
+        extra[order[again]] = True
+        sigs, row = sigs[~extra[row]], row[~extra[row]]
+        order = np.argsort(sigs, kind="stable")
+        sizes = np.diff(np.r_[_starts(sigs[order]), len(sigs)])
+        count = np.bincount(row[order][np.repeat(sizes > 1, sizes)], minlength=len(rows["key"]))
+        found = np.flatnonzero(count)
+        n, band = rows["n"][found].astype(np.int64), rows["band"][found]
+        differ = most_differ(n, np.minimum(largest_partner(n), 1 << np.maximum(band, 0).astype(np.int64)))
+        needed = np.where(band < 0, 1, np.maximum(1, rows["p"][found] - differ))
+        yield pa.RecordBatch.from_arrays([pa.array(rows["key"][found]), pa.array(band), pa.array(count[found]), pa.array(needed)], names=["key", "band", "c", "needed"])
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures that several documents have, each followed by its count; rows as they came."""
-    got = _gather(batches, "doc", "band", "n", "p", width=SENT)
-    if got is None:
-        return
-    rows, sigs, row = got
-    row = row.astype(np.int32)
-    bucket = (sigs >> np.uint64(8 * SENT)).astype(np.int32)
-    for b in np.unique(bucket):  # one at a time: values of two buckets never meet
-        own = bucket == b
-        yield from _shared_of(rows, sigs[own], row[own])
+    """Signatures that several classes have, each followed by its count; rows as they came."""
+    for found in _by_bucket(batches, "doc", "band", "n", "p"):
+        yield from _shared_of(*found)
 
 
 def _shared_of(rows: dict[str, np.ndarray], sigs: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -211,7 +349,7 @@ def _shared_of(rows: dict[str, np.ndarray], sigs: np.ndarray, row: np.ndarray) -
 
 
 def _rarest():
-    """The d + 1 rarest signatures of each document and band, as far as they are shared."""
+    """The rarest signatures of each class and band, as many as must hold one of any partner's, as far as they are shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _gather(batches, "doc", "band", "n", "p")
@@ -226,8 +364,8 @@ def _rarest():
         first = np.flatnonzero(new)
         counts = np.diff(np.r_[first, len(doc)])
         n, p = rows["n"][row[first]].astype(np.int64), rows["p"][row[first]].astype(np.int64)
-        alone = p - counts  # signatures of no other document are the rarest of all
-        wanted = np.where(band[first] < 0, counts, np.clip(np.minimum(n * (DENOMINATOR - NUMERATOR) // NUMERATOR + 1, p) - alone, 0, counts))
+        alone = p - counts  # signatures of no other class are the rarest of all
+        wanted = np.clip(p - shared_at_least(n, band[first]) + 1 - alone, 0, counts)
         nth = np.arange(len(doc)) - np.repeat(first, counts)
         keep = nth < np.repeat(wanted, counts)
         sigs, doc, size = sigs[keep], doc[keep], rows["n"][row[keep]]
@@ -349,8 +487,8 @@ def _counted(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(np.r_[first, len(a)]).astype(np.int64))], names=["a", "b", "votes"])
 
 
-def only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is among ``ids`` (id).  A filter of checked size goes first."""
+def sifted(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``ids`` (id): a filter of checked size ahead of a join."""
     spark = df.sparkSession
     n = ids.count()
     if 0 < n <= FILTERED_IDS:
@@ -378,7 +516,12 @@ def only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
                 yield pd.Series(bloom.might_hold(h.to_numpy(dtype=np.int64)))
 
         df = df.where(possible(F.xxhash64(column)))
-    return df.join(ids.withColumnRenamed("id", column), column, "left_semi")
+    return df
+
+
+def only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is among ``ids`` (id)."""
+    return sifted(df, column, ids).join(ids.withColumnRenamed("id", column), column, "left_semi")
 
 
 def _features_column():
@@ -399,11 +542,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").where(both * DENOMINATOR >= (F.size("sa") + F.size("sb") - both) * NUMERATOR).select("a", "b").distinct()
 
 
-def _prefixes(texts: DataFrame, buckets: int) -> DataFrame:
-    """bucket, doc, n, sigs: signatures to look up, of the documents that share enough to have a partner."""
-    units = texts.mapInArrow(_units(buckets), UNITS)
+def _live(units: DataFrame, buckets: int) -> DataFrame:
+    """key of the classes that share enough signatures of whole parts with others to have a partner."""
+    counted = units.repartition(2 * buckets, "bucket").mapInArrow(_partly_shared, "key long, band int, c long, needed long")
+    enough = counted.groupBy("key", "band", "needed").agg(F.sum("c").alias("c")).where("c >= needed")
+    return staged(enough.select("key").distinct(), "join-live")
+
+
+def _prefixes(sets: DataFrame, buckets: int) -> DataFrame:
+    """bucket, doc, n, sigs: signatures of the classes to look up."""
     # twice as many tasks as buckets, so that few tasks get several
-    shared = units.repartition(2 * buckets, "bucket").mapInArrow(_shared, "doc long, band int, n int, p int, sigs binary")
+    shared = sets.mapInArrow(_chosen(buckets), CHOSEN).repartition(2 * buckets, "bucket").mapInArrow(_shared, "doc long, band int, n int, p int, sigs binary")
     return staged(shared.repartition(buckets, "doc").mapInArrow(_rarest(), "bucket int, doc long, n int, sigs binary"), "join-prefix")
 
 
@@ -439,47 +588,83 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return staged(moved.union(found.join(labels.select("node"), "node", "left_anti")), "join-labels")
 
 
-def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, label) of the documents that link with others; label: the smallest id of its component."""
+def _likely_sets(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc, h, key, n) of all rows with a text, h its hash; (key, doc, h) of the classes; (id, set) of those that may have partners."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    texts = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).where("text is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // TASK_BYTES))
-    prefix = _prefixes(texts, buckets)
-    release(spark)
-    live = staged(prefix.select(F.col("doc").alias("id")).distinct(), "join-live")
-    met = staged(only(texts.withColumnRenamed("doc", "id"), "id", live).select("id", _features_column()("text").alias("set")), "join-sets")
-    release(spark)
+    signed = staged(texts.mapInArrow(_signed(buckets), SIGNED), "join-signed")
+    live = _live(signed.where("bucket >= 0").select("bucket", "key", "band", "n", "p", "sigs"), buckets)
+    members = staged(signed.where("bucket < 0").select("doc", "h", "key", "n"), "join-members")
+    release(spark, signed)
+    first = F.min(F.struct("doc", "h")).alias("m")
+    classes = staged(members.where("n > 0 and doc is not null").groupBy("key").agg(first).select("key", "m.doc", "m.h"), "join-classes")
+    chosen = staged(classes.join(live, "key", "left_semi"), "join-chosen")
+    met = sifted(texts, "doc", chosen.select(F.col("doc").alias("id"))).join(chosen, ["doc", "h"])
+    met = staged(met.select(F.col("key").alias("id"), _features_column()("text").alias("set")), "join-sets")
     likely = _likely(met, buckets)
-    release(spark)
     sets = staged(only(met, "id", likely), "join-sets")
-    some = staged(only(prefix, "doc", likely), "join-prefix")
-    release(spark, met, prefix, live)
+    release(spark, live, chosen, met, likely)
+    return members, classes, sets
+
+
+def _buckets_for(sets: DataFrame) -> int:
+    return max(LEAST_BUCKETS, (sets.agg(F.sum(F.size("set"))).first()[0] or 0) // TASK_FEATURES)
+
+
+def _resolved(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, h, n, component of all rows with a text."""
+    spark = docs.sparkSession
+    members, classes, sets = _likely_sets(docs, key, text)
+    buckets = _buckets_for(sets)
+    prefix = _prefixes(sets, buckets)
     labels = tested = None
     for step in [*range(PIVOT_ROUNDS + 1), None]:
-        pairs = _round(step, some, labels, tested, buckets)
+        pairs = _round(step, prefix, labels, tested, buckets)
         links = staged(verified(pairs, sets), "join-links") if pairs.limit(1).count() else None
         if links is not None and links.limit(1).count():
             labels = _joined(labels, links)
         tested = staged(tested.union(pairs), "join-tested") if tested is not None else pairs
-        release(spark)
-    release(spark, sets, some, tested)
-    return labels if labels is not None else spark.createDataFrame([], "node long, label long")
+    release(spark, sets, prefix, tested)
+    # rows of one id are one node: their classes are linked
+    own = members.where("n > 0 and doc is not null").select("doc", "key").distinct()
+    several = own.groupBy("doc").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z")
+    if several.limit(1).count():
+        labels = _joined(labels, own.join(several, "doc").select("a", F.col("key").alias("b")).where("a <> b").distinct())
+    if labels is None:
+        named = classes.select("key", F.col("doc").alias("component"))
+    else:
+        found = classes.join(labels.withColumnRenamed("node", "key"), "key", "left")
+        least = found.where("label is not null").groupBy("label").agg(F.min("doc").alias("least"))
+        named = found.join(least, "label", "left").select("key", F.coalesce("least", "doc").alias("component"))
+    out = staged(members.join(named, "key", "left").select("doc", "h", "n", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component")).otherwise(F.col("doc")).alias("component")).distinct(), "join-resolved")
+    release(spark, members, classes)
+    return out
 
 
-def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with n_shingles and component_id (they replace columns of those names)."""
-    labels = link_components(docs, key, text)
-    k, node, label = free_name(docs, "key"), free_name(docs, "node"), free_name(docs, "label")
+def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, label) of the documents with words; label: the smallest id of its component."""
+    return _resolved(docs, key, text).where("n > 0 and doc is not null").select(F.col("doc").alias("node"), F.col("component").alias("label")).distinct()
 
-    @F.pandas_udf("long")
-    def size(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([len(shingles(t)) for t in texts])
 
-    sized = docs.withColumns({k: F.col(key).cast("long"), "n_shingles": size(F.col(text))})
-    out = sized.join(labels.select(F.col("node").alias(node), F.col("label").alias(label)), F.col(k) == F.col(node), "left")
-    return out.withColumn("component_id", F.coalesce(label, k)).drop(k, node, label)
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b) between classes of equal sets, and (doc, key), the class of each document.
+    Large groups of sets that are all similar have a link for each two."""
+    members, classes, sets = _likely_sets(docs, key, text)
+    buckets = _buckets_for(sets)
+    links = staged(verified(_round(None, _prefixes(sets, buckets), None, None, buckets), sets), "join-links")
+    release(docs.sparkSession, classes, sets)
+    return links, members.where("n > 0 and doc is not null").select("doc", "key").distinct()
+
+
+def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with n_shingles and component_id (they replace columns of those names)."""
+    k, h, d, g, n, c = (free_name(docs, x) for x in ("key", "hash", "doc", "h", "n", "component"))
+    found = _resolved(docs, key, text).select(F.col("doc").alias(d), F.col("h").alias(g), F.col("n").alias(n), F.col("component").alias(c))
+    named = docs.withColumns({k: F.col(key).cast("long"), h: F.xxhash64(F.col(text))})
+    out = named.join(found, F.col(k).eqNullSafe(F.col(d)) & (F.col(h) == F.col(g)) & F.col(text).isNotNull(), "left")
+    return out.withColumns({"n_shingles": F.coalesce(F.col(n), F.lit(0)).cast("long"), "component_id": F.coalesce(c, k)}).drop(k, h, d, g, n, c)
 
 
 def op3_shingle_join(spark, sf_dir):

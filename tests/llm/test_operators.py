@@ -157,23 +157,43 @@ def test_components(spark, seed):
     assert out == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, component_of(sets), strict=True))}
 
 
-def test_similar_sets_share_a_prefix_signature():
+def test_similar_sets_share_as_many_signatures_as_counted():
     rng = np.random.default_rng(5)
-    for _ in range(300):
+    for _ in range(400):
         n = int(rng.choice([1, 2, 3, 4, 7, 12, 33, 64, 65, 200, 700]))
         a = rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64)
         d = int(rng.integers(0, n // 3 + 1))
-        b = np.unique(np.concatenate([a[d // 2 :], rng.integers(0, 2**63, d - d // 2, dtype=np.int64).astype(np.uint64)]))
+        b = np.unique(np.concatenate([a[d // 2 :], rng.integers(0, 2**63, int(rng.integers(0, d + 1)), dtype=np.int64).astype(np.uint64)]))
         a = np.unique(a)
         both = len(np.intersect1d(a, b))
         if 100 * both < 75 * (len(a) + len(b) - both):
             continue
         x, y = dict(shingle_join.sign(a)), dict(shingle_join.sign(b))
-        found = False
-        for band in set(x) & set(y):
-            order = lambda s, m: set(np.sort(s)[: shingle_join.difference(m) + 1].tolist()) if band >= 0 else set(s.tolist())  # noqa: B023, E731
-            found |= bool(order(x[band], len(a)) & order(y[band], len(b)))
-        assert found
+        differ = shingle_join.most_differ(len(a), len(b))
+        assert any(len(np.intersect1d(x[i], y[i])) >= max(1, len(x[i]) - differ if i >= 0 else 1) for i in set(x) & set(y))
+        x, y = dict(shingle_join.choices(a)), dict(shingle_join.choices(b))
+        common = set(x) & set(y)
+        assert common
+        for i in common:
+            least = max(shingle_join.shared_at_least(len(s), i) for s in (a, b))
+            assert len(x[i]) == len(y[i]) and least >= 1 and len(np.intersect1d(x[i], y[i])) >= least
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_all_links_between_classes(spark, seed):
+    texts = ["", "one", "One", *corpus(seed, 60)]
+    sets = [shingle_set(t) for t in texts]
+    links, classes = shingle_join.similar_classes(docs_of(spark, texts))
+    key = {r["doc"]: r["key"] for r in classes.collect()}
+    assert set(key) == {i for i, s in enumerate(sets) if s}
+    want = {tuple(sorted((key[i], key[j]))) for i, j in itertools.combinations(key, 2) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert {tuple(sorted((r["a"], r["b"]))) for r in links.collect()} == want
+
+
+def test_rows_of_one_id_with_other_texts_link_their_groups(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(30)) for c in "tu")
+    out = shingle_join.join_documents(docs_of(spark, [t, u, u, t + " end", "lone words here", None], [9, 9, 4, 2, 7, 5])).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == [(2, 27, 2), (4, 26, 2), (5, 0, 5), (7, 1, 7), (9, 26, 2), (9, 26, 2)]
 
 
 def test_components_with_null_and_repeated_ids(spark):
