@@ -14,7 +14,8 @@ Then subsets of parts are enumerated.  In finer bands (each 4/3 of the last) the
 SECOND second-level parts each, and a set signs every choice of all but one of the latter.  Where at most one
 second-level part differs, one choice at least is equal; n1 exceeds half of d, so there are first-level parts where
 that is so.  How many signatures two similar sets must share follows from d and n1; all but that many, less one, are
-looked up, the rarest first, which leaves out those that frequent passages and empty parts make.
+looked up: those that hold several features first, and of them the rarest, which leaves out what empty parts and
+frequent passages make.
 
 Candidates are found by group of equal signatures: each class is compared with one leader only, that with which it
 shares most signatures, then, in some rounds, one class of each component in a group with one of the group's
@@ -54,6 +55,8 @@ PART_SHARE, SMALL_BAND, SMALL_SHARE = 0.5, 6, 4
 SECOND, FIRST_SHARE = 4, 0.65
 #: Choices that are still equal if no, one, two... second-level parts differ.
 EQUAL_CHOICES = np.array([SECOND, 1, 0, 0])
+#: Choices of fewer features than this come last, the emptier the later; a power of two less one, told in the lowest bits.
+LIGHT = 3
 #: Features whose signatures one task takes.
 TASK_FEATURES = 1 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -150,7 +153,12 @@ def choices(features: np.ndarray) -> list[tuple[int, np.ndarray]]:
         grid[cell[order][first].astype(np.int64)] = np.add.reduceat(mix(features[order] + ODD[1]), first)
         grid = grid.reshape(parts, SECOND)
         rest = (grid.sum(axis=1, dtype=np.uint64)[:, None] - grid).ravel()
-        out.append((b, mix(rest ^ mix(np.arange(parts * SECOND, dtype=np.uint64) * ODD[3] + np.uint64(b)))))
+        held = np.zeros(parts * SECOND, dtype=np.int64)
+        held[cell[order][first].astype(np.int64)] = np.diff(np.r_[first, n])
+        held = held.reshape(parts, SECOND)
+        light = np.maximum(0, LIGHT - (held.sum(axis=1)[:, None] - held)).ravel().astype(np.uint64)  # equal choices hold equally many
+        sigs = mix(rest ^ mix(np.arange(parts * SECOND, dtype=np.uint64) * ODD[3] + np.uint64(b)))
+        out.append((b, (sigs & ~np.uint64(LIGHT)) | light))
     return out
 
 
@@ -244,7 +252,15 @@ def _signed(buckets: int):
     return run
 
 
-CHOSEN = "bucket int, doc long, band int, n int, p int, sigs binary"
+CHOSEN = "bucket int, doc long, band int, n int, p long, sigs binary"
+#: Bits for the number of signatures of each lightness in ``p``.
+COUNT_BITS = 15
+
+
+def light_counts(sigs: np.ndarray) -> int:
+    """How many signatures are of each lightness, packed; numbers too large for their bits are cut, which looks up more."""
+    found = np.bincount((sigs & np.uint64(LIGHT)).astype(np.int64), minlength=LIGHT + 1)
+    return int(sum(min(int(c), (1 << COUNT_BITS) - 1) << (COUNT_BITS * i) for i, c in enumerate(found)))
 
 
 def _chosen(buckets: int):
@@ -259,7 +275,7 @@ def _chosen(buckets: int):
                 ends, values = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 for i, key in enumerate(part.column(0).to_pylist()):
                     for band, sigs in choices(values[ends[i] : ends[i + 1]]):
-                        units.add(sigs, key, band, ends[i + 1] - ends[i], len(sigs))
+                        units.add(sigs, key, band, ends[i + 1] - ends[i], light_counts(sigs))
                 made = units.batch(CHOSEN)
                 if made is not None:
                     yield made
@@ -349,7 +365,8 @@ def _shared_of(rows: dict[str, np.ndarray], sigs: np.ndarray, row: np.ndarray) -
 
 
 def _rarest():
-    """The rarest signatures of each class and band, as many as must hold one of any partner's, as far as they are shared."""
+    """The first signatures of each class and band, as many as must hold one of any partner's, as far as they are shared:
+    in order of lightness, and of how many classes have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _gather(batches, "doc", "band", "n", "p")
@@ -357,15 +374,20 @@ def _rarest():
             return
         rows, both, row = got
         sigs, sizes, row = both[0::2], both[1::2].astype(np.int64), row[0::2]
-        doc, band = rows["doc"][row], rows["band"][row]
-        order = np.lexsort((sigs, sizes, band, doc))
-        sigs, row, doc, band = sigs[order], row[order], doc[order], band[order]
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (band[1:] != band[:-1])]
-        first = np.flatnonzero(new)
+        doc, band, light = rows["doc"][row], rows["band"][row], (sigs & np.uint64(LIGHT)).astype(np.int64)
+        order = np.lexsort((sigs, sizes, light, band, doc))
+        sigs, row, doc, band, light = sigs[order], row[order], doc[order], band[order], light[order]
+        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (band[1:] != band[:-1]) | (light[1:] != light[:-1])])
+        if not len(first):
+            return
         counts = np.diff(np.r_[first, len(doc)])
-        n, p = rows["n"][row[first]].astype(np.int64), rows["p"][row[first]].astype(np.int64)
-        alone = p - counts  # signatures of no other class are the rarest of all
-        wanted = np.clip(p - shared_at_least(n, band[first]) + 1 - alone, 0, counts)
+        n, packed = rows["n"][row[first]].astype(np.int64), rows["p"][row[first]].astype(np.int64)
+        mask = (1 << COUNT_BITS) - 1
+        all_of = np.stack([(packed >> (COUNT_BITS * i)) & mask for i in range(LIGHT + 1)])
+        before = np.cumsum(np.vstack([np.zeros(len(first), np.int64), all_of]), axis=0)[light[first], np.arange(len(first))]
+        alone = np.maximum(0, all_of[light[first], np.arange(len(first))] - counts)  # of no other class: ahead of shared ones
+        whole = first_parts(band[first]) * SECOND
+        wanted = np.clip(whole - shared_at_least(n, band[first]) + 1 - before - alone, 0, counts)
         nth = np.arange(len(doc)) - np.repeat(first, counts)
         keep = nth < np.repeat(wanted, counts)
         sigs, doc, size = sigs[keep], doc[keep], rows["n"][row[keep]]
@@ -552,7 +574,7 @@ def _live(units: DataFrame, buckets: int) -> DataFrame:
 def _prefixes(sets: DataFrame, buckets: int) -> DataFrame:
     """bucket, doc, n, sigs: signatures of the classes to look up."""
     # twice as many tasks as buckets, so that few tasks get several
-    shared = sets.mapInArrow(_chosen(buckets), CHOSEN).repartition(2 * buckets, "bucket").mapInArrow(_shared, "doc long, band int, n int, p int, sigs binary")
+    shared = sets.mapInArrow(_chosen(buckets), CHOSEN).repartition(2 * buckets, "bucket").mapInArrow(_shared, "doc long, band int, n int, p long, sigs binary")
     return staged(shared.repartition(buckets, "doc").mapInArrow(_rarest(), "bucket int, doc long, n int, sigs binary"), "join-prefix")
 
 
