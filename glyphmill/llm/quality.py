@@ -242,14 +242,15 @@ def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "l
     above = hosts.select(F.col("host").alias("hh"), F.col("n").alias("hn"), F.col("s").alias("hs"))
     sites = staged(paths.join(above, F.col("host").eqNullSafe(F.col("hh"))).withColumn("mean_above", (F.col("hs") + worth_host * mean) / (F.col("hn") + worth_host)), "quality-sites")
     worth_path = _spread(sites)
-    known = sites.select("hh", F.col("path").alias("pp"), "hn", "hs", F.col("n").alias("pn"), F.col("s").alias("ps"))
+    at = {x: free_name(docs, "site_" + x) for x in ("hh", "pp", "hn", "hs", "pn", "ps")}
+    known = sites.select(*(F.col(c).alias(at[x]) for x, c in (("hh", "hh"), ("pp", "path"), ("hn", "hn"), ("hs", "hs"), ("pn", "n"), ("ps", "s"))))
     if sites.count() <= MAX_BROADCAST_SITES:
         known = F.broadcast(known)
-    joined = scored.join(known, scored[host].eqNullSafe(known["hh"]) & scored[path].eqNullSafe(known["pp"]), "left")
+    joined = scored.join(known, scored[host].eqNullSafe(known[at["hh"]]) & scored[path].eqNullSafe(known[at["pp"]]), "left")
     bound = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
     logit = lambda c: F.log(c / (1 - c))
-    p_host = bound((F.col("hs") - p + worth_host * mean) / (F.col("hn") - 1 + worth_host))
-    p_path = bound((F.col("ps") - p + worth_path * p_host) / (F.col("pn") - 1 + worth_path))
+    p_host = bound((F.col(at["hs"]) - p + worth_host * mean) / (F.col(at["hn"]) - 1 + worth_host))
+    p_path = bound((F.col(at["ps"]) - p + worth_path * p_host) / (F.col(at["pn"]) - 1 + worth_path))
     p_good = 1 / (1 + F.exp(-(F.col(odds) + logit(p_path) - float(np.log(mean / (1 - mean))))))
     made = {"p_document": p, "p_host": p_host, "p_path": p_path, "p_good": p_good, "keep": p_good >= least}
     others = [scored[c] for c in scored.columns if c != odds and c.lower() not in made]

@@ -195,15 +195,17 @@ def parse(df: DataFrame, model: Hmm | None = None, conversation: str = "conv_id"
             yield pd.Series([seams([np.asarray(m, dtype=float).reshape(n, n) for m in ms]) for ms in lists])
 
     ordered = pieces.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("g", "m"))).alias("x"))
+    ec, eg = free_name(df, "end_c"), free_name(df, "end_g")
     ends = ordered.select("c", F.transform("x", lambda y: y["g"]).alias("gs"), join_up(F.transform("x", lambda y: y["m"])).alias("es"))
-    ends = ends.select(F.col("c").alias("ec"), F.posexplode("gs").alias("i", "eg"), "es")
+    ends = ends.select(F.col("c").alias(ec), F.posexplode("gs").alias("i", eg), "es")
     b, e, q = (free_name(df, x) for x in ("before", "end", "opening"))
-    ends = ends.select("ec", "eg", F.get("es", F.col("i") - 1).alias(b), F.get("es", "i").alias(e), (F.col("i") == 0).alias(q))
-    joined = laid.join(ends, (F.col(cid) == F.col("ec")) & (F.col(gid) == F.col("eg"))).drop("ec", "eg")
+    ends = ends.select(ec, eg, F.get("es", F.col("i") - 1).alias(b), F.get("es", "i").alias(e), (F.col("i") == 0).alias(q))
+    joined = laid.join(ends, (F.col(cid) == F.col(ec)) & (F.col(gid) == F.col(eg))).drop(ec, eg)
     joined = joined.repartition(shuffle_parts(spark), cid, gid).sortWithinPartitions(cid, gid, order, speaker, text)
     roles, opens, rendered = "roles", "opens", "rendered"
     keep = [c for c in df.columns if c.lower() not in {roles, opens, rendered}]
-    carried = joined.select(*[joined[c] for c in keep], F.col(cid).alias("__c"), F.col(gid).alias("__g"), F.col(text).cast("string").alias("__t"), F.col(speaker).cast("string").alias("__s"), F.col(b).alias("__b"), F.col(e).alias("__e"), F.col(q).alias("__q"))
+    name_of = {x: free_name(df, "own_" + x) for x in "cgtsbeq"}
+    carried = joined.select(*[joined[c] for c in keep], F.col(cid).alias(name_of["c"]), F.col(gid).alias(name_of["g"]), F.col(text).cast("string").alias(name_of["t"]), F.col(speaker).cast("string").alias(name_of["s"]), F.col(b).alias(name_of["b"]), F.col(e).alias(name_of["e"]), F.col(q).alias(name_of["q"]))
     schema = [*(f"`{c}` {dict(df.dtypes)[c]}" for c in keep), "roles array<string>", "opens int", "rendered string"]
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,12 +213,12 @@ def parse(df: DataFrame, model: Hmm | None = None, conversation: str = "conv_id"
         if not len(pdf):
             return
         out_roles, out_opens, out_text = [], [], []
-        view = pdf.rename(columns={"__c": "c", "__g": "g"})[["c", "g"]]
+        view = pdf[[name_of["c"], name_of["g"]]].set_axis(["c", "g"], axis=1)
         for lo, hi in _segments(view):
-            seen = [observe(t, s) for t, s in zip(pdf["__t"][lo:hi], pdf["__s"][lo:hi], strict=True)]
-            first = bool(pdf["__q"][lo])
-            before = 0 if first else int(pdf["__b"][lo])
-            path = best_path(hmm.steps([x[:2] for x in seen], first), before, int(pdf["__e"][lo]))
+            seen = [observe(t, s) for t, s in zip(pdf[name_of["t"]][lo:hi], pdf[name_of["s"]][lo:hi], strict=True)]
+            first = bool(pdf[name_of["q"]][lo])
+            before = 0 if first else int(pdf[name_of["b"]][lo])
+            path = best_path(hmm.steps([x[:2] for x in seen], first), before, int(pdf[name_of["e"]][lo]))
             at, last = 0, None if first else before
             for _, _, lines in seen:
                 own = path[at : at + len(lines)]

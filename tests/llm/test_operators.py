@@ -474,3 +474,15 @@ def test_markers_in_text_and_odd_rows(spark):
     assert got[1]["rendered"] == "<|user|>\nhi there?\n<|end|>\n<|assistant|>\nhello\n"
     assert len(out) == 4 and len(got[None]["roles"]) == 1
     assert transcripts.parse(chats(spark).limit(0), model).count() == 0
+
+
+def test_clashing_names_in_classifier_and_transcripts(spark):
+    docs = docs_of(spark, ["good words here", None, "other words"]).withColumns({c: F.lit(7) for c in ("hh", "pp", "hn", "hs", "pn", "ps", "__odds", "host", "path", "n", "s")})
+    out = quality.classify(docs, quality.Model.fit([], np.zeros(0), np.zeros(0)))
+    assert out.count() == 3 and out.select("hs", "pn", "__odds").distinct().collect() == [(7, 7, 7)]
+    rows = spark.createDataFrame([(1, 0, "user", "User: hi\nAssistant: hello"), (1, 1, "assistant", "fine"), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    odd = ["__c", "__g", "__t", "__s", "__b", "__e", "__q", "ec", "eg", "es", "i"]
+    plain = {(r["conv_id"], r["turn"]): tuple(r["roles"]) for r in transcripts.parse(rows).collect()}
+    out = transcripts.parse(rows.withColumns({c: F.lit(7) for c in odd}))
+    got = out.collect()
+    assert {(r["conv_id"], r["turn"]): tuple(r["roles"]) for r in got} == plain and all(r[c] == 7 for r in got for c in odd)
