@@ -17,6 +17,7 @@ PART = r"[\p{L}\p{N}]+"
 COMMENT = r"(?s)<!--.*?-->"
 SNIPPET_CHARACTERS = 240
 WORD_PY = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+PART_PY = re.compile(r"[^\W_]+")
 # End of fixed values.
 
 
@@ -94,7 +95,6 @@ def line_at(text: Column, offset: Column) -> Column:
 def snippet(text: Column, item: Column, limit: int = SNIPPET_CHARACTERS) -> Column:
     """A window of ``limit`` characters centred on the first match of ``item``, whatever its case."""
     n, width = F.length(text), F.length(item)
-    found = F.locate("", F.lit(""))  # placeholder type
     found = F.instr(F.lower(text), F.lower(item)) - 1
     start = F.when(found < 0, 0).otherwise(F.greatest(F.lit(0), F.least(n - limit, found - F.floor((F.lit(limit) - width) / 2).cast("int"))))
     return F.when(n <= limit, text).otherwise(F.substring(text, F.greatest(start, F.lit(0)) + 1, F.lit(limit)))
@@ -149,6 +149,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
+def stem(word: Column, suffixes: list[str], least: int) -> Column:
+    """What a folded word begins with, without its longest listed suffix; null for short words and those with digits."""
+    bare = F.regexp_replace(word, f"^(.{{{least},}}?)({'|'.join(suffixes)})$", "$1")
+    return F.when((F.length(word) > least) & ~word.rlike("[0-9]"), bare)
+
+
 def fold_text(text: str) -> str:
     """Compatibility decomposition without non-spacing marks, case-folded."""
     if text.isascii():
@@ -163,6 +169,10 @@ def index_text(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").lower()
 
 
+def index_words(text: str) -> list[str]:
+    return PART_PY.findall(index_text(text))
+
+
 def _mapped(fn):
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -32,6 +32,15 @@ def tombstones(known: DataFrame, scanned: DataFrame, complete: bool) -> DataFram
     return known.join(scanned.select("path"), "path", "left_anti").where(F.lit(complete)).select("path")
 
 
+def scan_outcomes(known: DataFrame, scanned: DataFrame, scans: DataFrame) -> DataFrame:
+    """root, outcome, tombstoned: of each scan (root, complete) how many known paths (path, root) it did not meet.
+
+    A scan that broke off says nothing about what it did not meet: it asks for another one and buries nothing."""
+    gone = known.join(scanned.select("path"), "path", "left_anti").groupBy("root").agg(F.count("*").alias("gone"))
+    out = scans.join(gone, "root", "left")
+    return out.select("root", F.when(F.col("complete"), "COMPLETE").otherwise("RESCAN_REQUIRED").alias("outcome"), F.when(F.col("complete"), F.coalesce("gone", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("tombstoned"))
+
+
 def rename_hints(old: DataFrame, new: DataFrame) -> DataFrame:
     """(from_path, to_path): gone and new paths of one file identity, unique on both sides, with one fingerprint."""
     key = ["device", "inode"]

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-import statistics
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def ratio(n: Column, d: Column, empty: float = 0.0) -> Column:
     """n / d at six decimals, half to even; ``empty`` where d is 0."""
@@ -28,10 +26,8 @@ def ranked_scores(selected: DataFrame, expected: DataFrame, by: str = "query_id"
 def sliced(judged: DataFrame, slices: list[tuple[str, ...]]) -> DataFrame:
     """Metrics over grouping sets.  judged: a row a query, with hits, n, wanted, full and citation flags."""
     names = sorted({c for s in slices for c in s})
-    spark = judged.sparkSession
-    judged.createOrReplaceTempView("__judged")
-    sets = ", ".join("(" + ", ".join(s) + ")" for s in slices)
-    out = spark.sql(f"SELECT {', '.join(names)}, count(*) AS queries, sum(hits) AS hits, sum(n) AS n, sum(wanted) AS wanted, sum(full_support) AS full_support FROM __judged GROUP BY GROUPING SETS ({sets})")
+    sums = [F.count("*").alias("queries"), *(F.sum(c).alias(c) for c in ("hits", "n", "wanted", "full_support"))]
+    out = judged.groupingSets([[F.col(c) for c in s] for s in slices], *names).agg(*sums)
     return out.select(*names, "queries", ratio(F.col("hits"), F.col("n")).alias("precision"), ratio(F.col("hits"), F.col("wanted")).alias("recall"), ratio(F.col("full_support"), F.col("queries")).alias("full_support"))
 
 
@@ -52,28 +48,27 @@ def nearest_rank(by: list[str], df: DataFrame, value: str) -> DataFrame:
     """Count, p50 and p95 by nearest rank, floor of the median, and the median distance from it."""
     stats = df.groupBy(*by).agg(F.count(value).alias("n"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").cast("long").alias("p50"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").cast("long").alias("p95"), F.median(value).alias("m"))
     med = stats.withColumn("median_floor", F.floor("m").cast("long"))
-    away = df.join(F.broadcast(med.select(*by, "median_floor")), by).withColumn("away", F.abs(F.col(value) - F.col("median_floor")))
+    away = df.join(med.select(*by, "median_floor"), by).withColumn("away", F.abs(F.col(value) - F.col("median_floor")))
     mad = away.groupBy(*by).agg(F.floor(F.median("away")).cast("long").alias("mad"))
     return med.drop("m").join(mad, by)
 
 
-def bootstrap(df: DataFrame, by: str, value: str, resamples: int, seed: str) -> DataFrame:
-    """Median, deviation and a 95 % percentile interval of the median; draws follow a hash stream.
-
-    Each group's sample is one list: these are benchmark observations, bounded by the runs of a case."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        xs = sorted(pdf[value].astype(float))
-        medians = []
-        for r in range(resamples):
-            at = [int.from_bytes(hashlib.sha256(f"{seed}:{r}:{i}".encode()).digest()[:8], "big") % len(xs) for i in range(len(xs))]
-            medians.append(statistics.median(xs[i] for i in at))
-        medians.sort()
-        m = statistics.median(xs)
-        low, high = medians[int(0.025 * (resamples - 1))], medians[-1 - int(0.025 * (resamples - 1))]
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "median": [m], "mad": [statistics.median(abs(x - m) for x in xs)], "low": [low], "high": [high]})
-
-    return df.select(by, value).groupBy(by).applyInPandas(one, f"{by} {dict(df.dtypes)[by]}, median double, mad double, low double, high double")
+def bootstrap(df: DataFrame, by: str, value: str, key: str, resamples: int, seed: str) -> DataFrame:
+    """Median, deviation and a 95 % percentile interval of the median of each group.
+
+    Draw i of resample r takes the value at place (first 8 bytes of sha256 of ``seed:r:i``) modulo n of the group in
+    order of (value, key).  Draws are rows: they are made where their value's place number is and meet it in a join,
+    so a group is never in one task.  Medians keep a count of each distinct value."""
+    placed = numbered(df.select(by, key, F.col(value).cast("double").alias("x")), ["x", key], [by], "place")
+    stats = placed.groupBy(by).agg(F.median("x").alias("median"), F.count("*").alias("n"))
+    away = placed.join(stats.select(by, "median"), by).groupBy(by).agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
+    drawn = placed.join(stats.select(by, "n"), by).select(by, "n", "place", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col("r").cast("string"), F.col("place").cast("string")), 256)
+    at = F.pmod(F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)"), F.col("n")).cast("long")
+    medians = drawn.select(by, "r", at.alias("place")).join(placed.select(by, "place", "x"), [by, "place"]).groupBy(by, "r").agg(F.median("x").alias("m"))
+    edge = int(0.025 * (resamples - 1))
+    ends = medians.groupBy(by).agg(F.sort_array(F.collect_list("m")).alias("ms")).select(by, F.get("ms", F.lit(edge)).alias("low"), F.get("ms", F.lit(resamples - 1 - edge)).alias("high"))
+    return stats.drop("n").join(away, by).join(ends, by).select(by, "median", "mad", "low", "high")
 
 
 def utility(items: DataFrame, budget: int) -> DataFrame:

@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+
+from ..functions.text import relevance_token
 
 # Scales and limits that results must agree on.
 PPM = 1_000_000
 SAFE = 2**53 - 1
 TRUST = ["untrusted", "derived", "source", "verified"]
+FUNCTION_WORDS = """
+a an and are as at be by das dem den der die ein eine for from how in is it mit of on or should the to und von was
+welche welcher welches what when which who why wie with zu
+""".split()
+VOLATILE = "current heute latest live recently today".split()
+RELEVANCE_TOKEN = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*")
+RELEVANCE_PATTERN = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
+YEARS, NAMED_WEIGHT, MAX_SIGNALS, MAX_SIGNAL = (1900, 2200), 4, 64, 128
 # End of fixed values.
 
 
@@ -156,11 +168,48 @@ def missing(required: DataFrame, selected: DataFrame) -> DataFrame:
     return required.join(met, "query_id", "left_anti").select("query_id", "representation")
 
 
-def relevance_signals(text: Column, functions: list[str]) -> Column:
-    """array of struct(token, class, weight): words without function words; identifiers weigh more, years are volatile."""
-    words = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+(?:['’][\p{L}]+)?"), F.lit(0)), lambda w: F.regexp_replace(w, "['’]s$", "")), lambda w: ~w.isin(functions)))
-    kind = lambda w: F.when(w.rlike("^(19|20)[0-9]{2}$"), "volatile_time").when(w.rlike("[0-9_]"), "identifier").otherwise("ordinary")
-    return F.transform(words, lambda w: F.struct(w.alias("token"), kind(w).alias("class"), F.when(kind(w) == "identifier", 4).otherwise(1).alias("weight")))
+def signals_of(task: str, functions: frozenset[str] = frozenset(FUNCTION_WORDS), volatile: frozenset[str] = frozenset(VOLATILE)) -> list[tuple[str, str, int]]:
+    """[(token, class, weight)] of a task, in order of token; none if it has more or longer ones than are allowed."""
+    found: dict[str, tuple[str, int]] = {}
+    for raw in RELEVANCE_TOKEN.findall(unicodedata.normalize("NFC", task)):
+        token = unicodedata.normalize("NFC", raw).casefold()
+        if token.endswith("'s") and len(token) > 2:
+            raw, token = raw[:-2], token[:-2]
+        if token in functions:
+            continue
+        if len(token) > MAX_SIGNAL:
+            return []
+        letters = [c for c in raw if c.isalpha()]
+        year = len(token) == 4 and token.isdecimal() and YEARS[0] <= int(token) <= YEARS[1]
+        named = any(map(str.isdigit, token)) or (len(letters) > 1 and all(map(str.isupper, letters)))
+        timely = token in volatile or year
+        found[token] = ("volatile_time" if timely else "identifier" if named else "ordinary", NAMED_WEIGHT if token not in volatile and (year or named) else 1)
+    return [(t, *found[t]) for t in sorted(found)] if len(found) <= MAX_SIGNALS else []
+
+
+SIGNALS = ArrayType(StructType([StructField("token", StringType()), StructField("class", StringType()), StructField("weight", IntegerType())]))
+
+
+@F.pandas_udf(SIGNALS)
+def relevance_signals(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for tasks in batches:
+        yield pd.Series([[dict(zip(("token", "class", "weight"), s, strict=True)) for s in signals_of(t or "")] for t in tasks])
+
+
+def body_tokens(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, token: distinct tokens that signals are compared with."""
+    return units.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(relevance_token(F.col(text)), F.lit(RELEVANCE_PATTERN), F.lit(0)))).alias("token"))
+
+
+def observe(signals: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """query_id, keys, matched_signals, matched_weight, score, volatile_time_matched of units that match a signal.
+
+    signals: query_id, token, class, weight.  The score is in millionths of the task's weight; a volatile signal must be met."""
+    timely = F.count_if(F.col("class") == "volatile_time")
+    whole = signals.groupBy("query_id").agg(F.sum("weight").alias("total"), timely.alias("all_timely"))
+    met = tokens.join(signals, "token").groupBy("query_id", *keys).agg(F.count("*").alias("matched_signals"), F.sum("weight").alias("matched_weight"), timely.alias("timely"))
+    score = F.floor(F.col("matched_weight") * PPM / F.col("total")).cast("long")
+    return met.join(whole, "query_id").select("query_id", *keys, "matched_signals", "matched_weight", score.alias("score"), (F.col("timely") == F.col("all_timely")).alias("volatile_time_matched"))
 
 
 def uuid7(ms: Column, entropy: Column) -> Column:

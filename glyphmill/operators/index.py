@@ -7,8 +7,10 @@ and taken before any filter.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,27 +20,30 @@ from ..functions.text import index_fold, parts_of
 K1, B = 1.2, 0.75
 #: Query terms that are broadcast; beyond, the join shuffles.
 BROADCAST_TERMS = 100_000
+#: Query terms that are told to the scan, which then reads only where they lie.
+PUSHED_TERMS = 1_000
+#: Letters by which prefixes meet terms.
+HEAD = 4
 
 
-def tokens(units: DataFrame, keys: list[str], text: str = "text", field: str | None = None) -> DataFrame:
-    """One row for each token: keys, term (and the field's name)."""
-    cols = [*keys, F.explode(parts_of(index_fold(F.col(text)))).alias("term")]
-    return units.select(*cols, *([F.lit(field).alias("field")] if field else []))
+def postings(units: DataFrame, keys: list[str], fields: dict[str, float] | None = None) -> DataFrame:
+    """keys, term, tf (weighted over fields), hits (unweighted).  Every field is read and folded once."""
 
+    def marked(field: str, weight: float) -> Column:
+        return F.transform(parts_of(index_fold(F.coalesce(F.col(field), F.lit("")))), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
-def postings(units: DataFrame, keys: list[str], fields: dict[str, float] | None = None) -> DataFrame:
-    """keys, term, tf (weighted over fields), hits (unweighted)."""
-    fields = fields or {"text": 1.0}
-    parts = [tokens(units, keys, c).groupBy(*keys, "term").agg(F.count("*").alias("hits")).withColumn("tf", F.col("hits") * F.lit(w)) for c, w in fields.items()]
-    if len(parts) == 1:
-        return parts[0]
-    return reduce(DataFrame.unionByName, parts).groupBy(*keys, "term").agg(F.sum("hits").alias("hits"), F.sum("tf").alias("tf"))
+    each = units.select(*keys, F.explode(F.concat(*(marked(c, w) for c, w in (fields or {"text": 1.0}).items()))).alias("x")).select(*keys, "x.term", "x.w")
+    return each.groupBy(*keys, "term").agg(F.count("*").alias("hits"), F.sum("w").alias("tf"))
+
+
+def laid_out(posted: DataFrame) -> DataFrame:
+    """Postings as they are stored: terms in ranges and in order, so that a reader of few terms skips the rest."""
+    return posted.repartitionByRange("term").sortWithinPartitions("term")
 
 
-def lengths(units: DataFrame, keys: list[str], fields: list[str] | None = None) -> DataFrame:
-    """keys, length: tokens of all fields."""
-    size = sum((F.size(parts_of(index_fold(F.coalesce(F.col(c), F.lit(""))))) for c in fields or ["text"]), F.lit(0))
-    return units.select(*keys, size.cast("long").alias("length"))
+def lengths(posted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, length: tokens of the units that have any."""
+    return posted.groupBy(*keys).agg(F.sum("hits").alias("length"))
 
 
 def totals(length: DataFrame) -> DataFrame:
@@ -53,11 +58,44 @@ def few(terms: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def matching(posted: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """query_id, item, keys, tf: a term's postings; those of a prefix are summed.  terms: query_id, item, prefix."""
-    exact = posted.join(few(terms.where(~F.col("prefix"))), F.col("term") == F.col("item"))
-    by_prefix = posted.join(few(terms.where("prefix")), F.col("term").startswith(F.col("item")))
-    both = exact.unionByName(by_prefix)
-    return both.groupBy("query_id", "item", *keys).agg(F.sum("tf").alias("tf"))
+    """query_id, item, keys, tf: a term's postings; those of a prefix are summed.  terms: query_id, item, prefix.
+
+    A prefix meets terms on its first letters, HEAD at most, and then on the rest of it."""
+    whole, beginnings = terms.where(~F.col("prefix")), terms.where("prefix")
+    items = [r["item"] for r in whole.select("item").distinct().limit(PUSHED_TERMS + 1).collect()]
+    near = posted.where(F.col("term").isin(items)) if 0 < len(items) <= PUSHED_TERMS else posted
+    found = [near.join(few(whole), F.col("term") == F.col("item"))]
+    head = F.least(F.length("item"), F.lit(HEAD))
+    for n in sorted(r[0] for r in beginnings.select(head).distinct().collect()):
+        wanted = few(beginnings.where(head == n)).withColumn("head", F.substring("item", 1, n))
+        meet = posted.withColumn("__head", F.substring("term", 1, n)).join(wanted, (F.col("__head") == F.col("head")) & F.col("term").startswith(F.col("item")))
+        found.append(meet.drop("__head", "head"))
+    return reduce(DataFrame.unionByName, found).groupBy("query_id", "item", *keys).agg(F.sum("tf").alias("tf"))
+
+
+def phrase_hits(posted: DataFrame, units: DataFrame, phrases: DataFrame, keys: list[str], fields: dict[str, float] | None = None) -> DataFrame:
+    """query_id, item, keys, tf of phrases (query_id, item, words, prefix): words side by side, the last as a prefix.
+
+    Only units that hold all words are read; in them every place counts where the phrase begins."""
+    fields = fields or {"text": 1.0}
+    each = phrases.select("query_id", "item", F.size("words").alias("n"), "prefix", F.posexplode("words").alias("i", "word"))
+    parts = each.select(F.struct("query_id", F.col("item").alias("phrase")).alias("query_id"), F.col("word").alias("item"), (F.col("prefix") & (F.col("i") == F.col("n") - 1)).alias("prefix")).distinct()
+    both = conjunctive(matching(posted, parts, keys), parts, keys).select("query_id.query_id", F.col("query_id.phrase").alias("item"), *keys)
+
+    @F.pandas_udf("array<double>")
+    def places(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for words, prefix, *texts in batches:
+            out = []
+            for wanted, open_end, *own in zip(words, prefix, *texts, strict=True):
+                wanted = list(wanted)
+                last = str.startswith if open_end else str.__eq__
+                out.append([float(sum(t[i : i + len(wanted) - 1] == wanted[:-1] and last(t[i + len(wanted) - 1], wanted[-1]) for i in range(len(t) - len(wanted) + 1))) for t in map(list, own)])
+            yield pd.Series(out)
+
+    read = both.join(units.select(*keys, *fields), keys).join(few(phrases.select("query_id", "item", "words", "prefix")), ["query_id", "item"])
+    found = read.withColumn("at", places("words", "prefix", *(parts_of(index_fold(F.coalesce(F.col(c), F.lit("")))) for c in fields)))
+    tf = sum((F.col("at")[i] * w for i, w in enumerate(fields.values())), F.lit(0.0))
+    return found.select("query_id", "item", *keys, tf.alias("tf")).where("tf > 0")
 
 
 def bm25(matched: DataFrame, length: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,7 +116,7 @@ def coverage(matched: DataFrame, keys: list[str]) -> DataFrame:
 def conjunctive(matched: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """query_id, keys of the units that hold all of a query's items."""
     wanted = terms.groupBy("query_id").agg(F.count_distinct("item").alias("wanted"))
-    return coverage(matched, keys).join(F.broadcast(wanted), "query_id").where("coverage = wanted").select("query_id", *keys)
+    return coverage(matched, keys).join(wanted, "query_id").where("coverage = wanted").select("query_id", *keys)
 
 
 def top(scored: DataFrame, order: list[Column | str], k: int, by: str = "query_id", offset: int = 0) -> DataFrame:

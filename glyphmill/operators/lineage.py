@@ -6,28 +6,27 @@ and rounds survive lost executors.
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphmill-"))
-    return df.checkpoint()
+    return staged(df, "lineage")
 
 
 def closure(start: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """id: ``start`` (id) and all that its members reach over ``edges`` (a to b)."""
-    found = frontier = checkpointed(start.select("id").distinct())
+    """id: ``start`` (id) and all that its members reach over ``edges`` (a to b).  Each round is written once."""
+    rounds = [checkpointed(start.select("id").distinct())]
     for _ in range(most):
-        ahead = edges.join(frontier, edges["a"] == frontier["id"], "left_semi").select(F.col("b").alias("id")).distinct()
-        frontier = checkpointed(ahead.join(found, "id", "left_anti"))
+        ahead = edges.join(rounds[-1], edges["a"] == rounds[-1]["id"], "left_semi").select(F.col("b").alias("id")).distinct()
+        frontier = checkpointed(ahead.join(reduce(DataFrame.union, rounds), "id", "left_anti"))
         if frontier.isEmpty():
-            return found
-        found = checkpointed(found.union(frontier))
+            return reduce(DataFrame.union, rounds)
+        rounds.append(frontier)
     raise RuntimeError("the closure did not settle")
 
 
@@ -42,14 +41,12 @@ def stale(nodes: DataFrame, dependencies: DataFrame, inactive: DataFrame) -> Dat
 
 def cyclic(new_edges: DataFrame, edges: DataFrame) -> DataFrame:
     """New edges (a, b) that would close a cycle: b already leads to a.  One closure for all new edges."""
-    pairs = checkpointed(new_edges.select("a", "b", F.col("b").alias("id")).distinct())
-    seen = frontier = pairs
+    rounds = [checkpointed(new_edges.select("a", "b", F.col("b").alias("id")).distinct())]
     step = edges.select(F.col("a").alias("id"), F.col("b").alias("to"))
-    while not frontier.isEmpty():
-        ahead = frontier.join(step, "id").select("a", "b", F.col("to").alias("id")).distinct()
-        frontier = checkpointed(ahead.join(seen, ["a", "b", "id"], "left_anti"))
-        seen = checkpointed(seen.union(frontier))
-    return seen.where("id = a").select("a", "b").distinct()
+    while not rounds[-1].isEmpty():
+        ahead = rounds[-1].join(step, "id").select("a", "b", F.col("to").alias("id")).distinct()
+        rounds.append(checkpointed(ahead.join(reduce(DataFrame.union, rounds), ["a", "b", "id"], "left_anti")))
+    return reduce(DataFrame.union, rounds).where("id = a").select("a", "b").distinct()
 
 
 def reactivate(nodes: DataFrame, dependencies: DataFrame, active: DataFrame) -> DataFrame:

@@ -15,8 +15,10 @@ SENSITIVITY = ["public", "internal", "confidential", "restricted", "unknown"]
 
 
 def rank_order() -> list[Column]:
-    """Total order of candidates: tier, then what they match, then where they come from."""
-    return [F.col("tier"), F.desc("coverage"), F.desc("occurrences"), F.desc("relevance"), F.col("source"), F.col("doc_id"), F.col("ordinal"), F.col("evidence_id")]
+    """Total order of candidates: value and tier, then what they match, then where they come from (ids as text)."""
+    first = [~F.col("high_value"), F.col("tier"), F.coalesce("semantic", "coverage").desc()]
+    matched = [F.desc(c) for c in ("occurrences", "relevance", "matched_weight", "matched_signals")]
+    return [*first, *matched, F.col("doc_id").cast("string"), *map(F.col, ("version_id", "representation_id", "source_order", "representation", "evidence_id"))]
 
 
 def ranked(candidates: DataFrame, order: list[Column] | None = None) -> DataFrame:

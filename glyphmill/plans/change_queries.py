@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import change as C
 from ..operators import lineage as L
 from ..operators import versions as V
+from ..operators.numbering import numbered
 from .registry import query, table
 from .text_queries import documents
 
@@ -133,17 +134,23 @@ def u02(spark, d):
     return L.stale(nodes, deps, spark.createDataFrame([("in3",), ("in7",)], "input_digest string"))
 
 
-@query("u03_cycle_check", f"WITH RECURSIVE {NODES}, r(a, b, id) AS (SELECT id * 5, id, id * 0 + id FROM n WHERE id % 50 = 1 UNION SELECT r.a, r.b, e.b FROM r JOIN e ON e.a = r.id) SELECT DISTINCT a, b FROM r WHERE id = a")
+CLOSING = "SELECT id AS a, CASE WHEN id % 100 = 1 THEN id // 4 ELSE id + 1 END AS b FROM n WHERE id % 50 = 1 AND id > 40"
+
+
+@query("u03_cycle_check", f"WITH RECURSIVE {NODES}, r(a, b, id) AS (SELECT a, b, b FROM ({CLOSING}) UNION SELECT r.a, r.b, e.b FROM r JOIN e ON e.a = r.id) SELECT DISTINCT a, b FROM r WHERE id = a")
 def u03(spark, d):
+    """New edges from artifacts to what they come from close a cycle, others do not."""
     nodes, deps = derivations(spark, d)
     edges = deps.where("producer_artifact_id is not null").select(F.col("producer_artifact_id").alias("a"), F.col("artifact_id").alias("b"))
-    new = nodes.where("artifact_id % 50 = 1").select((F.col("artifact_id") * 5).alias("a"), F.col("artifact_id").alias("b"))
+    new = nodes.where("artifact_id % 50 = 1 AND artifact_id > 40").select(F.col("artifact_id").alias("a"), F.expr("CASE WHEN artifact_id % 100 = 1 THEN artifact_id div 4 ELSE artifact_id + 1 END").alias("b"))
     return L.cyclic(new, edges)
 
 
 @query("u04_reactivation")
 def u04(spark, d):
+    """Every third artifact has a slot of its own, so stale ones among them can come back."""
     nodes, deps = derivations(spark, d)
+    nodes = nodes.withColumn("slot", F.expr("CASE WHEN artifact_id % 3 = 0 THEN -artifact_id ELSE artifact_id div 2 END"))
     active = spark.createDataFrame([(f"in{i}",) for i in range(1, 11)], "input_digest string")
     return L.reactivate(nodes, deps, active)
 
@@ -180,16 +187,19 @@ def x02(spark, d):
     return C.file_states(seen(spark, d), 600_000).select("path", "seen_at", "state", "event")
 
 
-@query("x04_tombstones", "SELECT DISTINCT user_id AS path FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("x04_tombstones", "SELECT DISTINCT user_id AS path FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 37 = 0)")
 def x04(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("path"), "event_type")
-    return C.tombstones(e.select("path").distinct(), e.where("event_type = 'purchase'"), True)
+    e = table(spark, d, "events")
+    return C.tombstones(e.select(F.col("user_id").alias("path")).distinct(), e.where("event_id % 37 = 0").select(F.col("user_id").alias("path")), True)
 
 
-@query("x05_incomplete_scan", "SELECT user_id AS path FROM events WHERE false")
+@query("x05_incomplete_scan", """SELECT root, CASE WHEN root % 2 = 0 THEN 'COMPLETE' ELSE 'RESCAN_REQUIRED' END AS outcome, CAST(count(*) FILTER (WHERE root % 2 = 0 AND NOT met) AS BIGINT) AS tombstoned FROM
+ (SELECT user_id, user_id % 10 AS root, bool_or(event_id % 37 = 0) AS met FROM events GROUP BY 1, 2) GROUP BY 1""")
 def x05(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("path"), "event_type")
-    return C.tombstones(e.select("path").distinct(), e.where("event_type = 'purchase'"), False)
+    """Scans of the odd roots broke off: they ask for another scan and bury nothing."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("path"), F.expr("user_id % 10").alias("root"), "event_id")
+    scans = e.select("root").distinct().withColumn("complete", F.expr("root % 2 = 0"))
+    return C.scan_outcomes(e.select("path", "root").distinct(), e.where("event_id % 37 = 0").select("path").distinct(), scans)
 
 
 @query("j13_rename_hints", "SELECT 'old/' || c_custkey AS from_path, 'new/' || c_custkey AS to_path FROM customer WHERE c_custkey % 4 = 0")
@@ -257,15 +267,10 @@ def k10(spark, d):
 
 @query("w17_surrogate_ids", "SELECT s_suppkey, (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS id FROM supplier")
 def w17(spark, d):
-    from pyspark.sql import Window as W
-
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    # numbers run on from group to group: counts of the groups give the offsets, so no task sorts all rows
-    per = s.groupBy("s_nationkey").agg(F.count("*").alias("n"))
-    before = per.alias("a").join(per.alias("b"), F.col("b.s_nationkey") < F.col("a.s_nationkey"), "left").groupBy(F.col("a.s_nationkey").alias("s_nationkey")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    """Numbers that run on from the largest there is, in order of two keys, without one task that sorts all rows."""
+    s = numbered(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), ["s_nationkey", "s_suppkey"])
     base = table(spark, d, "customer").agg(F.max("c_custkey").alias("base"))
-    nth = F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    return s.join(before, "s_nationkey").crossJoin(F.broadcast(base)).select("s_suppkey", (F.col("base") + F.col("before") + nth).cast("long").alias("id"))
+    return s.crossJoin(F.broadcast(base)).select("s_suppkey", (F.col("base") + F.col("number") + 1).cast("long").alias("id"))  # one row
 
 
 FILES = "SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 5 = 0 THEN 'MISSING' WHEN p_partkey % 3 <> 0 THEN 'CURRENT' WHEN p_partkey % 2 = 0 THEN 'CURRENT' WHEN p_partkey % 7 = 0 THEN 'UNKNOWN' ELSE 'CHANGED' END AS freshness FROM part"

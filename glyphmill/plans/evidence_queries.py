@@ -10,11 +10,11 @@ from .registry import query, table
 from .text_queries import documents
 
 
-@query("c17_page_region", "SELECT doc_id, CAST(round_even(n_chars * 1000000::DECIMAL(28,9) / 20000, 0) AS BIGINT) AS a, least(1000000, CAST(round_even((n_chars + 9000) * 1000000::DECIMAL(28,9) / 20000, 0) AS BIGINT)) AS b, n_chars + 9000 > 20000 AS clamped FROM documents WHERE n_chars <= 20000")
+@query("c17_page_region", "SELECT doc_id, least(1000000, CAST(round_even(n_chars * 1000000::DECIMAL(28,9) / 20000, 0) AS BIGINT)) AS a, least(1000000, CAST(round_even((n_chars + 9000) * 1000000::DECIMAL(28,9) / 20000, 0) AS BIGINT)) AS b, n_chars + 9000 > 20000 AS clamped FROM documents")
 def c17(spark, d):
     n = F.col("n_chars")
     r = V.page_region(n, F.lit(0), n + 9000, F.lit(10), F.lit(20000), F.lit(100))
-    return documents(spark, d).where("n_chars <= 20000").select("doc_id", r.alias("r")).select("doc_id", F.col("r.left").alias("a"), F.col("r.right").alias("b"), "r.clamped")
+    return documents(spark, d).select("doc_id", r.alias("r")).select("doc_id", F.col("r.left").alias("a"), F.col("r.right").alias("b"), "r.clamped")
 
 
 @query("c18_pixel_bounds", "SELECT doc_id, CAST(n_chars % 500000 * 640 // 1000000 AS BIGINT) AS x0, CAST(ceil((500000 + n_chars % 500000) * 640 / 1000000) AS BIGINT) AS x1 FROM documents")
@@ -85,12 +85,6 @@ def r33(spark, d):
     return V.missing(c.drop("turn"), c.where("turn % 5 = 3"))
 
 
-@query("r18_relevance_signals")
-def r18(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("In 2024 part_7's "), F.col("text")).alias("text"))
-    return b.select("item_id", F.explode(V.relevance_signals(F.col("text"), ["the", "of", "in", "and"])).alias("s")).select("item_id", "s.token", "s.class", "s.weight")
-
-
 @query("c13_uuid7", "SELECT event_id, substr(t, 1, 8) || '-' || substr(t, 9, 4) || '-7' || substr(h, 1, 3) || '-8' || substr(h, 4, 3) || '-' || substr(h, 7, 12) AS id FROM (SELECT event_id, lpad(lower(hex(epoch_us(ts) // 1000)), 12, '0') AS t, sha256(CAST(event_id AS VARCHAR)) AS h FROM events)")
 def c13(spark, d):
     return table(spark, d, "events").select("event_id", V.uuid7(F.unix_millis(F.col("ts").cast("timestamp")), F.sha2(F.col("event_id").cast("string"), 256)).alias("id"))

@@ -7,13 +7,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from ..functions import planning
 from ..functions import text as T
 from ..operators import evaluate as E
+from ..operators import evidence as V2
 from ..operators import index as I
 from ..operators import selection as S
+from ..operators import semantic
 from ..operators import verify as V
+from ..operators.blocks import text_lines
+from ..sources.scratch import kept, staged
 from .registry import query, table
 from .text_queries import PASSAGES_SQL, documents, passages
 
@@ -21,7 +26,7 @@ FIND_LIMIT, FIND_CANDIDATES, PER_DOCUMENT = 8, 300, 3
 
 TOK = r"tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) AS term FROM documents)"
 POST = "post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), len AS (SELECT doc_id, count(*) AS length FROM tok GROUP BY 1)"
-TERMS = r"qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')[1:4]) AS item FROM benchmark)"
+TERMS = r"qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) AS item FROM benchmark)"
 HITS = "hit AS (SELECT query_id, item, doc_id, tf FROM qt JOIN post ON item = term)"
 SCORED = """df AS (SELECT query_id, item, count(*) AS df FROM hit GROUP BY 1, 2), tot AS (SELECT count(*) AS n, avg(length) AS avgd FROM len),
 sc AS (SELECT query_id, doc_id, -sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgd))) AS rank
@@ -30,12 +35,39 @@ BASE = f"WITH {TOK}, {POST}, {TERMS}, {HITS}, {SCORED} "
 
 
 def posted(spark, d):
-    return I.postings(documents(spark, d), ["doc_id"])
+    """Postings of the documents, built once."""
+    docs = documents(spark, d)
+    return kept(docs, "document-postings", lambda: I.laid_out(I.postings(docs, ["doc_id"])))
+
+
+def lengths(spark, d):
+    docs = documents(spark, d)
+    return kept(docs, "document-lengths", lambda: I.lengths(posted(spark, d), ["doc_id"]))
+
+
+PASSAGE_KEYS, PASSAGE_FIELDS = ["doc_id", "ordinal"], {"text": 1.0, "heading": 0.35}
+
+
+def passage_units(spark, d):
+    return kept(documents(spark, d), "passages", lambda: passages(spark, d))
+
+
+def passage_postings(spark, d):
+    return kept(documents(spark, d), "passage-postings", lambda: I.laid_out(I.postings(passage_units(spark, d), PASSAGE_KEYS, PASSAGE_FIELDS)))
+
+
+def passage_lengths(spark, d):
+    return kept(documents(spark, d), "passage-lengths", lambda: I.lengths(passage_postings(spark, d), PASSAGE_KEYS))
+
+
+def build_index(spark, d):
+    """All tables of the index; those that are there already are left alone."""
+    return [f(spark, d) for f in (posted, lengths, passage_units, passage_postings, passage_lengths)]
 
 
 def terms(spark, d):
-    """The first four words of each benchmark text."""
-    words = F.slice(T.parts_of(T.index_fold(F.col("text"))), F.lit(1), F.lit(4))
+    """The words of each benchmark text."""
+    words = T.parts_of(T.index_fold(F.col("text")))
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words).alias("item")).distinct().withColumn("prefix", F.lit(False))
 
 
@@ -44,7 +76,7 @@ def hits(spark, d):
 
 
 def scores(spark, d):
-    return I.bm25(hits(spark, d), I.lengths(documents(spark, d), ["doc_id"]), ["doc_id"])
+    return I.bm25(hits(spark, d), lengths(spark, d), ["doc_id"])
 
 
 @query("postings", f"WITH {TOK}, {POST} SELECT doc_id, term, tf FROM post")
@@ -54,7 +86,7 @@ def postings(spark, d):
 
 @query("a24_index_statistics", f"WITH {TOK}, {POST} SELECT count(*) AS n, CAST(sum(length) AS BIGINT) AS tokens FROM len")
 def a24(spark, d):
-    return I.lengths(documents(spark, d), ["doc_id"]).agg(F.count_if(F.col("length") > 0).alias("n"), F.sum("length").alias("tokens"))
+    return lengths(spark, d).agg(F.count_if(F.col("length") > 0).alias("n"), F.sum("length").alias("tokens"))
 
 
 @query("r06_bm25", BASE + "SELECT query_id, doc_id, CAST(round(rank * 1000000) AS BIGINT) AS rank FROM sc")
@@ -71,7 +103,7 @@ def r05(spark, d):
     docs = documents(spark, d).withColumn("heading", F.concat_ws(" ", "source", F.substring("text", 1, 20)))
     post = I.postings(docs, ["doc_id"], {"text": 1.0, "heading": 0.35})
     matched = I.matching(post, terms(spark, d), ["doc_id"])
-    return I.bm25(matched, I.lengths(docs, ["doc_id"], ["text", "heading"]), ["doc_id"]).select("query_id", "doc_id", F.round(F.col("rank") * 1000000).cast("long").alias("rank"))
+    return I.bm25(matched, I.lengths(post, ["doc_id"]), ["doc_id"]).select("query_id", "doc_id", F.round(F.col("rank") * 1000000).cast("long").alias("rank"))
 
 
 @query("r02_conjunctive", f"WITH {TOK}, {POST}, {TERMS}, {HITS} SELECT query_id, doc_id FROM hit GROUP BY query_id, doc_id HAVING count(*) = (SELECT count(*) FROM qt WHERE qt.query_id = hit.query_id)")
@@ -79,9 +111,14 @@ def r02(spark, d):
     return I.conjunctive(hits(spark, d), terms(spark, d), ["doc_id"])
 
 
-@query("r04_prefix_terms", f"WITH {TOK}, p AS (SELECT doc_id, left(item, 3) AS item, count(*) AS tf FROM tok JOIN (SELECT DISTINCT left(item, 3) AS item FROM ({TERMS.split(' AS ', 1)[1].strip('()')}) WHERE length(item) >= 3) q ON starts_with(term, q.item) GROUP BY 1, 2) SELECT doc_id, item, tf FROM p")
+STEM_SQL = r"CASE WHEN length(w) < 5 OR regexp_matches(w, '[0-9]') THEN NULL ELSE regexp_replace(w, '^(.{4,}?)(" + "|".join(planning.SUFFIXES) + r")$', '\1') END"
+
+
+@query("r04_prefix_terms", f"WITH {TOK}, {POST}, q AS (SELECT DISTINCT {STEM_SQL} AS item FROM (SELECT item AS w FROM ({TERMS.split(' AS ', 1)[1].strip('()')})))," + """
+ v AS (SELECT DISTINCT term FROM post), m AS (SELECT term, item FROM v JOIN q ON left(term, 4) = left(item, 4) AND starts_with(term, item)) SELECT doc_id, item, CAST(sum(tf) AS BIGINT) AS tf FROM post JOIN m USING (term) GROUP BY 1, 2""")
 def r04(spark, d):
-    prefixes = terms(spark, d).where(F.length("item") >= 3).select(F.lit(0).alias("query_id"), F.substring("item", 1, 3).alias("item"), F.lit(True).alias("prefix")).distinct()
+    """Stems of all benchmark words as prefixes."""
+    prefixes = terms(spark, d).select(F.lit(0).alias("query_id"), T.stem(F.col("item"), planning.SUFFIXES, planning.MIN_STEM).alias("item"), F.lit(True).alias("prefix")).dropna().distinct()
     return I.matching(posted(spark, d), prefixes, ["doc_id"]).select("doc_id", "item", F.col("tf").cast("long").alias("tf"))
 
 
@@ -101,19 +138,42 @@ def a04(spark, d):
     return documents(spark, d).select("doc_id", sum((F.when(c > 0, 1).otherwise(0) for c in counts), F.lit(0)).cast("long").alias("present"), (counts[0] + counts[1] + counts[2]).alias("total"))
 
 
-WEIGHTS = {"the": 1, "of": 1, "erth": 4, "src": 4}
+FOLDED = "replace(lower(nfc_normalize(text)), 'ß', 'ss')"
+RELEVANCE_TOKEN = V2.RELEVANCE_PATTERN.replace("'", "''")
+LISTED = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+SIGNALS = rf"""rt AS (SELECT item_id, unnest(l) AS r, unnest(range(1, len(l) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(nfc_normalize('In 2024 part-7 ' || text || ' today'), '{RELEVANCE_TOKEN}') AS l FROM benchmark)),
+rv AS (SELECT item_id, i, regexp_replace(replace(lower(r), 'ß', 'ss'), '(.)''s$', '\1') AS token, regexp_replace(r, '(.)''s$', '\1') AS r FROM rt),
+rc AS (SELECT *, CASE WHEN token IN {LISTED(V2.VOLATILE)} THEN 'volatile_time' WHEN regexp_matches(token, '^(19|20|21)[0-9][0-9]$|^2200$') THEN 'year'
+ WHEN regexp_matches(token, '[0-9]') OR (length(regexp_replace(r, '[^\p{{L}}]', '', 'g')) > 1 AND r = upper(r)) THEN 'identifier' ELSE 'ordinary' END AS class FROM rv WHERE token NOT IN {LISTED(V2.FUNCTION_WORDS)}),
+rs AS (SELECT item_id, token, arg_max(class, i) AS class, arg_max(CASE WHEN class IN ('year', 'identifier') THEN 4 ELSE 1 END, i) AS weight FROM rc GROUP BY 1, 2)"""
+OBSERVED = f"""WITH {SIGNALS}, dt AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({FOLDED}, '{RELEVANCE_TOKEN}')) AS token FROM documents),
+ al AS (SELECT item_id, sum(weight) AS total, count(*) FILTER (WHERE class IN ('year', 'volatile_time')) AS volatile FROM rs GROUP BY 1),
+ ob AS (SELECT item_id AS query_id, doc_id, count(*) AS matched_signals, CAST(sum(weight) AS BIGINT) AS matched_weight, CAST(sum(weight) * 1000000 // any_value(total) AS BIGINT) AS score, count(*) FILTER (WHERE class IN ('year', 'volatile_time')) = any_value(volatile) AS volatile_time_matched FROM rs JOIN dt USING (token) JOIN al USING (item_id) GROUP BY 1, 2)"""
+
+
+def signals(spark, d):
+    """Relevance signals of tasks: the benchmark texts, with a year, an identifier and a word of the day."""
+    task = F.concat(F.lit("In 2024 part-7 "), F.col("text"), F.lit(" today"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(V2.relevance_signals(task)).alias("s")).select("query_id", "s.token", "s.class", "s.weight")
+
+
+@query("r18_relevance_signals", f"WITH {SIGNALS} SELECT item_id AS query_id, token, CASE class WHEN 'year' THEN 'volatile_time' ELSE class END AS class, CAST(weight AS INTEGER) AS weight FROM rs")
+def r18(spark, d):
+    return signals(spark, d)
 
 
-@query("a05_weighted_relevance", f"WITH {TOK} SELECT doc_id, CAST(sum(CASE term WHEN 'the' THEN 1 WHEN 'of' THEN 1 ELSE 4 END) * 1000000 // 10 AS BIGINT) AS relevance FROM (SELECT DISTINCT doc_id, term FROM tok WHERE term IN ('the', 'of', 'erth', 'src')) GROUP BY doc_id")
+@query("a05_weighted_relevance", OBSERVED + " SELECT query_id, doc_id, matched_signals, matched_weight, score FROM ob")
 def a05(spark, d):
-    w = spark.createDataFrame(list(WEIGHTS.items()), "term string, weight long")
-    found = posted(spark, d).join(F.broadcast(w), "term")
-    return found.groupBy("doc_id").agg(F.expr(f"sum(weight) * 1000000 div {sum(WEIGHTS.values())}").alias("relevance"))
+    return observed(spark, d).select("query_id", "doc_id", "matched_signals", "matched_weight", "score")
 
 
-@query("r19_relevance_floor", f"WITH {TOK} SELECT doc_id, CAST(sum(CASE term WHEN 'the' THEN 1 WHEN 'of' THEN 1 ELSE 4 END) * 1000000 // 10 AS BIGINT) AS relevance FROM (SELECT DISTINCT doc_id, term FROM tok WHERE term IN ('the', 'of', 'erth', 'src')) GROUP BY doc_id HAVING relevance >= 250000")
+def observed(spark, d):
+    return V2.observe(signals(spark, d), V2.body_tokens(documents(spark, d), ["doc_id"]), ["doc_id"])
+
+
+@query("r19_relevance_floor", OBSERVED + " SELECT query_id, doc_id, volatile_time_matched, volatile_time_matched AND score >= 250000 AS meets_minimum FROM ob")
 def r19(spark, d):
-    return a05(spark, d).where(F.col("relevance") >= S.RELEVANCE_FLOOR)
+    return observed(spark, d).select("query_id", "doc_id", "volatile_time_matched", (F.col("volatile_time_matched") & (F.col("score") >= S.RELEVANCE_FLOOR)).alias("meets_minimum"))
 
 
 TOP = "top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), doc_id) AS place FROM sc)"
@@ -152,37 +212,75 @@ def w07(spark, d):
     return I.diversify(r, FIND_LIMIT, PER_DOCUMENT, "source").select("query_id", "doc_id", "place")
 
 
-def find_passages(spark, d, questions: dict[int, str]):
-    """The flagship: plan, score, cover, order, diversify, cut a snippet."""
-    keys = ["doc_id", "ordinal"]
-    units = passages(spark, d)
-    plans = {q: planning.plan(t) for q, t in questions.items()}
-    rows = [(q, t.text, t.prefix) for q, p in plans.items() for t in p if not t.phrase]
-    rows += [(q, w, False) for q, p in plans.items() for t in p if t.phrase for w in t.text.split(" ")]
-    wanted = spark.createDataFrame(sorted(set(rows)), "query_id int, item string, prefix boolean")
-    post = I.postings(units, keys)
-    matched = I.matching(post, wanted, keys)
-    ranked_units = I.bm25(matched, I.lengths(units, keys), keys).join(I.coverage(matched, keys), ["query_id", *keys])
-    few = I.top(ranked_units.withColumn("r9", F.round("rank", 9)), ["r9", *keys], FIND_CANDIDATES)
-    order = [F.desc("coverage"), "r9", "doc_id", "ordinal"]
-    placed = I.top(few.drop("place"), order, FIND_CANDIDATES)
-    chosen = I.diversify(placed, FIND_LIMIT, PER_DOCUMENT, "doc_id")
-    body = chosen.join(units, keys)  # only the few chosen move
+PLAN = Y.ArrayType(Y.StructType([Y.StructField("text", Y.StringType()), Y.StructField("prefix", Y.BooleanType()), Y.StructField("phrase", Y.BooleanType()), Y.StructField("words", Y.ArrayType(Y.StringType()))]))
+
+
+@F.pandas_udf(PLAN)
+def planned_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The planned terms of a question, each with the words that the index knows it by."""
+    for texts in batches:
+        yield pd.Series([[{"text": t.text, "prefix": t.prefix, "phrase": t.phrase, "words": T.index_words(t.text)} for t in planning.plan(x or "")] for x in texts])
+
 
-    @F.pandas_udf("string")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for q, t in batches:
-            yield pd.Series([V.best_snippet(x, plans[i]) for i, x in zip(q, t, strict=True)], dtype=object)
+def plan_hits(plans, post, units, keys, fields):
+    """query_id, item, keys, tf of planned terms: words, beginnings of words and phrases."""
+    each = plans.select("query_id", F.explode("plan").alias("t")).select("query_id", "t.prefix", "t.words").distinct()
+    single = each.where(F.size("words") == 1).select("query_id", F.col("words")[0].alias("item"), "prefix")
+    several = each.where(F.size("words") > 1).select("query_id", F.concat(F.lit('"'), F.array_join("words", " "), F.lit('"'), F.when(F.col("prefix"), "*").otherwise("")).alias("item"), "words", "prefix")
+    whole = I.matching(post, single.where(~F.col("prefix")), keys)
+    begun = I.matching(post, single.where("prefix"), keys).withColumn("item", F.concat("item", F.lit("*")))
+    return whole.unionByName(begun).unionByName(I.phrase_hits(post, units, several, keys, fields))
 
-    return body.select("query_id", "place", "doc_id", "ordinal", "line_start", "line_end", "coverage", F.round(F.col("rank") * 1000000).cast("long").alias("rank"), cut("query_id", "text").alias("snippet"))
 
+JUDGED_PASSAGE = Y.StructType([Y.StructField("body", Y.BooleanType()), Y.StructField("coverage", Y.IntegerType())])
 
-QUESTIONS = {0: "Which erth thation reports are there?", 1: "anthat onesen", 2: "Quelle est la mention auxi"}
+
+@F.pandas_udf(JUDGED_PASSAGE)
+def judge_passage(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    """Whether the text has a term at all, and how many terms the heading and the text have."""
+    for plans, headings, texts in batches:
+        rows = []
+        for plan, heading, text in zip(plans, headings, texts, strict=True):
+            wanted = [planning.Term(t["text"], t["prefix"], t["phrase"]) for t in plan]
+            rows.append((V.coverage(text, wanted) > 0, V.coverage(f"{heading}\n{text}", wanted)))
+        yield pd.DataFrame(rows, columns=["body", "coverage"])
+
+
+@F.pandas_udf(Y.StringType())
+def cut_snippet(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for plans, texts in batches:
+        yield pd.Series([V.best_snippet(x, [planning.Term(t["text"], t["prefix"], t["phrase"]) for t in p]) for p, x in zip(plans, texts, strict=True)], dtype=object)
+
+
+def find_passages(questions, units, post, length):
+    """The flagship: plan, score over text and heading, order the best by what they cover, diversify, cut a snippet.
+
+    questions: query_id, text.  Order: a hit in the text, coverage, prose before tables for questions, rank, place."""
+    keys = PASSAGE_KEYS
+    plans = questions.select("query_id", T.is_question(F.col("text")).alias("asks"), planned_column("text").alias("plan"))
+    scored = I.bm25(plan_hits(plans, post, units, keys, PASSAGE_FIELDS), length, keys).withColumn("r9", F.round("rank", 9))
+    few = I.top(scored, ["r9", *keys], FIND_CANDIDATES).drop("place").join(units, keys).join(I.few(plans), "query_id")
+    judged = few.withColumn("j", judge_passage("plan", "heading", "text"))
+    order = [F.desc("j.body"), F.desc("j.coverage"), F.col("asks") & T.is_tabular(F.col("text"), F.lit(None).cast("string")), F.col("r9"), *map(F.col, keys)]
+    chosen = I.diversify(I.top(judged, order, FIND_CANDIDATES), FIND_LIMIT, PER_DOCUMENT, "doc_id")
+    return chosen.select("query_id", "place", *keys, "line_start", "line_end", "heading", F.col("j.coverage").alias("matched_terms"), F.round(F.col("rank") * 1000000).cast("long").alias("rank"), cut_snippet("plan", "text").alias("snippet"))
 
 
 @query("find")
 def find(spark, d):
-    return find_passages(spark, d, QUESTIONS)
+    """All benchmark texts at once, as the questions that they are."""
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return find_passages(questions, passage_units(spark, d), passage_postings(spark, d), passage_lengths(spark, d))
+
+
+QUESTIONS = ["Which erth thation reports are there?", '"anthat onesen" of', "Quelle est la mention auxi"]
+
+
+@query("find_questions")
+def find_questions(spark, d):
+    """A few typed questions."""
+    questions = spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, text string")
+    return find_passages(questions, passage_units(spark, d), passage_postings(spark, d), passage_lengths(spark, d))
 
 
 PTOK = r", tok AS (SELECT doc_id, ordinal, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) AS term FROM passages)"
@@ -195,11 +293,10 @@ PTOK = r", tok AS (SELECT doc_id, ordinal, unnest(regexp_extract_all(lower(strip
  h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS nth FROM g), k AS (SELECT *, row_number() OVER (ORDER BY nth > 3, p) AS turn FROM h)
  SELECT row_number() OVER (ORDER BY p) AS place, doc_id, ordinal, coverage FROM k WHERE turn <= 8""")
 def r08(spark, d):
-    keys = ["doc_id", "ordinal"]
-    units = passages(spark, d)
+    keys = PASSAGE_KEYS
     wanted = spark.createDataFrame([(0, x, False) for x in ("erth", "anon", "de", "la")], "query_id int, item string, prefix boolean")
-    matched = I.matching(I.postings(units, keys), wanted, keys)
-    r = I.bm25(matched, I.lengths(units, keys), keys).join(I.coverage(matched, keys), ["query_id", *keys]).withColumn("r9", F.round("rank", 9))
+    matched = I.matching(passage_postings(spark, d), wanted, keys)
+    r = I.bm25(matched, passage_lengths(spark, d), keys).join(I.coverage(matched, keys), ["query_id", *keys]).withColumn("r9", F.round("rank", 9))
     placed = I.top(I.top(r, ["r9", *keys], FIND_CANDIDATES).drop("place"), [F.desc("coverage"), "r9", *keys], FIND_CANDIDATES)
     return I.diversify(placed, FIND_LIMIT, PER_DOCUMENT, "doc_id").select("place", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "coverage")
 
@@ -228,8 +325,8 @@ def j06(spark, d):
 
 # Selection -------------------------------------------------------------------------------------------------
 
-CANDIDATES = "c AS (SELECT query_id, doc_id, doc_id % 3 AS ordinal, doc_id * 10 AS evidence_id, sha256(text) AS body_id, source, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS tier, coverage, n_chars % 50 AS occurrences, n_chars % 1000 * 1000 AS relevance, n_chars AS size FROM (SELECT query_id, doc_id, count(*) AS coverage FROM hit GROUP BY 1, 2) JOIN documents USING (doc_id))"
-SELECT_BASE = f"WITH {TOK}, {POST}, {TERMS}, {HITS}, {CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, coverage DESC, occurrences DESC, relevance DESC, source, doc_id, ordinal, evidence_id) AS rank FROM c)"
+CANDIDATES = "c AS (SELECT query_id, doc_id, doc_id % 3 AS ordinal, doc_id * 10 AS evidence_id, sha256(text) AS body_id, source, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS tier, coverage, n_chars % 50 AS occurrences, n_chars % 1000 * 1000 AS relevance, n_chars % 20 AS matched_weight, n_chars % 6 AS matched_signals, doc_id % 9 = 0 AS high_value, CASE WHEN doc_id % 8 = 3 THEN n_chars % 7 END AS semantic, 'v' || doc_id % 2 AS version_id, lang AS representation_id, doc_id % 3 AS source_order, 'text' AS representation, n_chars AS size FROM (SELECT query_id, doc_id, count(*) AS coverage FROM hit GROUP BY 1, 2) JOIN documents USING (doc_id))"
+SELECT_BASE = f"WITH {TOK}, {POST}, {TERMS}, {HITS}, {CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT high_value, tier, coalesce(semantic, coverage) DESC, occurrences DESC, relevance DESC, matched_weight DESC, matched_signals DESC, CAST(doc_id AS VARCHAR), version_id, representation_id, source_order, representation, evidence_id) AS rank FROM c)"
 ALLOCATE = ", b AS (SELECT *, row_number() OVER (PARTITION BY query_id, body_id ORDER BY rank) AS nth FROM r), q AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS ns FROM b WHERE nth = 1), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM q WHERE ns <= 16), m AS (SELECT *, row_number() OVER (PARTITION BY query_id, pos > 4, tier, source ORDER BY rank) AS turn, min(rank) OVER (PARTITION BY query_id, pos > 4, tier, source) AS best FROM k), a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos > 4, CASE WHEN pos <= 4 THEN rank END, tier, turn, best) AS place FROM m)"
 
 
@@ -237,6 +334,8 @@ def candidates(spark, d):
     docs = documents(spark, d).select(
         "doc_id", F.expr("doc_id % 3").alias("ordinal"), (F.col("doc_id") * 10).alias("evidence_id"), F.sha2("text", 256).alias("body_id"), "source",
         F.expr("CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END").alias("tier"), F.expr("n_chars % 50").alias("occurrences"), F.expr("n_chars % 1000 * 1000").alias("relevance"), F.col("n_chars").alias("size"),
+        F.expr("n_chars % 20").alias("matched_weight"), F.expr("n_chars % 6").alias("matched_signals"), F.expr("doc_id % 9 = 0").alias("high_value"), F.expr("CASE WHEN doc_id % 8 = 3 THEN n_chars % 7 END").alias("semantic"),
+        F.concat(F.lit("v"), F.expr("doc_id % 2").cast("string")).alias("version_id"), F.col("lang").alias("representation_id"), F.expr("doc_id % 3").alias("source_order"), F.lit("text").alias("representation"),
     )
     return I.coverage(hits(spark, d), ["doc_id"]).join(docs, "doc_id")
 
@@ -317,10 +416,11 @@ def f03(spark, d):
     return documents(spark, d).join(heads, ["source", "doc_id"], "left_semi").select("doc_id", "lang")
 
 
-@query("w18_garbage_rows", "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)")
+@query("w18_garbage_rows", "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 20 = 0) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)")
 def w18(spark, d):
+    """Rows that neither of two tables refers to any more: old orders count no longer."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    c = c.join(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    c = c.join(table(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("id")), "id", "left_anti")
     return c.join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id", "left_anti")
 
 
@@ -329,11 +429,10 @@ def w18(spark, d):
 COS = "s AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2])) AS c FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0) q, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e), m AS (SELECT query_id, vec_id, CAST(greatest(-1000000, least(1000000, sign(c) * floor(abs(c) * 1000000 + 0.5))) AS INTEGER) AS score FROM s)"
 
 
-def cosines(spark, d):
-    """Scores of stated queries against all vectors: query vectors are few and broadcast."""
-    e = table(spark, d, "embeddings")
-    q = I.few(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")))
-    return e.join(q, F.size("embedding") == F.size("qv")).select("query_id", "vec_id", T.quantise(T.dot(F.col("qv"), F.col("embedding"))).alias("score"))
+def cosines(spark, d, floor=None, top=None):
+    """Quantised cosines of the stated queries against all vectors, those from ``floor`` on and the ``top`` of each query."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return semantic.scores(e.where("vec_id % 100 = 0"), e, floor, top)
 
 
 @query("r24_cosine", f"WITH {COS} SELECT query_id, vec_id, score FROM m")
@@ -348,17 +447,18 @@ def r25(spark, d):
 
 @query("r26_admission", f"WITH {COS} SELECT query_id, vec_id, score FROM m WHERE score >= 800000")
 def r26(spark, d):
-    return cosines(spark, d).where(F.col("score") >= S.SEMANTIC_FLOOR)
+    return cosines(spark, d, floor=S.SEMANTIC_FLOOR)
 
 
 @query("t05_semantic_top", f"WITH {COS} SELECT query_id, vec_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM m) WHERE place <= 128")
 def t05(spark, d):
-    return I.top(cosines(spark, d), [F.desc("score"), "vec_id"], S.SEMANTIC_TOP)
+    return I.top(cosines(spark, d, top=S.SEMANTIC_TOP), [F.desc("score"), "vec_id"], S.SEMANTIC_TOP)
 
 
-@query("w06_semantic_balance", f"WITH {COS}, r AS (SELECT query_id, vec_id, vec_id % 7 AS source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM m), q AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS ns FROM r WHERE rank > 4), t AS (SELECT query_id, vec_id, rank, 0 AS turn, rank AS best, false AS late FROM r WHERE rank <= 4 UNION ALL SELECT query_id, vec_id, rank, ns, min(rank) OVER (PARTITION BY query_id, source), true FROM q WHERE ns <= 32) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY late, turn, best) AS place FROM t")
+@query("w06_semantic_balance", f"WITH {COS}, r AS (SELECT query_id, vec_id, vec_id % 7 AS source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM m QUALIFY rank <= 128), q AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS ns FROM r WHERE rank > 4), t AS (SELECT query_id, vec_id, rank, 0 AS turn, rank AS best, false AS late FROM r WHERE rank <= 4 UNION ALL SELECT query_id, vec_id, rank, ns, min(rank) OVER (PARTITION BY query_id, source), true FROM q WHERE ns <= 32) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY late, turn, best) AS place FROM t")
 def w06(spark, d):
-    r = S.ranked(cosines(spark, d).withColumn("source", F.expr("vec_id % 7")), [F.desc("score"), F.col("vec_id")]).withColumn("tier", F.lit(1))
+    best = cosines(spark, d, top=S.SEMANTIC_TOP).withColumn("source", F.expr("vec_id % 7"))
+    r = S.ranked(best, [F.desc("score"), F.col("vec_id")]).where(F.col("rank") <= S.SEMANTIC_TOP).withColumn("tier", F.lit(1))
     kept = r.where(F.col("rank") <= S.PREFIX).unionByName(S.within_quota(r.where(F.col("rank") > S.PREFIX), S.SEMANTIC_QUOTA))
     return S.fair_turns(kept).select("query_id", "vec_id", "place")
 
@@ -376,20 +476,26 @@ def r27(spark, d):
 
 # Verification ----------------------------------------------------------------------------------------------
 
-QUOTED = "q AS (SELECT doc_id AS query_id, substr(text, 41, 60) AS quote FROM documents WHERE doc_id % 50 = 3 AND length(text) > 120)"
-
-
 @query("r12_verify_quotes")
 def r12(spark, d):
+    """Quotes of the documents whose id is divisible by 50, looked for in the documents that rank best for them.
+
+    Those of ids divisible by 100 are true to the text but for case and marks; the others have letters changed."""
     docs = documents(spark, d).select("doc_id", "text")
-    quotes = docs.where("doc_id % 50 = 3 AND length(text) > 120").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("“"), F.upper(F.substring("text", 41, 30)), F.lit(" … "), F.substring("text", 91, 30), F.lit("”")).alias("quote"))
-    return V.verify_quotes(quotes, docs, quotes.select("query_id", F.col("query_id").alias("doc_id")))
+    quoted = F.when(F.length("text") > 120, F.concat(F.lit("“"), F.upper(F.substring("text", 41, 30)), F.lit(" … "), F.substring("text", 91, 30), F.lit("”"))).otherwise(F.col("text"))
+    quotes = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.when(F.expr("doc_id % 100 = 0"), quoted).otherwise(F.translate(quoted, "eE", "aA")).alias("quote")).dropna()
+    plans = staged(quotes.select("query_id", planned_column("quote").alias("plan")), "plans")
+    by_document = I.bm25(plan_hits(plans, posted(spark, d), docs, ["doc_id"], {"text": 1.0}), lengths(spark, d), ["doc_id"])
+    by_passage = I.bm25(plan_hits(plans, passage_postings(spark, d), passage_units(spark, d), PASSAGE_KEYS, PASSAGE_FIELDS), passage_lengths(spark, d), PASSAGE_KEYS)
+    near = I.top(by_passage.withColumn("r9", F.round("rank", 9)), ["r9", *PASSAGE_KEYS], V.CLOSEST_PASSAGES).join(passage_units(spark, d).select(*PASSAGE_KEYS, "text"), PASSAGE_KEYS)
+    targets = V.narrow(by_document.withColumn("rank", F.round("rank", 9)), docs.count(), docs, quotes)
+    return V.verify(quotes, docs, targets, near)
 
 
-@query("r14_exact_quotes", "SELECT doc_id AS query_id, CAST(40 AS BIGINT) AS at, 'exact' AS level FROM documents WHERE doc_id % 50 = 3 AND length(text) > 120 AND strpos(text, chr(10)) = 0 AND strpos(text, substr(text, 41, 60)) = 41 AND NOT regexp_matches(substr(text, 41, 60), '[^A-Za-z, .]|^ | $|\\.\\.|^[.,]|[.,]$')")
+@query("r14_exact_quotes")
 def r14(spark, d):
-    docs = documents(spark, d).select("doc_id", "text").where("doc_id % 50 = 3 AND length(text) > 120").withColumn("quote", F.substring("text", 41, 60))
-    docs = docs.where((F.instr("text", "\n") == 0) & (F.expr("instr(text, quote)") == 41) & ~F.col("quote").rlike(r"[^A-Za-z, .]|^ | $|\.\.|^[.,]|[.,]$"))
+    """A stretch of every document, located in its whole text."""
+    docs = documents(spark, d).select("doc_id", "text", F.substring("text", 41, 60).alias("quote"))
     return docs.withColumn("l", V.locate_column("text", "quote")).select(F.col("doc_id").alias("query_id"), F.col("l.start").cast("long").alias("at"), "l.level")
 
 
@@ -407,13 +513,30 @@ def r13(spark, d):
     return V.narrow(r, 51, documents(spark, d), terms(spark, d).select("query_id").distinct())
 
 
-@query("t08_token_budget_read", "SELECT doc_id, CAST(i AS INTEGER) AS line FROM (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE i >= 2) WHERE used <= 1200 OR i = 2")
-def t08(spark, d):
-    from ..operators.blocks import text_lines
+LINES = "l AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+READ = f"{LINES}, u AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS used, max(i) OVER (PARTITION BY doc_id) AS last, min(i) OVER (PARTITION BY doc_id) AS first FROM l WHERE i >= 2), k AS (SELECT *, used <= 1200 OR i = first AS taken FROM u)"
 
+
+@query("t08_token_budget_read", f"WITH {READ} SELECT doc_id, CAST(i AS INTEGER) AS line FROM k WHERE taken")
+def t08(spark, d):
     return V.read_lines(text_lines(documents(spark, d), ["doc_id"]), F.lit(2), F.lit(1 << 30), 300).select("doc_id", "line")
 
 
+@query("r09_read", f"""WITH {READ}, m AS (SELECT doc_id, count(*) FILTER (WHERE taken) AS n, any_value(last) AS last, bool_or(i = first AND length(s) + 1 > 1200) AS cut FROM k GROUP BY 1)
+ SELECT doc_id, CAST(2 AS INTEGER) AS line_start, CAST(n + 1 AS INTEGER) AS line_end, n + 1 < last AS truncated, CAST(CASE WHEN n + 1 < last THEN n + 2 END AS INTEGER) AS next_line, sha256(t) AS digest, (length(t) + 3) // 4 AS tokens FROM m
+ JOIN (SELECT doc_id, string_agg(CASE WHEN i = first AND length(s) + 1 > 1200 THEN left(s, 1200) || ' …[line truncated]' ELSE s END, chr(10) ORDER BY i) AS t FROM k WHERE taken GROUP BY 1) USING (doc_id)""")
+def r09(spark, d):
+    r = V.read(text_lines(documents(spark, d), ["doc_id"]), F.lit(2), F.lit(1 << 30), 300)
+    return r.select("doc_id", "line_start", "line_end", "truncated", "next_line", F.sha2("text", 256).alias("digest"), T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("c27_trim_blank", "SELECT doc_id, CAST(2 AS INTEGER) AS line_start, CAST(len(string_split(text, chr(10))) + 1 AS INTEGER) AS line_end FROM documents")
+def c27(spark, d):
+    """Texts between blank lines; theirs begin and end with words."""
+    padded = documents(spark, d).withColumn("text", F.concat(F.lit("\n"), "text", F.lit("\n \n")))
+    return V.trim_blank(text_lines(padded, ["doc_id"]))
+
+
 @query("f09_ranges", "SELECT doc_id, CAST(CASE doc_id % 4 WHEN 3 THEN NULL ELSE doc_id % 90 + 1 END AS INTEGER) AS a, CAST(CASE doc_id % 4 WHEN 0 THEN doc_id % 90 + 1 WHEN 1 THEN doc_id % 90 + 9 END AS INTEGER) AS b FROM documents")
 def f09(spark, d):
     n = F.expr("doc_id % 90 + 1").cast("string")
@@ -421,12 +544,18 @@ def f09(spark, d):
     return documents(spark, d).select("doc_id", V.parse_range(v).alias("r")).select("doc_id", F.col("r.start").alias("a"), F.col("r.end").alias("b"))
 
 
-@query("f04_resolve_reference", """SELECT reference, rule, id AS document_id, false AS ambiguous FROM (SELECT sha256(url) AS reference, 1 AS rule, sha256(url) AS id FROM pages WHERE page_id % 20 = 0 GROUP BY url) UNION ALL
- SELECT right(sha256(url), 12), 2, sha256(url), false FROM pages WHERE page_id % 20 = 1 GROUP BY url""")
+REFERENCES = "CASE page_id % 20 WHEN 0 THEN sha256(url) WHEN 1 THEN right(sha256(url), 12) WHEN 2 THEN upper(l[-1]) WHEN 3 THEN l[-2] || '/' || l[-1] WHEN 4 THEN substr(l[-1], 2, 4) END"
+
+
+@query("f04_resolve_reference", f"""WITH p AS (SELECT DISTINCT sha256(url) AS id, url AS path FROM pages), r AS (SELECT DISTINCT {REFERENCES} AS reference FROM (SELECT page_id, url, string_split(url, '/') AS l FROM pages WHERE page_id % 20 < 5)),
+ h AS (SELECT reference, id, CASE WHEN id = reference THEN 1 WHEN regexp_full_match(reference, '[0-9a-f]{{6,}}') AND ends_with(id, reference) THEN 2 WHEN lower(string_split(path, '/')[-1]) = lower(reference) THEN 3
+ WHEN ends_with(lower(path), '/' || lower(reference)) THEN 4 WHEN contains(lower(string_split(path, '/')[-1]), lower(reference)) THEN 5 END AS rule FROM r, p WHERE reference <> '')
+ SELECT reference, rule, CASE WHEN count(*) = 1 THEN min(id) END AS document_id, count(*) > 1 AS ambiguous FROM h WHERE rule = (SELECT min(rule) FROM h o WHERE o.reference = h.reference) GROUP BY 1, 2""")
 def f04(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.sha2("url", 256).alias("document_id"), F.col("url").alias("path"))
-    refs = p.where("page_id % 20 = 0").select(F.col("document_id").alias("reference")).union(p.where("page_id % 20 = 1").select(F.right("document_id", F.lit(12)))).distinct()
-    return V.resolve(refs, p.select("document_id", "path").distinct())
+    p = table(spark, d, "pages").select("page_id", F.sha2("url", 256).alias("document_id"), F.col("url").alias("path"), F.substring_index("url", "/", -1).alias("label"))
+    kind = F.expr("page_id % 20")
+    reference = F.when(kind == 0, F.col("document_id")).when(kind == 1, F.right("document_id", F.lit(12))).when(kind == 2, F.upper("label")).when(kind == 3, F.substring_index("path", "/", -2)).when(kind == 4, F.substring("label", 2, 4))
+    return V.resolve(p.select(reference.alias("reference")).dropna(), p.select("document_id", "path").distinct())
 
 
 @query("t10_term_count_rank", BASE + "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS place FROM (SELECT query_id, doc_id, sum(tf) AS n FROM hit GROUP BY 1, 2)")
@@ -494,9 +623,13 @@ def a10(spark, d):
     return E.budget_coverage(items, 900)
 
 
-@query("a11_bootstrap")
+@query("a11_bootstrap", """WITH v AS (SELECT lang, n_chars::DOUBLE AS x, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+ w AS (SELECT lang, r, ('0x' || left(sha256('seed:' || r || ':' || place), 16))::UBIGINT % n AS place FROM v, range(200) t(r)),
+ m AS (SELECT lang, r, median(x) AS m FROM w JOIN (SELECT lang, place, x FROM v) USING (lang, place) GROUP BY 1, 2), e AS (SELECT lang, list_sort(list(m)) AS ms FROM m GROUP BY 1),
+ c AS (SELECT lang, median(x) AS median FROM v GROUP BY 1), a AS (SELECT lang, median(abs(x - median)) AS mad FROM v JOIN c USING (lang) GROUP BY 1)
+ SELECT lang, median, mad, ms[5] AS low, ms[196] AS high FROM c JOIN a USING (lang) JOIN e USING (lang)""")
 def a11(spark, d):
-    return E.bootstrap(documents(spark, d).where("doc_id < 400"), "lang", "n_chars", 200, "seed")
+    return E.bootstrap(documents(spark, d), "lang", "n_chars", "doc_id", 200, "seed")
 
 
 TIMES = "SELECT event_type, CAST(floor(value * 100) AS BIGINT) AS v FROM events"

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from ..functions import planning
 from ..functions import text as T
@@ -128,9 +132,11 @@ def c05(spark, d):
     return documents(spark, d).select("doc_id", F.sha2(T.relevance_token(F.col("text")), 256).alias("token"))
 
 
-@query("f06_has_content", r"SELECT doc_id, length(regexp_replace(left(text, doc_id % 8), '[^\p{L}\p{N}]', '', 'g')) >= 3 AS content FROM documents")
+@query("f06_has_content", r"SELECT doc_id, length(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', ' ', 'g'), '[^\p{L}\p{N}]', '', 'g')) >= 3 AS content FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '<!-- ' || text || ' --> a' ELSE text END AS t FROM documents)")
 def f06(spark, d):
-    return documents(spark, d).select("doc_id", T.has_content(F.substring("text", F.lit(1), F.pmod("doc_id", F.lit(8)).cast("int"))).alias("content"))
+    """Whole texts, every third one within a comment."""
+    t = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("<!-- "), "text", F.lit(" --> a"))).otherwise(F.col("text"))
+    return documents(spark, d).select("doc_id", T.has_content(t).alias("content"))
 
 
 @query("f07_tabular", "SELECT doc_id, starts_with(ltrim(CASE WHEN doc_id % 3 = 0 THEN ' | ' || text ELSE text END), '|') AS tabular FROM documents")
@@ -164,11 +170,9 @@ def s05(spark, d):
 
 @query("s06_markdown_blocks", f"""SELECT doc_id, kind, CAST(n AS BIGINT) AS n, CAST(last AS BIGINT) AS last FROM (
  SELECT doc_id, 'heading' AS kind, 2 AS n, len(string_split(text, chr(10))) + 3 AS last FROM documents UNION ALL
- SELECT doc_id, 'paragraph', 2, len(string_split(text, chr(10))) + 4 FROM documents) WHERE doc_id NOT IN (
- SELECT doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) WHERE regexp_matches(s, '^ {{0,3}}([-+*]|[0-9]+[.)]|>|#+)[ \\t]') OR trim(s) = '')""")
+ SELECT doc_id, 'paragraph', 2, len(string_split(text, chr(10))) + 4 FROM documents)""")
 def s06(spark, d):
-    odd = documents(spark, d).where(F.exists(F.split("text", "\n"), lambda s: s.rlike(r"^ {0,3}([-+*]|[0-9]+[.)]|>|#+)[ \t]") | (F.trim(s) == ""))).select("doc_id")
-    b = B.blocks(marked(spark, d).join(odd, "doc_id", "left_anti"), ["doc_id"])
+    b = B.blocks(marked(spark, d), ["doc_id"])
     return b.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.max("line_end").cast("long").alias("last"))
 
 
@@ -202,11 +206,9 @@ def d02(spark, d):
     return passages(spark, d).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("ordinal", "line_start", "line_end")), "text")
 
 
-@query("d01_structure", f"""SELECT doc_id, CAST(2 AS BIGINT) AS headings, 'Part ' || (doc_id % 7) AS first, CAST(len(string_split({MARKED}, chr(10))) - 2 AS BIGINT) AS last_line FROM documents
- WHERE doc_id NOT IN (SELECT doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) WHERE regexp_matches(s, '^ {{0,3}}#+[ \\t]') OR regexp_matches(s, '^ {{0,3}}(=+|-+)[ \\t]*$'))""")
+@query("d01_structure", f"""SELECT doc_id, CAST(2 AS BIGINT) AS headings, 'Part ' || (doc_id % 7) AS first, CAST(len(string_split({MARKED}, chr(10))) - 2 AS BIGINT) AS last_line FROM documents""")
 def d01(spark, d):
-    odd = documents(spark, d).where(F.exists(F.split("text", "\n"), lambda s: s.rlike(r"^ {0,3}#+[ \t]") | s.rlike(r"^ {0,3}(=+|-+)[ \t]*$"))).select("doc_id")
-    s = P.structures(marked(spark, d).join(odd, "doc_id", "left_anti"), ["doc_id"])
+    s = P.structures(marked(spark, d), ["doc_id"])
     return s.select("doc_id", F.size("headings").cast("long").alias("headings"), F.col("headings")[0]["text"].alias("first"), F.element_at("headings", -1)["line"].cast("long").alias("last_line"))
 
 
@@ -222,12 +224,10 @@ def j11(spark, d):
     return documents(spark, d).select("doc_id", P.heading_path(h, F.pmod("doc_id", F.lit(30)).cast("int")).alias("path"))
 
 
-@query("r10_outline", f"""WITH m AS (SELECT doc_id, string_split({MARKED}, chr(10)) AS l FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) WHERE regexp_matches(s, '^ {{0,3}}#+[ \\t]') OR regexp_matches(s, '^ {{0,3}}(=+|-+)[ \\t]*$')))
+@query("r10_outline", f"""WITH m AS (SELECT doc_id, string_split({MARKED}, chr(10)) AS l FROM documents)
  SELECT doc_id, CAST(1 AS BIGINT) AS line, CAST(1 AS BIGINT) AS level, CAST(len(l) AS BIGINT) AS section_end FROM m UNION ALL SELECT doc_id, len(l) - 2, 2, len(l) FROM m""")
 def r10(spark, d):
-    m = marked(spark, d)
-    inner = F.slice(F.split("text", "\n"), F.lit(2), F.size(F.split("text", "\n")) - 4)
-    m = m.where(~F.exists(inner, lambda s: s.rlike(r"^ {0,3}#+[ \t]") | s.rlike(r"^ {0,3}(=+|-+)[ \t]*$"))).withColumn("n", F.size(F.split("text", "\n")))
+    m = marked(spark, d).withColumn("n", F.size(F.split("text", "\n")))
     s = P.structures(m, ["doc_id"]).join(m.select("doc_id", "n"), "doc_id")
     return P.outline(s, "n", ["doc_id"]).select("doc_id", F.col("line").cast("long").alias("line"), F.col("level").cast("long").alias("level"), F.col("end").cast("long").alias("section_end"))
 
@@ -272,16 +272,54 @@ _id("d16_derivation_id", "derivation", inputs="source", generator="lang", config
 _id("c25_scoped_digest", "scope", scope="source", value="doc_id")
 
 
-@query("r01_search_grammar")
+PARSED = Y.ArrayType(Y.StructType([Y.StructField("item", Y.StringType()), Y.StructField("phrase", Y.BooleanType())]))
+
+
+@F.pandas_udf(PARSED)
+def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Items of search queries; null if the grammar refuses one."""
+
+    def items(q: str | None) -> list[dict] | None:
+        try:
+            return [{"item": t, "phrase": p} for t, p in planning.parse(q or "")]
+        except planning.QueryError:
+            return None
+
+    for queries in batches:
+        yield pd.Series([items(q) for q in queries], dtype=object)
+
+
+@query("r01_search_grammar", r"""WITH b AS (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark), k AS (SELECT item_id, [w[1] || ' ' || w[2]] || w[3:] AS l FROM b WHERE len(w) BETWEEN 3 AND 33 AND item_id % 7 <> 0)
+ SELECT item_id AS query_id, CAST(i - 1 AS INTEGER) AS item_no, l[i] AS item, i = 1 AS phrase FROM (SELECT item_id, l, unnest(range(1, len(l) + 1)) AS i FROM k)""")
 def r01(spark, d):
-    rows = [(i, n, t, p) for i, q in enumerate(['alpha "two words" beta', '"say ""hi"" now"', "one two three"]) for n, (t, p) in enumerate(planning.parse(q))]
-    return spark.createDataFrame(rows, "query_id int, item_no int, item string, phrase boolean")
+    """The first two words of each text as a phrase, the others bare; every seventh query has an open quote, long ones have too many items."""
+    w = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    whole = F.concat(F.lit('"'), F.get(w, F.lit(0)), F.lit(" "), F.get(w, F.lit(1)), F.lit('" '), F.array_join(F.slice(w, F.lit(3), F.size(w)), " "), F.when(F.expr("item_id % 7 = 0"), ' "open').otherwise(""))
+    asked = table(spark, d, "benchmark").where(F.size(w) >= 3).select("item_id", whole.alias("q"))
+    return asked.select(F.col("item_id").alias("query_id"), F.posexplode(parsed("q")).alias("item_no", "x")).select("query_id", "item_no", "x.item", "x.phrase")
+
+
+PLANNED = Y.ArrayType(Y.StructType([Y.StructField("term", Y.StringType()), Y.StructField("prefix", Y.BooleanType()), Y.StructField("phrase", Y.BooleanType())]))
+
+
+@F.pandas_udf(PLANNED)
+def planned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for queries in batches:
+        yield pd.Series([[{"term": t.text, "prefix": t.prefix, "phrase": t.phrase} for t in planning.plan(q or "")] for q in queries])
+
+
+STOP_SQL = "(" + ", ".join(f"'{w}'" for w in sorted(planning.STOP_WORDS)) + ")"
+SUFFIX_SQL = "|".join(planning.SUFFIXES)
 
 
-@query("r03_query_plan")
+@query("r03_query_plan", rf"""WITH w AS (SELECT item_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+(?:[''’-][\p{{L}}\p{{N}}]+)*'), lambda x: replace(lower(strip_accents(x)), 'ß', 'ss')) AS l FROM benchmark)),
+ c AS (SELECT * FROM w WHERE w NOT IN {STOP_SQL}), k AS (SELECT * FROM c UNION ALL SELECT * FROM w WHERE item_id NOT IN (SELECT item_id FROM c)),
+ t AS (SELECT item_id, i, CASE WHEN length(w) < 5 OR regexp_matches(w, '[0-9]') THEN w ELSE regexp_replace(w, '^(.{{4,}}?)({SUFFIX_SQL})$', '\1') END AS term, length(w) >= 5 AND NOT regexp_matches(w, '[0-9]') AS prefix FROM k),
+ o AS (SELECT item_id, term, prefix, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) - 1 AS n FROM t GROUP BY 1, 2, 3) SELECT item_id AS query_id, CAST(n AS INTEGER) AS term_no, term, prefix, false AS phrase FROM o WHERE n < 16""")
 def r03(spark, d):
-    qs = ['Where is the "safety valve" of the pumps?', "Welche Messungen gibt es", "the of and", "version 2024 testing"]
-    return spark.createDataFrame([(i, n, t.text, t.prefix, t.phrase) for i, q in enumerate(qs) for n, t in enumerate(planning.plan(q))], "query_id int, term_no int, term string, prefix boolean, phrase boolean")
+    """The plan of each benchmark text."""
+    plans = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(planned("text")).alias("term_no", "x"))
+    return plans.select("query_id", "term_no", "x.term", "x.prefix", "x.phrase")
 
 
 @query("u07_query_items", r"SELECT item_id, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1]), ' ') AS items FROM (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark)")

@@ -12,19 +12,25 @@ SUFFIXES = ("txt", "md", "csv")
 
 
 def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES, exclude: str | None = None, most: int | None = None) -> DataFrame:
-    """path, modified, length of the files below ``root``: no dot files or folders, wanted suffixes, each once, in order."""
+    """path, modified, length of the files below ``root``: no dot files or folders, wanted suffixes, each once, in order.
+
+    More than ``most`` of them are refused, not cut."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(root)
     found = files.select("path", F.col("modificationTime").alias("modified"), "length").where(~F.col("path").rlike(r"/\.[^/]+(/|$)"))
     if exclude:
         found = found.where(~F.col("path").rlike(exclude))
-    found = found.dropDuplicates(["path"]).orderBy("path")
-    return found.limit(most) if most else found
+    found = found.dropDuplicates(["path"])
+    if most is not None and found.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} files below {root}")
+    return found.orderBy("path")
 
 
 def snapshot(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES, most_bytes: int = 64 << 20) -> DataFrame:
-    """path, modified, object_id, byte_length, content of files up to a size."""
+    """path, modified, status, object_id, byte_length, content.  Files over ``most_bytes`` have status TOO_LARGE and no content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(root)
-    return files.where(F.col("length") <= most_bytes).select("path", F.col("modificationTime").alias("modified"), object_id(F.col("content")).alias("object_id"), F.col("length").alias("byte_length"), "content")
+    small = files.where(F.col("length") <= most_bytes).select("path", F.col("modificationTime").alias("modified"), F.lit("READ").alias("status"), object_id(F.col("content")).alias("object_id"), F.col("length").alias("byte_length"), "content")
+    large = files.where(F.col("length") > most_bytes).select("path", F.col("modificationTime").alias("modified"), F.lit("TOO_LARGE").alias("status"), F.lit(None).cast("string").alias("object_id"), F.col("length").alias("byte_length"), F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
 
 
 def texts(snapshots: DataFrame) -> DataFrame:

@@ -101,7 +101,40 @@ def test_files_and_snapshots(spark, tmp_path):
     (tmp_path / "in" / "c.bin").write_text("no")
     assert [r["path"].rsplit("/", 1)[1] for r in files.discover(spark, str(tmp_path / "in")).collect()] == ["a.md"]
     assert files.texts(files.snapshot(spark, str(tmp_path / "in"))).first()["text"] == "hi"
+    told = {r["status"]: r["content"] for r in files.snapshot(spark, str(tmp_path / "in"), most_bytes=3).collect()}
+    assert told == {"TOO_LARGE": None}
+    with pytest.raises(ValueError, match="more than 0"):
+        files.discover(spark, str(tmp_path / "in"), most=0)
     root = str(tmp_path / "store")
     files.replace_documents(spark, root, 0, spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, t string"))
     files.replace_documents(spark, root, 1, spark.createDataFrame([(2, "c")], "doc_id int, t string"))
     assert sorted(map(tuple, files.latest(spark, root).collect())) == [(1, "a"), (2, "c")]
+
+
+def test_numbers_run_over_ranges_and_groups(spark):
+    from glyphmill.operators.numbering import numbered
+
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), rng.randrange(50), i) for i in range(300)] + [(None, None, 300)]
+    df = spark.createDataFrame(rows, "g string, x int, i int")
+    out = {(r["g"], r["x"], r["i"]): r["number"] for r in numbered(df, ["x", "i"], ["g"]).collect()}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] or 0, r[2]))
+        assert [out[r] for r in own] == list(range(len(own)))
+
+
+def test_tables_are_built_once_and_again_for_changed_files(spark, tmp_path):
+    from glyphmill.sources.scratch import kept
+
+    path, built = str(tmp_path / "t"), []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(path).selectExpr("id + 1 AS id")
+
+    spark.range(3).write.parquet(path)
+    for _ in range(2):
+        assert kept(spark.read.parquet(path), "test", build).count() == 3
+    assert len(built) == 1
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert kept(spark.read.parquet(path), "test", build).count() == 5 and len(built) == 2

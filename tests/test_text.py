@@ -128,3 +128,28 @@ def test_snippet_is_bounded():
     text = " ".join(["filler"] * 100 + ["needle"] + ["filler"] * 100)
     s = V.best_snippet(text, planning.plan("needle"))
     assert "needle" in s and len(s) <= 242 and s.startswith("…") and s.endswith("…")
+
+
+def test_texts_with_nul_are_refused_not_lost(spark):
+    df = spark.createDataFrame([(1, "a\nb"), (2, "a\0b"), (3, None), (4, "")], "id int, text string")
+    assert sorted(tuple(r) for r in B.text_lines(df, ["id"]).collect()) == [(1, 1, "a"), (1, 2, "b"), (2, 0, None)]
+
+
+def test_structure_of_documents_with_their_own_headings(spark):
+    text = "# A\n- item\n\nSub\n===\n> q\n---\n```\n# no\n```\n## B"
+    s = P.structures(spark.createDataFrame([(1, text)], "id int, text string"), ["id"]).first()
+    assert [(h["line"], h["level"], h["text"]) for h in s["headings"]] == [(1, 1, "A"), (4, 1, "Sub"), (11, 2, "B")]
+
+
+def test_phrases_count_places(spark):
+    from glyphmill.operators import index as I
+
+    units = spark.createDataFrame([(1, "a b a b c", "a b"), (2, "b a", "x"), (3, "a bc a b", "")], "u int, text string, heading string")
+    fields = {"text": 1.0, "heading": 0.5}
+    post = I.postings(units, ["u"], fields)
+    phrases = spark.createDataFrame([(7, "p", ["a", "b"], False), (7, "q", ["a", "b"], True)], "query_id int, item string, words array<string>, prefix boolean")
+    got = {(r["item"], r["u"]): r["tf"] for r in I.phrase_hits(post, units, phrases, ["u"], fields).collect()}
+    assert got == {("p", 1): 2.5, ("p", 3): 1.0, ("q", 1): 2.5, ("q", 3): 2.0}
+    wanted = spark.createDataFrame([(7, "b", True), (7, "bc", True), (7, "a", False)], "query_id int, item string, prefix boolean")
+    got = {(r["item"], r["u"]): r["tf"] for r in I.matching(post, wanted, ["u"]).collect()}
+    assert got == {("a", 1): 2.5, ("a", 2): 1.0, ("a", 3): 2.0, ("b", 1): 2.5, ("b", 2): 1.0, ("b", 3): 2.0, ("bc", 3): 1.0}
