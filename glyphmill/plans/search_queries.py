@@ -242,7 +242,8 @@ def judge_passage(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataF
         rows = []
         for plan, heading, text in zip(plans, headings, texts, strict=True):
             wanted = [planning.Term(t["text"], t["prefix"], t["phrase"]) for t in plan]
-            rows.append((V.coverage(text, wanted) > 0, V.coverage(f"{heading}\n{text}", wanted)))
+            words = V.folded_words(text)
+            rows.append((V.coverage(words, wanted) > 0, V.coverage(V.folded_words(heading) + words, wanted)))
         yield pd.DataFrame(rows, columns=["body", "coverage"])
 
 
@@ -260,7 +261,9 @@ def find_passages(questions, units, post, length):
     plans = questions.select("query_id", T.is_question(F.col("text")).alias("asks"), planned_column("text").alias("plan"))
     scored = I.bm25(plan_hits(plans, post, units, keys, PASSAGE_FIELDS), length, keys).withColumn("r9", F.round("rank", 9))
     few = I.top(scored, ["r9", *keys], FIND_CANDIDATES).drop("place").join(units, keys).join(I.few(plans), "query_id")
-    judged = few.withColumn("j", judge_passage("plan", "heading", "text"))
+    # few rows, but each takes a while: they are dealt to as many tasks as there are
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    judged = few.repartition(tasks, "query_id", *keys).withColumn("j", judge_passage("plan", "heading", "text"))
     order = [F.desc("j.body"), F.desc("j.coverage"), F.col("asks") & T.is_tabular(F.col("text"), F.lit(None).cast("string")), F.col("r9"), *map(F.col, keys)]
     chosen = I.diversify(I.top(judged, order, FIND_CANDIDATES), FIND_LIMIT, PER_DOCUMENT, "doc_id")
     return chosen.select("query_id", "place", *keys, "line_start", "line_end", "heading", F.col("j.coverage").alias("matched_terms"), F.round(F.col("rank") * 1000000).cast("long").alias("rank"), cut_snippet("plan", "text").alias("snippet"))
