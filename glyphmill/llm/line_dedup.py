@@ -6,7 +6,8 @@ c = 3(n + m) / 7 words at least; the words that only one has, e = n + m - 2c at
 e + 2 shared words in the order, so two shared words stand side by side in both, within the first n - c + e + 2 and
 m - c + e + 2.  The join is on such neighbours: a line looks up each pair of neighbours of its prefix, which is
 far rarer than a word.  Length, prefix and positional filters hold for each pair of lines, and 64 parity bits of
-either set bound what they do not share; what is left is verified on whole sets.  A line is removed if any line before it, in order of (document, line), is similar; of such lines
+either set bound what they do not share; what is left is compared on words cut to 15 bits, which can only match more,
+and then verified on whole sets.  A line is removed if any line before it, in order of (document, line), is similar; of such lines
 all go, also those similar to a line that goes itself.
 
 Rarity: occurrences are counted over all sets in up to 2**21 counters, by hash of the word, and sent to the
@@ -14,7 +15,8 @@ tasks as a byte each (2 MB at most).  Any common order gives right results; coun
 come last.  A word whose counter stands at one occurs nowhere else, and its pairs are not looked up.
 
 Each line is first compared with the first lines that have its pairs of neighbours; lines found similar are settled
-and look up nothing more, so large groups of near copies do not meet pair by pair.
+and look up nothing more, so large groups of near copies do not meet pair by pair.  Keys are looked up in PASSES, by
+the first word, so that only a part of them is on disk at once.
 
 Defined results: lines end at line feeds; lines without words stay; a null text stays null; a text that
 loses all lines is empty; n_chars, if there, is the new length.  Null ids come first; rows with equal id
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, free_name, release, staged, table
 
 NUMERATOR, DENOMINATOR = 75, 100
-#: Pairs that are broadcast to be verified; more are shuffled.
+#: Shares of the keys that are looked up one after another.
+PASSES = 2
+#: Pairs that are broadcast to be verified, and settled lines that are; more are shuffled.
 MAX_BROADCAST_PAIRS = 1_000_000
 WORD, SPACES = r"[^\x20\x09-\x0D]", "\t\n\x0b\x0c\r"
 #: Lines whose lower case can only differ in A-Z: there the fast built-in gives the same.
@@ -83,17 +87,18 @@ def _rarity(sets: DataFrame, size: int) -> tuple[Column, int]:
     return F.lit(bytes(table)), bits
 
 
-def _neighbours(sets: DataFrame, rare: Column, bits: int) -> DataFrame:
-    """t, at, np: keys of the neighbours in each prefix, with the size of the set and the place in it."""
+def _neighbours(sets: DataFrame, rare: Column, bits: int, turn: int) -> DataFrame:
+    """t, at, np, bits: keys of the neighbours in each prefix, with the size of the set, the place in it and its
+    parity bits; those of one turn of PASSES."""
 
     def coded(w: Column) -> Column:
         return F.shiftleft(F.crc32(F.substring(rare, F.shiftright(w, KEY_BITS - bits).cast("int"), F.lit(1))), LOW_BITS).bitwiseXOR(w)
 
     n = F.size("o")
     pairs = F.greatest(F.least(n, F.floor(n / 2).cast("int") + 2) - 1, F.lit(1))  # no partner asks for a longer prefix; one word alone is its own key
-    rows = sets.select("at", F.sort_array(F.transform("h", coded)).alias("o")).select("at", "o", F.posexplode(F.slice("o", F.lit(1), pairs)).alias("p", "x"))
-    rows = rows.where(F.col("x") >= SEEN_TWICE)  # the rarer of two comes first
-    return rows.select(F.xxhash64("x", F.get("o", F.col("p") + 1)).alias("t"), "at", (F.shiftleft(n.cast("long"), 32) + F.col("p")).alias("np"))
+    rows = sets.select("at", "bits", F.sort_array(F.transform("h", coded)).alias("o")).select("at", "bits", "o", F.posexplode(F.slice("o", F.lit(1), pairs)).alias("p", "x"))
+    rows = rows.where((F.col("x") >= SEEN_TWICE) & (F.col("x") % PASSES == turn))  # the rarer of two comes first
+    return rows.select(F.xxhash64("x", F.get("o", F.col("p") + 1)).alias("t"), "at", (F.shiftleft(n.cast("long"), 32) + F.col("p")).alias("np"), "bits")
 
 
 def _parity(words: Column) -> Column:
@@ -116,10 +121,9 @@ def similar_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     value = F.when(F.col("s").rlike(WORD), F.col("s")).otherwise(F.concat(F.lit("\n"), F.col("at").cast("string")))
     hashed = lines.select("at", F.xxhash64(value).alias("k1"), F.xxhash64(F.lit(1), value).alias("k2"))
     first = staged(hashed.groupBy("k1", "k2").agg(F.min("at").alias("at")).select("at"), "lines-first")
-    sets = staged(lines.join(first.hint("shuffle_hash"), "at", "left_semi").select("at", _words(F.col("s")).alias("h")), "lines-sets", **DICTIONARY)
+    sets = staged(lines.join(first.hint("shuffle_hash"), "at", "left_semi").select("at", _words(F.col("s")).alias("h")).withColumn("bits", _parity(F.col("h"))), "lines-sets", **DICTIONARY)
     release(docs.sparkSession)
     rare, bits = _rarity(sets, shape[0] or 0)
-    rows = _neighbours(sets, rare, bits).repartition("t")
 
     def may_match(n: Column, p: Column, m: Column, q: Column) -> Column:
         """Length, prefix and positional filters for sets of n and m words that share neighbours at p and q."""
@@ -128,38 +132,61 @@ def similar_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
         return near & (p < n + n + m - c * 3 + 1) & (q < n + m + m - c * 3 + 1)
 
     size, place_in = lambda x: F.shiftright(x, 32), lambda x: F.col(x).bitwiseAND((1 << 32) - 1)
-    # of two lines with a key the pair is known at once; the rows of more go on.  Both read one exchange, and no side is sorted
-    groups = rows.groupBy("t").agg(F.min("at").alias("lead"), F.max("at").alias("last"), F.min("np").alias("np1"), F.max("np").alias("np2"), F.count("*").alias("c")).where(F.col("lead") < F.col("last"))
-    two = (F.col("c") == 2) & may_match(size("np1"), place_in("np1"), size("np2"), place_in("np2"))
-    met = rows.join(groups.hint("shuffle_hash"), "t").where(two | (F.col("c") > 2))
-    # written once: the counters are spelled out in every plan that refers to them
-    met = staged(met.select("t", "at", size("np").alias("n"), place_in("np").alias("p"), "lead", (F.col("c") > 2).alias("several")), "lines-met")
-    del rows, groups
-    release(docs.sparkSession)
-    bits = sets.select("at", _parity(F.col("h")).alias("bits"))
-    keyed = staged(met.join(bits, "at"), "lines-met")
-    release(docs.sparkSession, met)
-    x = keyed.where(F.col("at") > F.col("lead"))
-    y = keyed.select("t", F.col("at").alias("y"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("bits").alias("other"), (F.col("at") == F.col("lead")).alias("leads"))
-    # a word that only one set has turns one bit at most
-    few_differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))) <= F.col("n") + F.col("m") - _overlap(F.col("n"), F.col("m")) * 2
-    similar = may_match(F.col("n"), F.col("p"), F.col("m"), F.col("q")) & few_differ
+
+    def similar(np: str, bits: str, np2: str, bits2: str) -> Column:
+        """The filters above; and a word that only one set has turns one bit at most."""
+        n, m = size(np), size(np2)
+        few_differ = F.bit_count(F.col(bits).bitwiseXOR(F.col(bits2))) <= n + m - _overlap(n, m) * 2
+        return may_match(n, place_in(np), m, place_in(np2)) & few_differ
+
+    def met(turn: int) -> DataFrame:
+        """Rows behind the first of their key: hit, if that line may be similar, and several, if others have the key too."""
+        rows = _neighbours(sets, rare, bits, turn).repartition("t")
+        # both read one exchange (a filter that asks for values that are not null would part them), and no side is sorted
+        firsts = rows.groupBy("t").agg(F.min("at").alias("lead"), F.max("at").alias("last"), F.min_by("np", "at").alias("np2"), F.min_by("bits", "at").alias("bits2"), (F.count("*") > 2).alias("several"))
+        behind = rows.join(firsts.where(F.col("lead") < F.col("last")).hint("shuffle_hash"), "t").where(~F.col("at").eqNullSafe(F.col("lead"))).withColumn("hit", similar("np", "bits", "np2", "bits2"))
+        return staged(behind.where("hit or several").select("t", "at", "np", "bits", "lead", "hit", "several"), "lines-met")
+
+    parts = []
+    for turn in range(PASSES):
+        parts.append(met(turn))
+        release(docs.sparkSession)
+    behind = reduce(DataFrame.union, parts)
+
+    def enough(n: Column, m: Column, both: Column) -> Column:
+        return both * DENOMINATOR >= (n + m - both) * NUMERATOR
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """x of the pairs (x, y) whose whole sets are similar.  Few pairs are sent to the lines, so these stay in place."""
-        sent = F.broadcast(pairs) if pairs.count() <= MAX_BROADCAST_PAIRS else pairs
-        xs = sent.join(sets.select(F.col("at").alias("x"), F.col("h").alias("a")), "x")
-        ys = sent.join(sets.select(F.col("at").alias("y"), F.col("h").alias("b")), "y")
-        n, m, both = F.size("a"), F.size("b"), F.size(F.array_intersect("a", "b"))
-        return xs.join(ys, ["x", "y"]).where(both * DENOMINATOR >= (n + m - both) * NUMERATOR).select("x").distinct()
-
-    led = staged(x.join(y.where("leads"), "t").where(similar).select(F.col("at").alias("x"), "y").distinct(), "lines-led")
-    settled = staged(verified(led), "lines-settled")
-    still = x.where("several").join(settled.select(F.col("x").alias("at")), "at", "left_anti")
-    more = still.join(y.where(~F.col("leads")), "t").where((F.col("y") < F.col("at")) & similar).select(F.col("at").alias("x"), "y").distinct()
+        """x of the pairs (x, y) whose sets are similar.  Few pairs are sent to the lines, so these stay in place."""
+
+        def with_sets(pairs: DataFrame, words: Column) -> DataFrame:
+            sent = F.broadcast(pairs) if pairs.count() <= MAX_BROADCAST_PAIRS else pairs
+            xs = sent.join(sets.select(F.col("at").alias("x"), F.size("h").alias("n"), words.alias("a")), "x")
+            ys = sent.join(sets.select(F.col("at").alias("y"), F.size("h").alias("m"), words.alias("b")), "y")
+            return xs.join(ys, ["x", "y"])
+
+        short = F.array_distinct(F.transform("h", lambda w: w.bitwiseAND((1 << 15) - 1).cast("short")))
+        n, m, both = F.col("n"), F.col("m"), F.size(F.array_intersect("a", "b"))
+        # shared words that fall together in the short form are not more than a set's own that do
+        most = both + F.least(n - F.size("a"), m - F.size("b"))
+        likely = staged(with_sets(pairs, short).where(enough(n, m, most)).select("x", "y"), "lines-likely")
+        sure = staged(with_sets(likely, F.col("h")).where(enough(n, m, both)).select("x").distinct(), "lines-sure")
+        release(docs.sparkSession, likely)
+        return sure
+
+    led = staged(behind.where("hit").select(F.col("at").alias("x"), F.col("lead").alias("y")).distinct(), "lines-led")
+    settled = verified(led)
+    rest = behind.where("several").select("t", "at", "np", "bits").repartition("t")  # both sides of the join read one exchange
+    known = settled.select(F.col("x").alias("at"), F.lit(True).alias("settled"))
+    if known.count() <= MAX_BROADCAST_PAIRS:
+        known = F.broadcast(known)
+    earlier = rest.select("t", F.col("at").alias("y"), F.col("np").alias("np2"), F.col("bits").alias("bits2"))
+    more = rest.join(known, "at", "left").where(~F.coalesce("settled", F.lit(False))).join(earlier, "t").where((F.col("y") < F.col("at")) & similar("np", "bits", "np2", "bits2")).select(F.col("at").alias("x"), "y").distinct()
     more = staged(more.join(led, ["x", "y"], "left_anti"), "lines-more")
-    near = staged(settled.union(verified(more)).distinct(), "lines-near")
-    release(docs.sparkSession, sets, settled, keyed, led, more)
+    release(docs.sparkSession, *parts)
+    surely = verified(more)
+    near = staged(settled.union(surely).distinct(), "lines-near")
+    release(docs.sparkSession, sets, settled, surely, led, more)
     stay = first.join(near.select(F.col("x").alias("at")), "at", "left_anti")
     place = [F.shiftright("at", 26).alias("doc"), F.lit(None).cast("long").alias("h"), F.col("at").bitwiseAND((1 << 26) - 1).cast("int").alias("line")] if whole else ["at.doc", "at.h", "at.line"]
     stay = staged(stay.select(*place), "lines-stay")

@@ -253,6 +253,21 @@ def test_lines_with_odd_ids(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_very_long_lines(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(70_000)]  # more words than the short form tells apart
+    near, far = list(base), list(base)
+    for i in rng.sample(range(len(base)), 9_000):
+        near[i] = f"n{i}"
+    for i in rng.sample(range(len(base)), 20_000):
+        far[i] = f"f{i}"
+    texts = [" ".join(base), " ".join(near) + "\nshort line", " ".join(far), "short line\n" * 3000]
+    for bound in (line_dedup.MAX_BROADCAST_PAIRS, 0):  # pairs broadcast and shuffled
+        monkeypatch.setattr(line_dedup, "MAX_BROADCAST_PAIRS", bound)
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+        assert got == {0: texts[0], 1: "short line", 2: texts[2], 3: ""}
+
+
 # 5 and 10 --------------------------------------------------------------------------------------------------
 
 
