@@ -39,6 +39,8 @@ BUCKETS = 1 << 18
 BEGINNINGS = range(3, 8)
 #: Entries that the fit works on at a time.
 BLOCK = 1 << 20
+#: Documents whose entries the fit keeps in one array: large ones go back to the system when they are dropped.
+TOGETHER = 256
 #: Labelled documents that must hold a bucket for it to count: what one or two hold tells nothing of others.
 LEAST_ROWS = 3
 #: Share of odds below which a document is rejected.
@@ -153,21 +155,29 @@ class Model:
         centre, scale = x.mean(axis=0), x.std(axis=0)
         scale[scale < 1e-9] = 1
         x = np.column_stack([np.clip((x - centre) / scale, -8, 8), np.ones(len(x))])
-        marked = [marks(t) for t in texts]
+        chunks, sizes = [], []
+        held = np.zeros(BUCKETS, dtype=np.int32)
+        for i in range(0, len(texts), TOGETHER):
+            some = [marks(t) for t in texts[i : i + TOGETHER]]
+            for at, _ in some:
+                held[at] += 1
+            chunks.append(tuple(np.concatenate(m) for m in zip(*some, strict=True)))
+            sizes += [len(m[0]) for m in some]
         buckets.cache_clear()
         openings.cache_clear()
-        held = np.zeros(BUCKETS, dtype=np.int32)
-        for at, _ in marked:
-            held[at] += 1
         some = np.flatnonzero(held >= LEAST_ROWS)
         place = np.full(BUCKETS, -1, dtype=np.int32)
         place[some] = np.arange(len(some))
-        for i, (at, value) in enumerate(marked):
-            use = place[at] >= 0
-            marked[i] = place[at[use]], value[use]
-        row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(m[0]) for m in marked])
-        at, value = (np.concatenate([m[i] for m in marked]) for i in (0, 1))
-        del marked
+        at, value = np.empty(held[some].sum(), dtype=np.int32), np.empty(held[some].sum(), dtype=np.float32)
+        row, n = np.empty(len(at), dtype=np.int32), 0
+        for i, (found, much) in enumerate(chunks):
+            use = place[found] >= 0
+            mine = slice(n, n + int(use.sum()))
+            at[mine], value[mine] = place[found[use]], much[use]
+            own = sizes[i * TOGETHER : (i + 1) * TOGETHER]
+            row[mine] = np.repeat(np.arange(i * TOGETHER, i * TOGETHER + len(own)), own)[use]
+            n, chunks[i] = mine.stop, None
+        del chunks, found, much, use
         parts = []
         for y in (quality, harmless):
             if 0 < y.sum() < len(y):
