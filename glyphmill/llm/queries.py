@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "url_filter", "shingle_join", "line_dedup", "exact_topk", "piece_codec", "sharding", "quality", "transcripts", "ann", "infill", "prefix_trie", "pipeline_query"]
+MODULES = ["packing", "url_filter", "shingle_join", "line_dedup", "exact_topk", "piece_codec", "sharding", "quality", "transcripts", "ann", "infill", "prefix_trie", "embedding_dedup", "pipeline_query"]
 
 
 def _gather(what: str) -> dict:
