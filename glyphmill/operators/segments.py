@@ -19,15 +19,22 @@ from __future__ import annotations
 
 import json
 import math
+import sys
+import unicodedata
 import uuid
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..functions.text import index_fold, parts_of
+from ..functions.text import PART_PY
 from ..sources.scratch import staged
 
 FANOUT = 4
@@ -37,21 +44,47 @@ TIER = 1_000
 KEEP = 2
 #: Deleted units that are broadcast to readers; beyond, the join shuffles.
 BROADCAST_GONE = 200_000
+#: Rows whose terms are sent at once.
+ROWS = 256
 
 
 class Conflict(RuntimeError):
     """Another writer has made the next state already."""
 
 
+@lru_cache(maxsize=1)
+def marks() -> frozenset[str]:
+    """Non-spacing marks."""
+    return frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Mn")
+
+
+def terms_of(text: str) -> list[str]:
+    """Index terms of a text, as ``index_words`` gives them: marks are few in a text, so each is taken out of all of it."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFD", text)
+        for mark in marks().intersection(text):
+            text = text.replace(mark, "")
+    return PART_PY.findall(text.lower())
+
+
 def counted_terms(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, term, hits: terms are counted within each row, so nothing is shuffled.
-
-    Words are sorted; where a word differs from that before, a run begins, and the next beginning ends it."""
-    words = F.array_sort(parts_of(index_fold(F.coalesce(F.col(text), F.lit("")))))
-    rows = units.select(*keys, words.alias("w")).where(F.size("w") > 0)
-    begins = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
-    each = rows.withColumn("b", begins).select(*keys, "w", F.posexplode(F.transform("b", lambda x, k: F.struct(x.alias("at"), F.coalesce(F.get("b", k + 1), F.size("w")).alias("to")))).alias("k", "x"))
-    return each.select(*keys, F.get("w", F.col("x.at")).alias("term"), (F.col("x.to") - F.col("x.at")).cast("long").alias("hits"))
+    """keys, term, hits: terms are counted within each row, so nothing is shuffled."""
+    schema = StructType([*(units.schema[k] for k in keys), StructField("term", StringType()), StructField("hits", LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                rows, terms, hits = [], [], []
+                for value in part.column(len(keys)).to_pylist():
+                    found = Counter(terms_of(value or ""))
+                    rows.append(len(found))
+                    terms += found
+                    hits += found.values()
+                at = pa.array(np.repeat(np.arange(part.num_rows), rows))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(len(keys))), pa.array(terms, pa.string()), pa.array(hits, pa.int64())], [*keys, "term", "hits"])
+
+    return units.select(*keys, text).mapInArrow(count, schema)
 
 
 class SegmentIndex:

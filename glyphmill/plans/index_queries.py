@@ -35,9 +35,9 @@ def step(number: int, before: str, after: str, refused: str) -> str:
  FROM (SELECT CASE WHEN a.doc_id IS NULL THEN 'removed' WHEN NOT (a.{refused}) THEN 'failed' WHEN b.doc_id IS NULL THEN 'added' WHEN a.text = b.text THEN 'unchanged' ELSE 'updated' END AS o FROM {before} b FULL JOIN {after} a ON a.doc_id = b.doc_id)"""
 
 
-@query("k04_index_segments", f"WITH {V2}, none AS (SELECT doc_id, text FROM documents WHERE false), i2 AS (SELECT * FROM v2 WHERE {NOT_REFUSED}) {step(1, 'none', 'documents', 'doc_id IS NOT NULL')} UNION ALL {step(2, 'documents', 'v2', NOT_REFUSED)} UNION ALL {step(3, 'i2', 'documents', 'doc_id IS NOT NULL')}")
-def k04(spark, d):
-    """What each refresh found and wrote: postings are those of changed documents only."""
+@query("index_segments", f"WITH {V2}, none AS (SELECT doc_id, text FROM documents WHERE false), i2 AS (SELECT * FROM v2 WHERE {NOT_REFUSED}) {step(1, 'none', 'documents', 'doc_id IS NOT NULL')} UNION ALL {step(2, 'documents', 'v2', NOT_REFUSED)} UNION ALL {step(3, 'i2', 'documents', 'doc_id IS NOT NULL')}")
+def index_segments(spark, d):
+    """What each refresh found and wrote (K04): postings are those of changed documents only."""
     _, states = refreshed(spark, d)
     rows = [(i + 1, *(s["report"][c] for c in COUNTS)) for i, s in enumerate(states)]
     return spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ["state", *COUNTS]))
