@@ -1,4 +1,4 @@
-"""Reconciling two versions of documents: phases of unique matches, each on what is left of the ones before.
+"""Versions of documents: single phases of matching, dispositions and heads (all phases: ``reconcile``).
 
 Blocks: doc_id, block_id, native_id, kind, parent_id, ordinal, sibling, hash, text.  Every phase is an equi
 join inside a document; unique means that the key occurs once on either side.
@@ -32,15 +32,10 @@ def unique_phase(previous: DataFrame, current: DataFrame, keys: list[str], metho
     return p.join(c, keys).select("doc_id", "previous_id", "current_id", F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))
 
 
-def unmatched(b: DataFrame, matches: DataFrame, side: str) -> DataFrame:
-    m = matches.select("doc_id", F.col(side).alias("block_id"))
-    return b.join(m, ["doc_id", "block_id"], "left_anti")
-
-
 def similarity(a: str | None, b: str | None) -> int:
     """Matching ratio in millionths of texts with single spaces, case-folded, cut to COMPARED characters."""
     x, y = (" ".join((t or "").split()).casefold()[:COMPARED] for t in (a, b))
-    return int(difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() * 1_000_000)
+    return round(difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() * 1_000_000)
 
 
 @F.pandas_udf(IntegerType())
@@ -76,15 +71,6 @@ def sequence_phase(previous: DataFrame, current: DataFrame) -> DataFrame:
     return near.select("doc_id", "previous_id", "current_id", F.lit("sequence").alias("method"), F.lit(900_000).alias("confidence"))
 
 
-def reconcile(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Matches of all phases, in their order: native id, exact content, similarity, sequence."""
-    found = unique_phase(previous, current, ["doc_id", "kind", "native_id"], "native_id", 1_000_000)
-    for keys, method in ((["doc_id", "kind", "parent_id", "hash"], "exact"), (["doc_id", "kind", "hash"], "exact")):
-        found = found.unionByName(unique_phase(unmatched(previous, found, "previous_id"), unmatched(current, found, "current_id"), keys, method, 1_000_000))
-    found = found.unionByName(similar_phase(unmatched(previous, found, "previous_id"), unmatched(current, found, "current_id"))[0])
-    return found.unionByName(sequence_phase(unmatched(previous, found, "previous_id"), unmatched(current, found, "current_id")))
-
-
 def dispositions(sources: DataFrame, known: DataFrame, key: str, digest: str) -> DataFrame:
     """added, updated or unchanged for each source; removed for what is known and not there any more."""
     k = known.select(key, F.col(digest).alias("__old"), F.lit(1).alias("__k"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import change as C
 from ..operators import lineage as L
+from ..operators import reconcile as R
 from ..operators import versions as V
 from ..operators.numbering import numbered
 from .registry import query, table
@@ -72,16 +73,53 @@ def j09(spark, d):
     return V.sequence_phase(p, c).select("doc_id", "previous_id", "current_id")
 
 
+def trees(spark, d):
+    """Conversations as two versions of trees: turn t is below turn t div 2.  Some texts change a little, some in full; some blocks move to the top; every sixth has a native id, some an asset, and every fifth is a table."""
+    c = table(spark, d, "conversations").selectExpr("conv_id AS doc_id", "turn AS ordinal", "role", "text")
+    base = c.selectExpr(
+        "*", "CASE WHEN (doc_id + ordinal) % 6 = 0 THEN concat('n', ordinal) END AS native_id", "CASE WHEN ordinal % 7 = 3 THEN concat('a', ordinal % 2) END AS asset_id",
+        "CASE WHEN ordinal % 5 = 4 THEN 'table' ELSE role END AS kind", "CASE WHEN ordinal % 5 = 4 THEN md5(left(text, 5)) END AS structured_hash")
+    edited = base.withColumn("text", F.expr("CASE WHEN (doc_id + ordinal) % 5 = 0 THEN text || 'x' WHEN (doc_id + ordinal) % 9 = 0 THEN sha2(text, 256) ELSE text END"))
+    moved = F.expr("(doc_id + ordinal) % 11 = 0")
+    done = lambda x, v, top: x.withColumns({"hash": F.md5("text"), "block_id": F.concat(F.lit(v), F.col("ordinal").cast("string")), "parent_id": F.when((F.col("ordinal") > 0) & ~top, F.concat(F.lit(v), F.expr("ordinal div 2").cast("string")))})
+    return done(base, "p", F.lit(False)), done(edited, "c", moved)
+
+
 @query("d11_reconcile")
 def d11(spark, d):
-    return V.reconcile(*turns(spark, d))
+    return R.reconcile(*trees(spark, d)).matches
 
 
 @query("a22_reconciliation_counts")
 def a22(spark, d):
-    p, c = turns(spark, d)
-    r = V.reconcile(p, c)
-    return r.groupBy("method").agg(F.count("*").alias("matched"), F.min("confidence").alias("least"))
+    return R.reconcile(*trees(spark, d)).counts
+
+
+TREES = """b AS (SELECT conv_id AS doc_id, turn AS ordinal, text, CASE WHEN (conv_id + turn) % 6 = 0 THEN 'n' || turn END AS native_id, CASE WHEN turn % 7 = 3 THEN 'a' || turn % 2 END AS asset_id,
+ CASE WHEN turn % 5 = 4 THEN 'table' ELSE role END AS kind, CASE WHEN turn % 5 = 4 THEN md5(left(text, 5)) END AS structured_hash FROM conversations),
+ p AS (SELECT *, md5(text) AS hash, CASE WHEN ordinal > 0 THEN ordinal // 2 END AS parent FROM b),
+ c AS (SELECT * EXCLUDE (text), md5(CASE WHEN (doc_id + ordinal) % 5 = 0 THEN text || 'x' WHEN (doc_id + ordinal) % 9 = 0 THEN sha256(text) ELSE text END) AS hash, CASE WHEN ordinal > 0 AND (doc_id + ordinal) % 11 <> 0 THEN ordinal // 2 END AS parent FROM b)"""
+
+
+def unique_sql(name: str, key: str, before: list[str], rule: bool = True) -> str:
+    """One phase: pairs by a key that occurs once on either side, down the tree from the pairs before."""
+    known = " UNION ALL ".join(f"SELECT doc_id, p, c FROM {x}" for x in before) or "SELECT 0::BIGINT AS doc_id, 0::BIGINT AS p, 0::BIGINT AS c WHERE false"
+    side = lambda s: f"SELECT doc_id, k, min(ordinal) AS {s}, min(parent) AS {s}p FROM (SELECT *, {key} AS k FROM {s} WHERE (doc_id, ordinal) NOT IN (SELECT doc_id, {s} FROM ({known}))) WHERE k IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1"
+    pairs = f"{name}_k AS (SELECT doc_id, p, c, pp, cp FROM ({side('p')}) JOIN ({side('c')}) USING (doc_id, k))"
+    if not rule:
+        return f"{pairs}, {name} AS (SELECT doc_id, p, c FROM {name}_k)"
+    return f"""{pairs}, {name}(doc_id, p, c) AS (SELECT doc_id, p, c FROM {name}_k WHERE (pp IS NULL AND cp IS NULL) OR (doc_id, pp, cp) IN (SELECT doc_id, p, c FROM ({known}))
+ UNION SELECT k.doc_id, k.p, k.c FROM {name}_k k JOIN {name} m ON k.doc_id = m.doc_id AND k.pp = m.p AND k.cp = m.c)"""
+
+
+PHASES = [unique_sql("m1", "CASE WHEN native_id IS NOT NULL THEN struct_pack(a := native_id, b := kind) END", [], False), unique_sql("m2", "CASE WHEN hash IS NOT NULL THEN struct_pack(a := kind, b := hash) END", ["m1"]),
+    unique_sql("m3", "CASE WHEN asset_id IS NOT NULL THEN struct_pack(a := kind, b := asset_id) WHEN kind = 'table' AND structured_hash IS NOT NULL THEN struct_pack(a := kind, b := structured_hash) END", ["m1", "m2"])]
+
+
+@query("d13_parent_fixpoint", f"WITH RECURSIVE {TREES}, {', '.join(PHASES)} SELECT doc_id, 'p' || p AS previous_id, 'c' || c AS current_id, method FROM (SELECT *, 'native_id' AS method FROM m1 UNION ALL SELECT *, 'exact' FROM m2 UNION ALL SELECT *, 'asset_or_table' FROM m3)")
+def d13(spark, d):
+    """Pairs of the phases by keys, each carried down the tree from pair to pair."""
+    return R.reconcile(*trees(spark, d)).matches.where("method IN ('native_id', 'exact', 'asset_or_table')").select("doc_id", "previous_id", "current_id", "method")
 
 
 @query("j08_similarity_pairs", "SELECT a.conv_id AS doc_id, 'p' || a.turn AS previous_id, 'c' || b.turn AS current_id FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.role = b.role AND abs(a.turn - b.turn) <= 8")
