@@ -190,5 +190,10 @@ def index_fold(text: Column) -> Column:
     return _mapped(index_text)(text)
 
 
+def composed(text: Column) -> Column:
+    """Canonical composition."""
+    return _mapped(lambda t: unicodedata.normalize("NFC", t))(text)
+
+
 def relevance_token(text: Column) -> Column:
     return _mapped(lambda t: unicodedata.normalize("NFC", unicodedata.normalize("NFC", t).casefold()))(text)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType
 
-from ..functions.text import relevance_token
+from ..functions.text import composed, relevance_token
 
 # Scales and limits that results must agree on.
 PPM = 1_000_000
@@ -23,7 +23,6 @@ a an and are as at be by das dem den der die ein eine for from how in is it mit
 welche welcher welches what when which who why wie with zu
 """.split()
 VOLATILE = "current heute latest live recently today".split()
-RELEVANCE_TOKEN = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*")
 RELEVANCE_PATTERN = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
 YEARS, NAMED_WEIGHT, MAX_SIGNALS, MAX_SIGNAL = (1900, 2200), 4, 64, 128
 # End of fixed values.
@@ -168,32 +167,24 @@ def missing(required: DataFrame, selected: DataFrame) -> DataFrame:
     return required.join(met, "query_id", "left_anti").select("query_id", "representation")
 
 
-def signals_of(task: str, functions: frozenset[str] = frozenset(FUNCTION_WORDS), volatile: frozenset[str] = frozenset(VOLATILE)) -> list[tuple[str, str, int]]:
-    """[(token, class, weight)] of a task, in order of token; none if it has more or longer ones than are allowed."""
-    found: dict[str, tuple[str, int]] = {}
-    for raw in RELEVANCE_TOKEN.findall(unicodedata.normalize("NFC", task)):
-        token = unicodedata.normalize("NFC", raw).casefold()
-        if token.endswith("'s") and len(token) > 2:
-            raw, token = raw[:-2], token[:-2]
-        if token in functions:
-            continue
-        if len(token) > MAX_SIGNAL:
-            return []
-        letters = [c for c in raw if c.isalpha()]
-        year = len(token) == 4 and token.isdecimal() and YEARS[0] <= int(token) <= YEARS[1]
-        named = any(map(str.isdigit, token)) or (len(letters) > 1 and all(map(str.isupper, letters)))
-        timely = token in volatile or year
-        found[token] = ("volatile_time" if timely else "identifier" if named else "ordinary", NAMED_WEIGHT if token not in volatile and (year or named) else 1)
-    return [(t, *found[t]) for t in sorted(found)] if len(found) <= MAX_SIGNALS else []
+def relevance_signals(tasks: DataFrame) -> DataFrame:
+    """query_id, token, class, weight of the signals of tasks (query_id, task).
 
-
-SIGNALS = ArrayType(StructType([StructField("token", StringType()), StructField("class", StringType()), StructField("weight", IntegerType())]))
-
-
-@F.pandas_udf(SIGNALS)
-def relevance_signals(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for tasks in batches:
-        yield pd.Series([[dict(zip(("token", "class", "weight"), s, strict=True)) for s in signals_of(t or "")] for t in tasks])
+    A later mention of a token decides its class.  A task with more signals or a longer one than is allowed has one
+    row in their place: token null, class ``refused``."""
+    each = tasks.select("query_id", F.posexplode(F.regexp_extract_all(composed(F.col("task")), F.lit(RELEVANCE_PATTERN), F.lit(0))).alias("at", "raw")).withColumn("token", relevance_token(F.col("raw")))
+    owned = F.col("token").rlike(".'s$")
+    bare = each.withColumns({c: F.when(owned, F.expr(f"left({c}, length({c}) - 2)")).otherwise(F.col(c)) for c in ("raw", "token")}).where(~F.col("token").isin(FUNCTION_WORDS))
+    listed, year = F.col("token").isin(VOLATILE), F.col("token").rlike("^[0-9]{4}$") & F.col("token").try_cast("int").between(*YEARS)
+    named = F.col("token").rlike(r"\p{Nd}") | F.regexp_replace("raw", r"[^\p{L}]", "").rlike(r"^\p{Lu}{2,}$")
+    kind = F.when(listed | year, "volatile_time").when(named, "identifier").otherwise("ordinary")
+    judged = bare.select("query_id", "token", "at", F.struct(kind.alias("class"), F.when(~listed & (year | named), NAMED_WEIGHT).otherwise(1).alias("weight")).alias("x"))
+    once = judged.groupBy("query_id", "token").agg(F.max_by("x", "at").alias("x"))
+    mine = W.partitionBy("query_id")
+    over = once.withColumn("refused", (F.count("*").over(mine) > MAX_SIGNALS) | (F.max(F.length("token")).over(mine) > MAX_SIGNAL))
+    kept = over.where("not refused").select("query_id", "token", "x.class", "x.weight")
+    refused = over.where("refused").select("query_id", F.lit(None).cast("string").alias("token"), F.lit("refused").alias("class"), F.lit(None).cast("int").alias("weight"))
+    return kept.unionByName(refused.distinct())
 
 
 def body_tokens(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -205,6 +196,7 @@ def observe(signals: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame
     """query_id, keys, matched_signals, matched_weight, score, volatile_time_matched of units that match a signal.
 
     signals: query_id, token, class, weight.  The score is in millionths of the task's weight; a volatile signal must be met."""
+    signals = signals.where("class <> 'refused'")
     timely = F.count_if(F.col("class") == "volatile_time")
     whole = signals.groupBy("query_id").agg(F.sum("weight").alias("total"), timely.alias("all_timely"))
     met = tokens.join(signals, "token").groupBy("query_id", *keys).agg(F.count("*").alias("matched_signals"), F.sum("weight").alias("matched_weight"), timely.alias("timely"))

@@ -145,7 +145,8 @@ SIGNALS = rf"""rt AS (SELECT item_id, unnest(l) AS r, unnest(range(1, len(l) + 1
 rv AS (SELECT item_id, i, regexp_replace(replace(lower(r), 'ß', 'ss'), '(.)''s$', '\1') AS token, regexp_replace(r, '(.)''s$', '\1') AS r FROM rt),
 rc AS (SELECT *, CASE WHEN token IN {LISTED(V2.VOLATILE)} THEN 'volatile_time' WHEN regexp_matches(token, '^(19|20|21)[0-9][0-9]$|^2200$') THEN 'year'
  WHEN regexp_matches(token, '[0-9]') OR (length(regexp_replace(r, '[^\p{{L}}]', '', 'g')) > 1 AND r = upper(r)) THEN 'identifier' ELSE 'ordinary' END AS class FROM rv WHERE token NOT IN {LISTED(V2.FUNCTION_WORDS)}),
-rs AS (SELECT item_id, token, arg_max(class, i) AS class, arg_max(CASE WHEN class IN ('year', 'identifier') THEN 4 ELSE 1 END, i) AS weight FROM rc GROUP BY 1, 2)"""
+ra AS (SELECT item_id, token, arg_max(class, i) AS class, arg_max(CASE WHEN class IN ('year', 'identifier') THEN 4 ELSE 1 END, i) AS weight FROM rc GROUP BY 1, 2),
+rx AS (SELECT item_id FROM ra GROUP BY 1 HAVING count(*) > {V2.MAX_SIGNALS} OR max(length(token)) > {V2.MAX_SIGNAL}), rs AS (SELECT * FROM ra WHERE item_id NOT IN (FROM rx))"""
 OBSERVED = f"""WITH {SIGNALS}, dt AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({FOLDED}, '{RELEVANCE_TOKEN}')) AS token FROM documents),
  al AS (SELECT item_id, sum(weight) AS total, count(*) FILTER (WHERE class IN ('year', 'volatile_time')) AS volatile FROM rs GROUP BY 1),
  ob AS (SELECT item_id AS query_id, doc_id, count(*) AS matched_signals, CAST(sum(weight) AS BIGINT) AS matched_weight, CAST(sum(weight) * 1000000 // any_value(total) AS BIGINT) AS score, count(*) FILTER (WHERE class IN ('year', 'volatile_time')) = any_value(volatile) AS volatile_time_matched FROM rs JOIN dt USING (token) JOIN al USING (item_id) GROUP BY 1, 2)"""
@@ -154,10 +155,10 @@ OBSERVED = f"""WITH {SIGNALS}, dt AS (SELECT DISTINCT doc_id, unnest(regexp_extr
 def signals(spark, d):
     """Relevance signals of tasks: the benchmark texts, with a year, an identifier and a word of the day."""
     task = F.concat(F.lit("In 2024 part-7 "), F.col("text"), F.lit(" today"))
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(V2.relevance_signals(task)).alias("s")).select("query_id", "s.token", "s.class", "s.weight")
+    return V2.relevance_signals(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), task.alias("task")))
 
 
-@query("r18_relevance_signals", f"WITH {SIGNALS} SELECT item_id AS query_id, token, CASE class WHEN 'year' THEN 'volatile_time' ELSE class END AS class, CAST(weight AS INTEGER) AS weight FROM rs")
+@query("r18_relevance_signals", f"WITH {SIGNALS} SELECT item_id AS query_id, token, CASE class WHEN 'year' THEN 'volatile_time' ELSE class END AS class, CAST(weight AS INTEGER) AS weight FROM rs UNION ALL SELECT item_id, NULL, 'refused', NULL FROM rx")
 def r18(spark, d):
     return signals(spark, d)
 

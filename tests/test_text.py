@@ -153,3 +153,19 @@ def test_phrases_count_places(spark):
     wanted = spark.createDataFrame([(7, "b", True), (7, "bc", True), (7, "a", False)], "query_id int, item string, prefix boolean")
     got = {(r["item"], r["u"]): r["tf"] for r in I.matching(post, wanted, ["u"]).collect()}
     assert got == {("a", 1): 2.5, ("a", 2): 1.0, ("a", 3): 2.0, ("b", 1): 2.5, ("b", 2): 1.0, ("b", 3): 2.0, ("bc", 3): 1.0}
+
+
+def test_plan_scans_once(spark):
+    assert [(t.text, t.prefix, t.phrase) for t in planning.plan('the "Quoted Words" testing "one" of "" testing 2024')] == [("quoted words", False, True), ("one", False, False), ("test", True, False), ("2024", False, False)]
+    assert planning.plan('"..." the') == [planning.Term("the", False)] and planning.plan("") == []
+    assert [planning.stem(w)[0] for w in ("nationen", "ationen", "Verwaltungen", "cities", "issues", "ings")] == ["nation", "ation", "verwalt", "citi", "issu", "ings"]
+
+
+def test_refused_tasks_are_told(spark):
+    from glyphmill.operators import evidence
+
+    tasks = spark.createDataFrame([(1, "NASA's part-7 NASA 2024 and today x"), (2, " ".join(f"w{i}" for i in range(65))), (3, "y" * 129), (4, " ".join(f"w{i}" for i in range(64))), (5, None), (6, "Nasa NASA nasa'S")], "query_id int, task string")
+    rows = evidence.relevance_signals(tasks).collect()
+    of = lambda q: sorted((r["token"], r["class"], r["weight"]) for r in rows if r["query_id"] == q)
+    assert of(1) == [("2024", "volatile_time", 4), ("nasa", "identifier", 4), ("part-7", "identifier", 4), ("today", "volatile_time", 1), ("x", "ordinary", 1)]
+    assert of(2) == of(3) == [(None, "refused", None)] and len(of(4)) == 64 and of(5) == [] and of(6) == [("nasa", "ordinary", 1)]
