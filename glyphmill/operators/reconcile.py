@@ -64,11 +64,9 @@ def similarity_column(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterato
         yield pd.Series([similarity(normal(x), normal(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-def left_of(blocks: DataFrame, matches: list[DataFrame], side: str) -> DataFrame:
+def left_of(blocks: DataFrame, matches: DataFrame, side: str) -> DataFrame:
     """Blocks of one side that have no pair yet."""
-    for m in matches:
-        blocks = blocks.join(m.select("doc_id", F.col(side).alias("block_id")), ["doc_id", "block_id"], "left_anti")
-    return blocks
+    return blocks.join(matches.select("doc_id", F.col(side).alias("block_id")), ["doc_id", "block_id"], "left_anti")
 
 
 def candidates(previous: DataFrame, current: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
@@ -83,19 +81,19 @@ def candidates(previous: DataFrame, current: DataFrame, key: Column) -> tuple[Da
     return pairs, seen
 
 
-def accepted(pairs: DataFrame, matches: list[DataFrame]) -> list[DataFrame]:
+def accepted(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     """Pairs whose parents are both none or a pair, round by round down the tree."""
-    top = pairs.where("previous_parent is null and current_parent is null").select(KEYS)
     out: list[DataFrame] = []
-    newest = [*matches]
+    newest = matches
     while True:
-        parents = [m.select("doc_id", F.col("previous_id").alias("previous_parent"), F.col("current_id").alias("current_parent")) for m in newest]
-        below = [pairs.join(p, ["doc_id", "previous_parent", "current_parent"], "left_semi").select(KEYS) for p in parents]
-        found = staged(reduce(DataFrame.unionByName, [*below, top] if not out else below), "reconcile-round")
-        if out and found.isEmpty():
-            return out
-        out.append(found)
-        newest = [found]
+        parents = newest.select("doc_id", F.col("previous_id").alias("previous_parent"), F.col("current_id").alias("current_parent"))
+        below = pairs.join(parents, ["doc_id", "previous_parent", "current_parent"], "left_semi").select(KEYS)
+        if not out:
+            below = below.unionByName(pairs.where("previous_parent is null and current_parent is null").select(KEYS))
+        newest = staged(below, "reconcile-round")
+        out.append(newest)
+        if newest.isEmpty():
+            return reduce(DataFrame.unionByName, out)
 
 
 def similar(previous: DataFrame, current: DataFrame, matches: DataFrame) -> DataFrame:
@@ -133,39 +131,35 @@ def reconcile(previous: DataFrame, current: DataFrame) -> Reconciled:
         ("exact", F.when(F.col("hash").isNotNull(), F.struct("kind", "hash"))),
         ("asset_or_table", F.coalesce(F.when(F.col("asset_id").isNotNull(), F.struct(F.col("kind"), F.col("asset_id").alias("x"))), F.when((F.col("kind") == "table") & F.col("structured_hash").isNotNull(), F.struct(F.col("kind"), F.col("structured_hash").alias("x"))))),
     ]
-    matches: list[DataFrame] = []
-    told: list[DataFrame] = []
+    told = p.sparkSession.createDataFrame([], f"doc_id {p.schema['doc_id'].dataType.simpleString()}, previous_id {p.schema['block_id'].dataType.simpleString()}, current_id {c.schema['block_id'].dataType.simpleString()}, method string, confidence int")
     seen: list[DataFrame] = []
 
-    def take(new: list[DataFrame], method: str) -> None:
-        matches.extend(new)
-        told.extend(m.select(*KEYS, F.lit(method).alias("method"), F.lit(CERTAIN).alias("confidence")) for m in new)
+    def take(new: DataFrame, method: str, confidence: Column) -> DataFrame:
+        """All pairs so far, as one table."""
+        return staged(told.unionByName(new.select(*KEYS, F.lit(method).alias("method"), confidence.cast("int").alias("confidence"))), "reconcile-matches")
 
     for method, key in phases:
-        pairs, met = candidates(left_of(p.select(skinny), matches, "previous_id"), left_of(c.select(skinny), matches, "current_id"), key)
+        pairs, met = candidates(left_of(p.select(skinny), told, "previous_id"), left_of(c.select(skinny), told, "current_id"), key)
         seen.append(met)
-        take([staged(pairs.select(KEYS), "reconcile-native")] if method == "native_id" else accepted(staged(pairs, "reconcile-pairs"), matches), method)
-    joined = reduce(DataFrame.unionByName, matches)
-    compared = staged(similar(left_of(p, matches, "previous_id"), left_of(c, matches, "current_id"), joined), "reconcile-compared")
-    best = staged(mutual_best(compared).select(*KEYS, "score"), "reconcile-similar")
-    matches.append(best.select(KEYS))
-    told.append(best.select(*KEYS, F.lit("similarity").alias("method"), F.col("score").alias("confidence")))
+        told = take(pairs if method == "native_id" else accepted(staged(pairs, "reconcile-pairs"), told), method, F.lit(CERTAIN))
+    compared = staged(similar(left_of(p, told, "previous_id"), left_of(c, told, "current_id"), told), "reconcile-compared")
     seen.append(compared.select("doc_id", F.col("current_id").alias("block_id")))
+    told = take(mutual_best(compared), "similarity", F.col("score"))
 
     # In sequence: under the parent that a block's parent was, and unique there; what has no known parent counts as at the top.
-    joined = reduce(DataFrame.unionByName, matches)
-    mapped = joined.select("doc_id", F.col("current_id").alias("parent_id"), F.col("previous_id").alias("under"))
-    sides = [left_of(p.select(skinny), matches, "previous_id").withColumn("under", F.col("parent_id")), left_of(c.select(skinny), matches, "current_id").join(mapped, ["doc_id", "parent_id"], "left")]
+    mapped = told.select("doc_id", F.col("current_id").alias("parent_id"), F.col("previous_id").alias("under"))
+    sides = [left_of(p.select(skinny), told, "previous_id").withColumn("under", F.col("parent_id")), left_of(c.select(skinny), told, "current_id").join(mapped, ["doc_id", "parent_id"], "left")]
     pairs, met = candidates(*sides, F.when(F.col("hash").isNotNull(), F.struct("under", "kind", "hash")))
     seen.append(met)
     places = [x.select("doc_id", F.col("block_id").alias(f"{n}_id"), F.col("ordinal").alias(o)) for x, n, o in ((p, "previous", "po"), (c, "current", "co"))]
     near = pairs.join(places[0], ["doc_id", "previous_id"]).join(places[1], ["doc_id", "current_id"]).where(F.abs(F.col("po") - F.col("co")) <= SEQUENCE)
+    near = staged(near, "reconcile-near")
     top = near.where("previous_parent is null and current_parent is null").select(KEYS)
-    parents = joined.select("doc_id", F.col("previous_id").alias("previous_parent"), F.col("current_id").alias("current_parent"))
-    take([staged(top.unionByName(near.join(parents, ["doc_id", "previous_parent", "current_parent"], "left_semi").select(KEYS)), "reconcile-sequence")], "sequence")
+    parents = told.select("doc_id", F.col("previous_id").alias("previous_parent"), F.col("current_id").alias("current_parent"))
+    told = take(top.unionByName(near.join(parents, ["doc_id", "previous_parent", "current_parent"], "left_semi").select(KEYS)), "sequence", F.lit(CERTAIN))
 
     hashes = [x.select("doc_id", F.col("block_id").alias(f"{n}_id"), F.col("hash").alias(f"{n}_hash")) for x, n in ((p, "previous"), (c, "current"))]
-    all_told = reduce(DataFrame.unionByName, told).join(hashes[0], ["doc_id", "previous_id"]).join(hashes[1], ["doc_id", "current_id"])
+    all_told = told.join(hashes[0], ["doc_id", "previous_id"]).join(hashes[1], ["doc_id", "current_id"])
     out = staged(all_told.select(*KEYS, "method", "confidence", F.col("previous_hash").eqNullSafe(F.col("current_hash")).alias("reusable")), "reconcile-matches")
     return Reconciled(out, totals(out, every, reduce(DataFrame.unionByName, seen), compared))
 
