@@ -51,26 +51,26 @@ parser("text/markdown")(markdown_blocks)
 parser("text/csv")(csv_blocks)
 
 
-class ParseBlocks:
-    """One row a block, or one that says what failed."""
-
-    def __init__(self) -> None:
-        self.parsers = dict(PARSERS)
-
-    def eval(self, text: str, media_type: str) -> Iterator[tuple]:
-        if text is None:
-            return
-        try:
-            if media_type not in self.parsers:
-                raise ValueError(f"no parser for {media_type}")
-            if "\0" in text:
-                raise ValueError("text holds a NUL")
-            found = self.parsers[media_type](text)
-        except (ValueError, csv.Error) as e:
-            yield (*[None] * 8, str(e))
-            return
-        for block in found:
-            yield (*block, None)
+def block_function(parsers: dict[str, Parser]) -> type:
+    """The table function over these parsers, which go to the tasks with it: one row a block, or one that says what failed."""
+
+    class ParseBlocks:
+        def eval(self, text: str, media_type: str) -> Iterator[tuple]:
+            if text is None:
+                return
+            try:
+                if media_type not in parsers:
+                    raise ValueError(f"no parser for {media_type}")
+                if "\0" in text:
+                    raise ValueError("text holds a NUL")
+                found = parsers[media_type](text)
+            except (ValueError, csv.Error) as e:
+                yield (*[None] * 8, str(e))
+                return
+            for block in found:
+                yield (*block, None)
+
+    return ParseBlocks
 
 
 class ParseRecords:
@@ -97,7 +97,7 @@ class ParseRecords:
 
 def register(spark: SparkSession) -> None:
     """Makes both functions known to SQL."""
-    spark.udtf.register("parse_blocks", F.udtf(ParseBlocks, returnType=COLUMNS))
+    spark.udtf.register("parse_blocks", F.udtf(block_function(dict(PARSERS)), returnType=COLUMNS))
     spark.udtf.register("parse_records", F.udtf(ParseRecords))
 
 
