@@ -33,7 +33,9 @@ def scan_rows(known: DataFrame, scanned: DataFrame, complete: bool, seen_at) ->
 
 
 class Watching(StatefulProcessor):
-    """State of a path: when its fingerprint was first seen without a break, what it is, and whether it was told stable."""
+    """State of a path: when its fingerprint was first seen without a break, what it is, and whether it was told stable.
+
+    Times are microseconds; timers and how long a fingerprint has held go by whole milliseconds."""
 
     def __init__(self, stability_ms: int, forget_ms: int):
         self.stability, self.forget = stability_ms, forget_ms
@@ -43,8 +45,8 @@ class Watching(StatefulProcessor):
         self.known = handle.getValueState("known", "since long, mark string, stable boolean")
 
     def _row(self, path: str, at: int, mark: str | None, since: int, event: str | None, timed: bool) -> tuple:
-        state = "TOMBSTONED" if mark is None else "STABLE" if at - since >= self.stability else "CANDIDATE"
-        return path, pd.Timestamp(at, unit="ms"), mark, pd.Timestamp(since, unit="ms"), state, event, timed
+        state = "TOMBSTONED" if mark is None else "STABLE" if at // 1000 - since // 1000 >= self.stability else "CANDIDATE"
+        return path, pd.Timestamp(at, unit="us"), mark, pd.Timestamp(since, unit="us"), state, event, timed
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["path", "seen_at", "fingerprint", "since", "state", "event", "timed"])
@@ -54,7 +56,7 @@ class Watching(StatefulProcessor):
         since, mark, stable = held or (0, None, False)
         fresh, out = held is None, []
         for row in pd.concat(list(rows)).sort_values(["seen_at", "fingerprint"], na_position="first").itertuples():
-            at, new = row.seen_at.value // 1_000_000, None if pd.isna(row.fingerprint) else row.fingerprint
+            at, new = row.seen_at.value // 1000, None if pd.isna(row.fingerprint) else row.fingerprint
             event = None
             if fresh or new != mark:
                 event = "REMOVED" if new is None else "DISCOVERED" if fresh else "REAPPEARED" if mark is None else "CHANGED"
@@ -64,9 +66,9 @@ class Watching(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if mark is None:
-            self.handle.registerTimer(since + self.forget)
+            self.handle.registerTimer(since // 1000 + self.forget)
         elif not stable:
-            self.handle.registerTimer(since + self.stability)
+            self.handle.registerTimer(since // 1000 + self.stability)
         self.known.update((since, mark, stable))
         yield self._frame(out)
 
@@ -76,7 +78,7 @@ class Watching(StatefulProcessor):
             self.known.clear()
             return
         self.known.update((since, mark, True))
-        yield self._frame([self._row(key[0], expiredTimerInfo.getExpiryTimeInMs(), mark, since, None, True)])
+        yield self._frame([self._row(key[0], 1000 * expiredTimerInfo.getExpiryTimeInMs(), mark, since, None, True)])
 
 
 def watch(observations: DataFrame, stability_ms: int, forget_ms: int, late: str = "0 seconds") -> DataFrame:

@@ -111,7 +111,7 @@ def at(minute):
 
 
 def test_watch_equals_the_batch_operator(spark, tmp_path):
-    batches = [[("a", at(1), "f"), ("b", at(1), None), ("c", at(1), "x"), (None, at(1), "x")], [("a", at(2), "f"), ("b", at(3), "g"), ("c", at(2), None)], [("a", at(5), "h"), ("a", at(4), None), ("c", at(6), "x")]]
+    batches = [[("a", at(1), "f"), ("b", at(1), None), ("c", at(1), "x"), (None, at(1), "x")], [("a", at(2), "f"), ("b", at(3), "g"), ("c", at(2), None)], [("a", "2026-01-01 00:05:00.123456", "h"), ("a", at(4), None), ("c", at(6), "x")]]
     got = watched(spark, tmp_path, batches).where("not timed").select("path", "seen_at", "fingerprint", "since", "state", "event")
     rows = spark.createDataFrame([r for b in batches for r in b if r[0]], SEEN).withColumn("seen_at", F.col("seen_at").cast("timestamp"))
     want = C.file_states(rows, 60_000)
