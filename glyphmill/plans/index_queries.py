@@ -1,4 +1,4 @@
-"""Queries of the segmented index: refreshes between versions of the corpus."""
+"""Queries of the segmented index, refreshed between versions of the corpus, and of packages."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.segments import SegmentIndex
+from ..sources import bags
 from ..sources.scratch import scratch_root
 from .change_queries import V2, versions
-from .registry import query
+from .registry import query, table
 
 # The second version refuses every 29th document; the third is the first again.
 NOT_REFUSED = "doc_id % 29 <> 1"
@@ -49,3 +50,14 @@ def x12(spark, d):
     index, _ = refreshed(spark, d)
     weight = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
     return index.postings().groupBy("doc_id").agg(F.sum("hits").alias("tokens"), F.count("*").alias("terms"), F.sum(F.col("hits") * weight).alias("digest"))
+
+
+@query("k07_package", "SELECT DISTINCT 'sha256:' || sha256(text) AS object_id, CAST(strlen(text) AS BIGINT) AS length, true AS sound FROM documents WHERE text IS NOT NULL")
+def k07(spark, d):
+    """All texts as objects of a package, written, verified and read back."""
+    root = f"{scratch_root(spark)}/glyphmill-package-{uuid.uuid4().hex}"
+    path = root if "://" in root else f"file://{root}"
+    objects = table(spark, d, "documents").select(F.col("text").cast("binary").alias("content"))
+    bags.export(objects, path, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    read = bags.entries(spark, path).where("kind = 'payload' or fault is not null")
+    return read.select(F.concat(F.lit("sha256:"), "sha256").alias("object_id"), "length", (F.col("fault").isNull() & (F.sha2("content", 256) == F.col("sha256"))).alias("sound"))
