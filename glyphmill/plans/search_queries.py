@@ -259,7 +259,7 @@ def find_passages(questions, units, post, length):
 
     questions: query_id, text.  Order: a hit in the text, coverage, prose before tables for questions, rank, place."""
     keys = PASSAGE_KEYS
-    plans = questions.select("query_id", T.is_question(F.col("text")).alias("asks"), planned_column("text").alias("plan"))
+    plans = staged(questions.select("query_id", T.is_question(F.col("text")).alias("asks"), planned_column("text").alias("plan")), "plans")
     scored = I.bm25(plan_hits(plans, post, units, keys, PASSAGE_FIELDS), length, keys).withColumn("r9", F.round("rank", 9))
     few = I.top(scored, ["r9", *keys], FIND_CANDIDATES).drop("place").join(units, keys).join(I.few(plans), "query_id")
     # few rows, but each takes a while: they are dealt to as many tasks as there are
