@@ -20,7 +20,7 @@ without items that names what is missing; a candidate found twice counts at its
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -28,14 +28,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import staged
+from ..sources.scratch import discard
+from ..sources.scratch import staged as written
 from . import selection as S
 
+#: Tables here are wide and many: what made them goes at once.
+staged = partial(written, clean=True)
+
 # Limits that results must agree on.
 DISCOVERED, EVALUATED, DECISIONS = 10_000, 512, 12_000
 ROUNDS = 8
 # End of fixed values.
 
+#: Selected rows that are broadcast to the evidence; beyond, the join shuffles.
+BROADCAST_TAKEN = 200_000
+
 MISSING = "required_evidence_unavailable"
 CUT = '{"code":"discovery_truncated","message":"Not all candidates were looked at."}'
 NONE_RELEVANT = '{"code":"no_relevant_evidence","message":"No candidate is relevant enough."}'
@@ -131,11 +138,15 @@ def discovered(sources: list[DataFrame], limit: int) -> DataFrame:
 
 def allocated(candidates: DataFrame, policy: Policy) -> DataFrame:
     """Candidates with reason (null: to be packed, at ``place``)."""
-    facts = candidates.withColumns({"high_value": F.lit(False), "tier": F.col("source_order"), "semantic": F.lit(None).cast("long"), "matched_weight": F.col("coverage"), "matched_signals": F.col("coverage"), "representation_id": F.col("representation"), "ordinal": F.col("evidence_id")})
-    judged = staged(S.classify(facts, list(policy.zones), policy.most_sensitive, policy.floor), "compile-classified")
-    chosen = S.allocate(judged.where("reason is null").drop("reason"))
+    judged = S.classify(candidates.withColumn("ordinal", F.col("evidence_id")), list(policy.zones), policy.most_sensitive, policy.floor)
+    judged = staged(judged.drop("ordinal", "current", "trust_zone", "sensitivity"), "compile-classified")
+    ranks = {"high_value": F.lit(False), "tier": F.col("source_order"), "semantic": F.lit(None).cast("long"), "matched_weight": F.col("coverage"), "matched_signals": F.col("coverage"), "representation_id": F.col("representation")}
+    chosen = S.allocate(judged.where("reason is null").drop("reason").withColumns(ranks)).drop(*ranks)
     refused = judged.where("reason is not null").withColumns({"rank": F.lit(None).cast("long"), "place": F.lit(None).cast("long")})
-    return chosen.withColumn("reason", F.when(F.col("reason") != "selected", F.col("reason"))).unionByName(refused.select(*chosen.columns))
+    both = chosen.withColumn("reason", F.when(F.col("reason") != "selected", F.col("reason"))).unionByName(refused.select(*chosen.columns))
+    out = staged(both.drop("source", "coverage", "occurrences", "relevance", "body_id"), "compile-allocated")
+    discard(judged)
+    return out
 
 
 PACKED = "query_id long, evidence_id string, final_order long, cost long, rest long"
@@ -173,7 +184,9 @@ def compile_contexts(tasks: DataFrame, sources: list[DataFrame], evidence: DataF
     bases = tasks.select("query_id", F.octet_length(empty).cast("long").alias("base_rest"))
     found = staged(discovered(sources, limits.discovered), "compile-discovered")
     cut = found.where("cut").select("query_id").distinct().withColumn("over", F.lit(True))
-    judged = staged(allocated(found.where("not cut").drop("cut"), policy), "compile-allocated")
+    cut = staged(cut, "compile-cut")
+    judged = allocated(found.where("not cut").drop("cut"), policy)
+    discard(found)
     within = F.col("place") <= limits.evaluated
     sizes = judged.where(within).select("query_id", "evidence_id", "place", "item_size", F.octet_length(trace_json(F.col("evidence_id"), F.lit(0))).cast("long").alias("trace_size"))
     fits = bases.where(settled_column(F.col("base_rest")) <= limits.ceiling).withColumnRenamed("base_rest", "rest")
@@ -185,6 +198,7 @@ def compile_contexts(tasks: DataFrame, sources: list[DataFrame], evidence: DataF
     told = told.withColumns({"packed": F.coalesce("packed", F.lit(False)) & F.col("reason").isNull(), "__order": F.col("final_order"), "__cost": F.col("cost")})
     told = told.withColumns({"final_order": F.when(F.col("packed"), F.col("__order")), "cost": F.when(F.col("packed"), F.col("__cost"))})
     decisions = staged(told.select("query_id", "evidence_id", "doc_id", "version_id", "representation", "source_order", outcome.alias("outcome"), why.alias("reason"), "final_order", F.coalesce("cost", "item_size").alias("cost"), "rank", "place"), "compile-decisions")
+    discard(judged)
 
     n = lambda kind: F.count_if(F.col("outcome") == kind).alias(f"n_{kind}")
     line = F.concat_ws("|", F.lpad(F.coalesce(F.col("place"), F.lit(10**9)).cast("string"), 10, "0"), "evidence_id", F.col("source_order").cast("string"), "outcome", "reason", F.coalesce(F.col("final_order").cast("string"), F.lit("-")), F.col("cost").cast("string"))
@@ -200,7 +214,9 @@ def compile_contexts(tasks: DataFrame, sources: list[DataFrame], evidence: DataF
     status = F.when(F.col("base_used") > limits.ceiling, "base_bundle_exceeds_budget").when(F.col("used") > limits.ceiling, "bundle_exceeds_budget").when(F.col("n_decisions") > limits.decisions, "max_decisions_exceeded").otherwise("compiled")
     rows = staged(rows.withColumn("status", status), "compile-rows")
 
-    picked = decisions.where("outcome = 'selected'").join(evidence.select("evidence_id", "item"), "evidence_id")
+    taken_rows = decisions.where("outcome = 'selected'").select("query_id", "evidence_id", "final_order")
+    few = taken_rows.limit(BROADCAST_TAKEN + 1).count() <= BROADCAST_TAKEN  # then the texts stay where they are read
+    picked = evidence.select("evidence_id", "item").join(F.broadcast(taken_rows) if few else taken_rows, "evidence_id")
     parts = picked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("final_order", "item", trace_json(F.col("evidence_id"), F.col("final_order")).alias("trace")))).alias("parts"))
     whole = rows.where("status = 'compiled'").join(tasks, "query_id").join(parts, "query_id", "left")
     each = lambda name: F.coalesce(F.array_join(F.transform("parts", lambda x: x[name]), ","), none)

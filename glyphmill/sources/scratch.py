@@ -24,11 +24,32 @@ def scratch_root(spark: SparkSession) -> str:
     return made
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` once and reads it back: cuts lineage, survives lost executors."""
-    path = f"{scratch_root(df.sparkSession)}/glyphmill-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Whether shuffle files go as soon as the job that made them ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, tag: str, clean: bool = False) -> DataFrame:
+    """Writes ``df`` once and reads it back: cuts lineage, survives lost executors.  ``clean``: its shuffles are deleted at once."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/glyphmill-{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, "false")
+    if clean:
+        spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if clean:
+            spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
 
 
 @lru_cache(maxsize=1)
