@@ -1,11 +1,13 @@
-"""Queries of outlines and of parsers as table functions."""
+"""Queries of outlines, of parsers as table functions, and of native documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import evidence_store as E
 from ..operators import outline as O
 from ..operators import parsers as P
+from ..sources.scratch import staged
 from .registry import query, table
 from .text_queries import SPACED, documents, marked, spaced
 
@@ -39,3 +41,37 @@ def y01(spark, d):
     table_ = documents(spark, d).where(kind >= 2).select("doc_id", F.when(kind == 2, F.concat(quoted, F.lit('"\r\n'))).otherwise(quoted).alias("text"), F.lit("text/csv").alias("media_type"))
     b = P.parsed(plain.unionByName(md).unionByName(table_), ["doc_id"])
     return b.groupBy("doc_id", "kind", "failed").agg(F.count("*").alias("n"), F.max("line_end").cast("long").alias("last"))
+
+
+def natives(spark, d):
+    """Documents as native JSON: a text a line, a table of its source and language, a name with a slash; every 31st is broken."""
+    line = F.transform(F.split("text", "\n"), lambda t, i: F.struct(F.when(i == 0, "title").otherwise("line").alias("label"), t.alias("text"), F.floor(i / 20).cast("int").alias("page")))
+    cells = F.array(*(F.struct(F.lit(0).alias("row"), F.lit(i).alias("col"), F.col(c).alias("text")) for i, c in enumerate(("source", "lang"))))
+    whole = F.struct(line.alias("texts"), F.array(F.struct(F.lit(0).alias("page"), cells.alias("cells"))).alias("tables"), F.struct(F.col("n_chars").alias("a/b")).alias("meta"))
+    json = F.to_json(whole)
+    return documents(spark, d).where("text is not null").select("doc_id", F.lit("v1").alias("version_id"), F.when(F.col("doc_id") % 31 == 0, F.left(json, F.length(json) - 1)).otherwise(json).alias("native"))
+
+
+def native_store(spark, d):
+    return staged(E.stored(natives(spark, d)), "evidence-store")
+
+
+@query("s09_native_evidence", """WITH l AS (SELECT doc_id, source, lang, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND doc_id % 31 <> 0)
+ SELECT doc_id, 'text' AS kind, '/texts/' || (i - 1) AS pointer, NULL AS parent, CASE WHEN i = 1 THEN 'title' ELSE 'line' END AS label, l[i] AS text, CAST((i - 1) // 20 AS INTEGER) AS page, CAST(NULL AS INTEGER) AS col FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM l)
+ UNION ALL SELECT doc_id, 'table_cell', '/tables/0/cells/0', '/tables/0', NULL, source, 0, 0 FROM l UNION ALL SELECT doc_id, 'table_cell', '/tables/0/cells/1', '/tables/0', NULL, lang, 0, 1 FROM l""")
+def s09(spark, d):
+    """Texts and cells of native documents, each with its pointer."""
+    return E.listed(native_store(spark, d)).select("doc_id", "kind", "pointer", "parent", "label", "text", "page", "col")
+
+
+POINTERS = ["/texts/{n}/text", "/texts/{n}/page", "/meta/a~1b", "/tables/0/cells/1/text", "/texts/-", "/texts/01/text", "texts/0", "/texts/~2", "/nothing/0"]
+
+
+@query("r37_evidence_resolve", """WITH l AS (SELECT doc_id, lang, n_chars, string_split(text, chr(10)) AS l, doc_id % 7 AS n FROM documents WHERE text IS NOT NULL),
+ v AS (SELECT doc_id, doc_id % 31 = 0 AS broken, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS k, unnest([CASE WHEN n < len(l) THEN to_json(l[n + 1])::VARCHAR END, CASE WHEN n < len(l) THEN '0' END, n_chars::VARCHAR, to_json(lang)::VARCHAR, NULL, NULL, NULL, NULL, NULL]) AS value FROM l)
+ SELECT doc_id * 10 + k AS request_id, CASE WHEN k IN (6, 7) THEN 'invalid_pointer' WHEN broken THEN 'no_document' WHEN value IS NULL THEN 'missing' ELSE 'found' END AS status, CASE WHEN NOT broken THEN value END AS value FROM v""")
+def r37(spark, d):
+    """Pointers into every document, right ones and wrong ones."""
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.replace(F.lit(p), F.lit("{n}"), F.pmod("doc_id", F.lit(7)).cast("string")).alias("pointer")) for k, p in enumerate(POINTERS)))
+    requests = documents(spark, d).where("text is not null").select("doc_id", F.lit("v1").alias("version_id"), F.explode(each).alias("x")).select((F.col("doc_id") * 10 + F.col("x.k")).alias("request_id"), "doc_id", "version_id", "x.pointer")
+    return E.resolved(requests, native_store(spark, d))
