@@ -1,4 +1,4 @@
-"""Queries of the segmented index, refreshed between versions of the corpus, and of packages."""
+"""Queries of the segmented index, refreshed between versions of the corpus, of packages and of compact objects."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import compact
 from ..operators.segments import SegmentIndex
 from ..sources import bags
 from ..sources.scratch import scratch_root
@@ -61,3 +62,12 @@ def k07(spark, d):
     bags.export(objects, path, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     read = bags.entries(spark, path).where("kind = 'payload' or fault is not null")
     return read.select(F.concat(F.lit("sha256:"), "sha256").alias("object_id"), "length", (F.col("fault").isNull() & (F.sha2("content", 256) == F.col("sha256"))).alias("sound"))
+
+
+@query("k02_compact_objects", "SELECT doc_id, lang AS kind, CAST(strlen(text) AS BIGINT) AS raw_bytes, sha256(text) AS digest, true AS no_larger, CAST(NULL AS VARCHAR) AS fault FROM documents WHERE text IS NOT NULL")
+def k02(spark, d):
+    """Every text in its compact form and back: digests of what comes back, and whether the form is never larger."""
+    objects = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("lang").alias("kind"), F.col("text").cast("binary").alias("content"))
+    known = compact.dictionaries(objects)
+    back = compact.restored(compact.compact(objects, known).withColumn("raw_bytes", F.octet_length("content").cast("long")).drop("content"), known)
+    return back.select("doc_id", "kind", "raw_bytes", F.sha2("content", 256).alias("digest"), (F.octet_length("stored") <= F.col("raw_bytes")).alias("no_larger"), "fault")
