@@ -1,4 +1,4 @@
-"""Queries of outlines, of parsers as table functions, and of native documents."""
+"""Queries of outlines, of parsers as table functions, of native documents and of page regions."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence_store as E
 from ..operators import outline as O
 from ..operators import parsers as P
+from ..operators import regions as R
 from ..sources.scratch import staged
 from .registry import query, table
 from .text_queries import SPACED, documents, marked, spaced
@@ -75,3 +76,24 @@ def r37(spark, d):
     each = F.array(*(F.struct(F.lit(k).alias("k"), F.replace(F.lit(p), F.lit("{n}"), F.pmod("doc_id", F.lit(7)).cast("string")).alias("pointer")) for k, p in enumerate(POINTERS)))
     requests = documents(spark, d).where("text is not null").select("doc_id", F.lit("v1").alias("version_id"), F.explode(each).alias("x")).select((F.col("doc_id") * 10 + F.col("x.k")).alias("request_id"), "doc_id", "version_id", "x.pointer")
     return E.resolved(requests, native_store(spark, d))
+
+
+# Line items as handles and orders as regions of pages; every tenth page is that of a customer with many.
+BOXES = {
+    "lineitem": ("l_orderkey * 10 + l_linenumber", "l_partkey % 1000", "CAST(l_quantity AS BIGINT) * 18000", "l_suppkey * 7919 % 900000", 60000, 90000),
+    "orders": ("o_orderkey", "o_custkey % 1000", "o_orderkey * 104729 % 900000", "o_custkey * 1299709 % 950000", 120000, 45000),
+}
+
+
+def boxes(name: str) -> str:
+    key, page, x, y, wide, tall = BOXES[name]
+    return f"SELECT CAST({key} AS BIGINT) AS id, CAST({page} AS BIGINT) AS page, CAST({x} AS BIGINT) AS x0, CAST({y} AS BIGINT) AS y0, CAST({x} AS BIGINT) + {wide} AS x1, CAST({y} AS BIGINT) + {tall} AS y1 FROM {name}"
+
+
+@query("j15_handle_regions", f"""WITH h AS ({boxes('lineitem')}), r AS ({boxes('orders')}), o AS (SELECT h.id AS handle_id, r.id AS region_id, (least(h.x1, r.x1, 1000000) - greatest(h.x0, r.x0)) * (least(h.y1, r.y1, 1000000) - greatest(h.y0, r.y0)) AS overlap
+ FROM h JOIN r ON h.page = r.page AND h.x0 < least(r.x1, 1000000) AND r.x0 < least(h.x1, 1000000) AND h.y0 < least(r.y1, 1000000) AND r.y0 < least(h.y1, 1000000))
+ SELECT handle_id, region_id, CAST(overlap AS BIGINT) AS overlap FROM o QUALIFY row_number() OVER (PARTITION BY handle_id ORDER BY overlap DESC, region_id) = 1""")
+def j15(spark, d):
+    """Each handle with the region of its page that it overlaps most."""
+    h, r = (spark.sql(boxes(n).replace(f"FROM {n}", "FROM {t}"), t=table(spark, d, n)) for n in ("lineitem", "orders"))
+    return R.resolved(h, r)
