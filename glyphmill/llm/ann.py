@@ -8,7 +8,7 @@ margin on the way, until it has met enough leaf candidates; those are reranked b
 Defined results: ids null, vectors null, zero, or with null or non-finite components take no part;
 vectors are compared with those of their length only; rows with the query's id are not its candidates; a
 repeated query id is searched once, with its smallest vector; equal distances go to the smaller id; rows
-that cannot be split (all alike) stay in one leaf; an empty table gives no rows.
+that cannot be split (all alike) stay in one leaf; other columns are not returned; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ score so far; at first that is the k-th best among the queries' own rows.
 Defined results: ids null, vectors null or with null or non-finite components take no part; vectors are
 compared with those of their length only; rows with the query's id are not its candidates; a repeated
 query id is searched once, with its smallest vector, and repeated candidate rows all count; equal scores
-go to the smaller id; an empty table gives no rows.  Sums beyond a long wrap around.
+go to the smaller id; other columns are not returned; an empty table gives no rows.  Sums beyond a long wrap around.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """Line dedup by exact set-similarity join, in DataFrame functions only.
 
-A line's set holds the 64-bit hashes of its distinct words, A-Z lower-cased.  Lines of equal text meet in one
+A line's set holds hashes of 53 bits of its distinct words, A-Z lower-cased; two words of one hash count as one.  Lines of equal text meet in one
 grouping and the first goes on.  Its words are ordered by rarity.  Two sets of n and m words that are similar share
 c = 3(n + m) / 7 words at least; the words that only one has, e = n + m - 2c at most, cannot part all of the first
 e + 2 shared words in the order, so two shared words stand side by side in both, within the first n - c + e + 2 and

@@ -17,7 +17,7 @@ length's pieces.
 
 Defined results: a null text is empty, and an empty text is the closing id alone; only documents longer
 than ``size`` are cut, the first piece taking what is over; rows of a repeated key are packed each on its
-own; an empty table gives no rows.
+own; other columns are not returned; an empty table gives no rows.
 """
 
 from __future__ import annotations

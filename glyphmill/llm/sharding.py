@@ -9,8 +9,8 @@ groups of equal texts wherever such a place lies within the tolerance; only a gr
 cut, by its row keys, because the ``bytes`` law comes first.
 
 Defined results: a null text has no bytes and the hash of null; null row keys sort first; rows with equal
-key and text cannot be told apart and take neighbouring slots; other columns pass through; an empty table
-gives no rows.
+key and text cannot be told apart and take neighbouring slots; other columns pass through, but those named size,
+shard or slot are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
