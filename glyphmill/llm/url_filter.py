@@ -17,14 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ascii_lower, free_name, table
 
-#: Longest list (in rules) that gets a Bloom filter and whose hashes reach the driver: 16 MB.
-MAX_FILTER_KEYS = 2_000_000
+#: Bits of the filter for each listed key, and most blocks of 32 bytes (32 MB).  A list of more than 16 million keys has
+#: fewer bits a key: more keys pass the filter, and the exact join drops them.
+KEY_BITS, MAX_BLOCKS = 16, 1 << 20
+#: Blocks that one group builds.
+CHUNK_BLOCKS = 1 << 12
 #: Longest list (in rules) that is broadcast in the exact join; longer ones are shuffled.
 MAX_BROADCAST_RULES = 20_000
 #: Odd multipliers, one for each 32-bit lane of a 256-bit block (the published split-block filter).
@@ -47,6 +51,25 @@ class BlockedBloom:
             np.bitwise_or.at(blocks[:, lane], where, masks[:, lane])
         return cls(blocks)
 
+    @classmethod
+    def built(cls, hashes: DataFrame, n: int, most: int = MAX_BLOCKS) -> BlockedBloom:
+        """The filter of ``n`` hashes (h: long), built chunk by chunk in tasks; only its bits, 32 MB at most, reach the driver."""
+        blocks = max(1, min(most, -(-n * KEY_BITS // 256)))
+        where = F.shiftright(F.shiftrightunsigned("h", 32) * F.lit(blocks), 32)
+
+        def fill(t: pa.Table) -> pa.Table:
+            chunk = t["chunk"][0].as_py()
+            at, masks = cls._place(t["h"].to_numpy(), blocks)
+            own = np.zeros((CHUNK_BLOCKS, 8), dtype=np.uint32)
+            for lane in range(8):
+                np.bitwise_or.at(own[:, lane], at - chunk * CHUNK_BLOCKS, masks[:, lane])
+            return pa.table({"chunk": [chunk], "bits": [own.tobytes()]}, schema=pa.schema([("chunk", pa.int64()), ("bits", pa.binary())]))
+
+        out = np.zeros((-(-blocks // CHUNK_BLOCKS) * CHUNK_BLOCKS, 8), dtype=np.uint32)
+        for r in hashes.select("h", F.floor(where / CHUNK_BLOCKS).alias("chunk")).groupBy("chunk").applyInArrow(fill, "chunk long, bits binary").collect():
+            out[r["chunk"] * CHUNK_BLOCKS : (r["chunk"] + 1) * CHUNK_BLOCKS] = np.frombuffer(r["bits"], dtype=np.uint32).reshape(-1, 8)
+        return cls(out[:blocks])
+
     @staticmethod
     def _place(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         h = np.asarray(hashes).astype(np.int64).view(np.uint64)
@@ -82,17 +105,15 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
         suffixes = F.array_distinct(F.array(*[F.substring_index("h", ".", -k) for k in labels]))
         prefixes = F.array_distinct(F.filter(F.array(*[F.when(F.length("p") >= k, F.substring("p", 1, k)) for k in lengths]), lambda x: x.isNotNull()))
         keys = sites.withColumn("rh", F.explode(suffixes)).withColumn("rp", F.explode(prefixes))
-        if n <= MAX_FILTER_KEYS:
-            hashes = np.array([r[0] for r in listed.select(F.xxhash64("rh", "rp")).collect()], dtype=np.int64)
-            sent = spark.sparkContext.broadcast(BlockedBloom.of(hashes).blocks)
+        sent = spark.sparkContext.broadcast(BlockedBloom.built(listed.select(F.xxhash64("rh", "rp").alias("h")), n).blocks)
 
-            @F.pandas_udf(T.BooleanType())
-            def possible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-                bloom = BlockedBloom(sent.value)
-                for h in batches:
-                    yield pd.Series(bloom.might_hold(h.to_numpy(dtype=np.int64)))
+        @F.pandas_udf(T.BooleanType())
+        def possible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            bloom = BlockedBloom(sent.value)
+            for h in batches:
+                yield pd.Series(bloom.might_hold(h.to_numpy(dtype=np.int64)))
 
-            keys = keys.where(possible(F.xxhash64("rh", "rp")))
+        keys = keys.where(possible(F.xxhash64("rh", "rp")))
         exact = F.broadcast(listed) if n <= MAX_BROADCAST_RULES else listed
         best = F.max(F.struct((F.length("rh") + F.length("rp")).alias("l"), F.length("rh").alias("lh"), F.concat("rh", "rp").alias("rule"), F.col("rv").alias("verdict"))).alias("b")
         judged = keys.join(exact, ["rh", "rp"]).groupBy("h", "p").agg(best).select("h", "p", F.col("b.rule").alias("r"), F.col("b.verdict").alias("v"))
