@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables"
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_like_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     out = con.sql(queries.SQL[name])
