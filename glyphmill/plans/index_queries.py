@@ -13,6 +13,9 @@ from ..sources.scratch import scratch_root
 from .change_queries import V2, versions
 from .registry import query, table
 
+#: Bytes of objects to an archive, about.
+BAG_BYTES = 64 << 20
+
 # The second version refuses every 29th document; the third is the first again.
 NOT_REFUSED = "doc_id % 29 <> 1"
 
@@ -59,7 +62,8 @@ def k07(spark, d):
     root = f"{scratch_root(spark)}/glyphmill-package-{uuid.uuid4().hex}"
     path = root if "://" in root else f"file://{root}"
     objects = table(spark, d, "documents").select(F.col("text").cast("binary").alias("content"))
-    bags.export(objects, path, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    total = objects.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    bags.export(objects, path, max(8, total // BAG_BYTES))
     read = bags.entries(spark, path).where("kind = 'payload' or fault is not null")
     return read.select(F.concat(F.lit("sha256:"), "sha256").alias("object_id"), "length", (F.col("fault").isNull() & (F.sha2("content", 256) == F.col("sha256"))).alias("sound"))
 
