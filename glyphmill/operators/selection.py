@@ -14,6 +14,10 @@ SENSITIVITY = ["public", "internal", "confidential", "restricted", "unknown"]
 # End of fixed values.
 
 
+#: What each key of the order is of.
+KEYS = ["high_value", "tier", "semantic", "occurrences", "relevance", "matched_weight", "matched_signals", "doc_id", "version_id", "representation_id", "source_order", "representation", "evidence_id"]
+
+
 def rank_order() -> list[Column]:
     """Total order of candidates: value and tier, then what they match, then where they come from (ids as text)."""
     first = [~F.col("high_value"), F.col("tier"), F.coalesce("semantic", "coverage").desc()]
@@ -21,6 +25,12 @@ def rank_order() -> list[Column]:
     return [*first, *matched, F.col("doc_id").cast("string"), *map(F.col, ("version_id", "representation_id", "source_order", "representation", "evidence_id"))]
 
 
+def short_order() -> list[Column]:
+    """The order without relevance: ten keys of the thirteen."""
+    named = ("relevance", "matched_weight", "matched_signals")
+    return [c for c, name in zip(rank_order(), KEYS, strict=True) if name not in named]
+
+
 def ranked(candidates: DataFrame, order: list[Column] | None = None) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*(order or rank_order()))).cast("long"))
 

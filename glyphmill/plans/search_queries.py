@@ -349,9 +349,9 @@ def w01(spark, d):
     return S.ranked(candidates(spark, d)).select("query_id", "doc_id", "rank")
 
 
-@query("w02_short_order", SELECT_BASE + " SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, doc_id) AS rank FROM c")
+@query("w02_short_order", SELECT_BASE + " SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY NOT high_value, tier, coalesce(semantic, coverage) DESC, occurrences DESC, CAST(doc_id AS VARCHAR), version_id, representation_id, source_order, representation, evidence_id) AS rank FROM c")
 def w02(spark, d):
-    return S.ranked(candidates(spark, d), [F.desc("coverage"), F.col("doc_id")]).select("query_id", "doc_id", "rank")
+    return S.ranked(candidates(spark, d), S.short_order()).select("query_id", "doc_id", "rank")
 
 
 @query("w03_distinct_bodies", SELECT_BASE + ALLOCATE + " SELECT query_id, doc_id FROM b WHERE nth = 1")

@@ -44,3 +44,22 @@ def test_closest_query_takes_all_documents_whole(spark, tmp_path):
     out = {r["doc_id"]: r for r in entry.queries()["r15_closest"](spark, str(tmp_path)).collect()}
     assert sorted(out) == [r[0] for r in rows]
     assert any(r["at"] > 400 for r in out.values())
+
+
+def test_statuses_of_quotes(spark):
+    """In a current text, only in an earlier one, in none: each with its places, and the closest passage for the last."""
+    docs = spark.createDataFrame([(1, "The Quick brown fox. It ran; the quick brown fox."), (2, "nothing here but moss and stone"), (3, None)], "doc_id long, text string")
+    earlier = spark.createDataFrame([(2, "an older text: the heron stood still, and the quick brown fox slept"), (3, "lost words of three")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(10, "quick brown FOX"), (11, "heron stood … fox slept"), (12, "lost words"), (13, "moss und stone"), (14, "the heron"), (15, "")], "query_id long, quote string")
+    targets = spark.createDataFrame([(q, d) for q in range(10, 16) for d in (1, 2, 3) if (q, d) != (14, 2)], "query_id long, doc_id long")
+    near = spark.createDataFrame([(q, p, d, 0, t) for q in (12, 13, 14) for p, (d, t) in enumerate([(1, "The Quick brown fox."), (2, "moss and stone")], 1)], "query_id long, place int, doc_id long, ordinal int, text string")
+    rows = V.verify(quotes, docs, targets, near, earlier).collect()
+    of = lambda q: sorted((r["status"], r["doc_id"], r["start"], r["end"]) for r in rows if r["query_id"] == q)
+    assert {s for s, *_ in of(10)} == {"verified"} and {d for _, d, *_ in of(10)} == {1}
+    text = earlier.where("doc_id = 2").first()["text"]
+    assert of(11) == [("only_in_other_version", 2, text.index("heron"), len(text))]
+    assert of(12) == [("only_in_other_version", 3, 0, 10)]
+    (lost,) = [r for r in rows if r["query_id"] == 13]
+    assert lost["status"] == "not_found" and lost["doc_id"] == 2 and lost["ratio"] == brute("moss and stone", "moss und stone")[0]
+    (other,) = [r for r in rows if r["query_id"] == 14]  # the document that had it is not among its targets
+    assert other["status"] == "not_found"
