@@ -14,7 +14,7 @@ rows are in cells, and pivots decide only how cells lie, not what is found.  Whe
 groups at all, as random ones of many dimensions are, no bound can drop anything before the radii are small, and
 all cells of a label meet.
 
-Defined results: one row an id; rows of one id are one vector, its smallest label and vector that take part; null
+Defined results: ids and labels are whole numbers; one row an id; rows of one id are one vector, its smallest label and vector that take part; null
 labels, vectors null, zero, or with null or non-finite components link with nothing and are kept; vectors are
 compared with those of their length only; rows without id are returned once, with null component and kept; other
 columns are not returned; an empty table gives no rows.
