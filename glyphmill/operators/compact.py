@@ -26,7 +26,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 #: What marks a compact form; the most bytes of content; the most bytes of a dictionary that deflate can reach.
 MAGIC, MOST, WINDOW = b"GMCF\x01", 16 << 20, 32_000
 HEAD = struct.Struct(">5s8sQ")
-#: Rows of each kind, and bytes of each row, that a dictionary is made from.
+#: Contents of each kind, and bytes of each, that a dictionary is made from.
 SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 4_096
 
 
@@ -48,14 +48,16 @@ def dictionary(samples: list[bytes]) -> bytes:
 
 
 def dictionaries(objects: DataFrame, kind: str = "kind", content: str = "content") -> dict[str, bytes]:
-    """A dictionary for each kind (kinds are few), from the rows with the smallest hashes."""
+    """A dictionary for each kind (kinds are few), from different contents whose hash falls to the sample.
+
+    One hash in so many does, by the number of rows of a kind, so about SAMPLE_ROWS contents of each reach the driver."""
     parts = objects.where(F.col(content).isNotNull()).select(F.col(kind).alias("kind"), F.xxhash64(content).alias("h"), F.substring(content, 1, SAMPLE_BYTES).alias("s"))
-    kinds = [r["kind"] for r in parts.select("kind").distinct().collect()]
-    out = {}
-    for k in kinds:
-        rows = parts.where(F.col("kind").eqNullSafe(F.lit(k))).orderBy("h").limit(SAMPLE_ROWS).collect()
-        out[k] = dictionary([bytes(r["s"]) for r in rows])
-    return out
+    rows = {r["kind"]: r["n"] for r in parts.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    if not rows:
+        return {}
+    every = F.coalesce(*(F.when(F.col("kind").eqNullSafe(F.lit(k)), F.lit(max(1, n // SAMPLE_ROWS))) for k, n in rows.items()))
+    picked = parts.where(F.pmod("h", every) == 0).groupBy("kind", "h").agg(F.first("s").alias("s")).collect()
+    return {k: dictionary([bytes(r["s"]) for r in sorted((r for r in picked if r["kind"] == k), key=lambda r: r["h"])[:SAMPLE_ROWS]]) for k in rows}
 
 
 def name_of(words: bytes) -> bytes:
