@@ -197,7 +197,10 @@ def grown(cells: DataFrame, threshold: float) -> DataFrame:
 def in_cells(classes: DataFrame, cell: int, pivots: int) -> DataFrame:
     """``classes`` (rep, w, label, dim, v) with the cell of each; a cell has at most ``cell`` rows of one label and length."""
     n = classes.count()
-    sample = classes.select("label", "dim", "v", F.xxhash64("rep").alias("h")).orderBy("h").limit(min(pivots, -(-n // cell))).collect()
+    want = min(pivots, -(-n // cell))
+    hashed = classes.select("label", "dim", "v", F.xxhash64("rep").alias("h"))
+    few = hashed.where(F.pmod("h", F.lit(max(1, n // (4 * want + 1)))) == 0)  # about four times as many, over all tasks
+    sample = few.orderBy("h").limit(want).collect()
     by: dict[tuple, list[int]] = {}
     for i, r in enumerate(sample):
         by.setdefault((r["label"], r["dim"]), []).append(i)
