@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Window as Order
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_root
@@ -20,8 +21,11 @@ PAGE = 5000
 
 
 def write_pages(changes, root: str) -> None:
-    """changes: page, ordinal, item_key, kind, revision.  One JSON file a page, each with the cursor behind it."""
-    whole = changes.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ordinal", "item_key", "kind", "revision"))).alias("rows"))
+    """changes: page, ordinal, item_key, kind, revision.  One JSON file a page, each with the cursor behind it: the next page that there is."""
+    each = changes.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ordinal", "item_key", "kind", "revision"))).alias("rows"))
+    # numbers of pages only: one for thousands of changes
+    links = changes.select("page").distinct().select("page", F.coalesce(F.lead("page").over(Order.orderBy("page")), F.col("page") + 1).alias("next"))
+    whole = each.join(links, "page")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -31,7 +35,7 @@ def write_pages(changes, root: str) -> None:
         for pdf in batches:
             for row in pdf.itertuples():
                 with store.open_output_stream(f"{at}/{row.page}.json") as f:
-                    f.write(json.dumps({"changes": [[r["item_key"], r["kind"], r["revision"]] for r in row.rows], "next": str(row.page + 1)}).encode())
+                    f.write(json.dumps({"changes": [[r["item_key"], r["kind"], r["revision"]] for r in row.rows], "next": str(row.next)}).encode())
             yield pdf[["page"]]
 
     if not whole.mapInPandas(write, "page long").count():
@@ -45,8 +49,9 @@ def s15(spark, d):
     first = e.agg(F.min("event_id")).first()[0] or 0
     changes = e.select(F.expr(f"(event_id - {first}) div {PAGE}").alias("page"), F.col("event_id").alias("ordinal"), F.col("user_id").cast("string").alias("item_key"), F.when(F.col("event_type") == "error", "TOMBSTONE").otherwise("UPSERT").alias("kind"), F.floor("value").cast("string").alias("revision"))
     root = f"{scratch_root(spark)}/glyphmill-delta-{uuid.uuid4().hex}"
-    write_pages(changes, f"{root}/pages" if "://" in root else f"file://{root}/pages")
-    D.sync_pages(D.read_pages(spark, f"{root}/pages" if "://" in root else f"file://{root}/pages"), f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    pages = f"{root}/pages" if "://" in root else f"file://{root}/pages"
+    write_pages(changes, pages)
+    D.sync_all(lambda: D.read_pages(spark, pages), f"{root}/table", f"{root}/checkpoint")
     return D.synced(spark, f"{root}/table")
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 import importlib
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -196,6 +196,18 @@ def sync_pages(pages: DataFrame, target: str, checkpoint: str):
     return pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def sync_all(pages: Callable[[], DataFrame], target: str, checkpoint: str) -> None:
+    """``sync_pages`` to the end of the chain.  Sources in Python take one batch a run, of so many ``pages``: runs follow until one finds no new page."""
+    end = None
+    while True:
+        query = sync_pages(pages(), target, checkpoint)
+        query.awaitTermination()
+        came = query.lastProgress and query.lastProgress["sources"][0]["endOffset"]
+        if not came or came == end:
+            return
+        end = came
+
+
 def synced(spark: SparkSession, target: str) -> DataFrame:
     """The table as the last whole batch left it."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

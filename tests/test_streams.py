@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from glyphmill.operators import change as C
 from glyphmill.streaming import delta_pages as D
 from glyphmill.streaming import watch as W
@@ -42,6 +43,21 @@ def test_pages_follow_the_cursor(spark, tmp_path):
     assert run(spark, tmp_path) == final(PAGES + more)  # nothing new
 
 
+def test_all_batches_of_a_chain(spark, tmp_path):
+    (tmp_path / "pages").mkdir()
+    pages_in(tmp_path / "pages", PAGES)
+    assert run(spark, tmp_path, pages="1") == {"a": "1", "b": "1"}  # one batch a run
+    D.sync_all(lambda: D.read_pages(spark, f"file://{tmp_path}/pages", pages="1"), f"{tmp_path}/target", f"{tmp_path}/checkpoint")
+    assert {r["item_key"]: r["revision"] for r in D.synced(spark, f"{tmp_path}/target").collect()} == final(PAGES)
+
+
+def test_events_with_a_gap_are_one_chain(spark, tmp_path):
+    rows = [(n, n % 7, "view", float(n)) for n in [*range(10), *range(30_000, 30_010), *range(90_000, 90_005)]]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["item_key"]: r["revision"] for r in queries()["s15_delta_pages"](spark, str(tmp_path)).collect()}
+    assert got == {str(u): str(n) for n, u, _, _ in rows}
+
+
 class Flaky(D.FolderClient):
     """Fails once when page 2 is fetched, and is throttled once before every cursor."""
 
