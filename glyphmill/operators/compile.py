@@ -15,7 +15,8 @@ the bundles): evidence_id, item (canonical JSON).
 
 Defined results: tasks with null id are left out, a null task is empty; a task without candidates has a bundle
 without items that names what is missing; a candidate found twice counts at its first source; the rest is a refusal
-("duplicate"); a bundle whose frame alone passes the ceiling is refused as a whole, with a status in place of ids.
+("duplicate"); a bundle whose frame alone passes the ceiling is refused as a whole, with a status in place of ids;
+the ledger's draft columns measure what was written, refused or not.
 """
 
 from __future__ import annotations
@@ -218,15 +219,15 @@ def compile_contexts(tasks: DataFrame, sources: list[DataFrame], evidence: DataF
     few = taken_rows.limit(BROADCAST_TAKEN + 1).count() <= BROADCAST_TAKEN  # then the texts stay where they are read
     picked = evidence.select("evidence_id", "item").join(F.broadcast(taken_rows) if few else taken_rows, "evidence_id")
     parts = picked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("final_order", "item", trace_json(F.col("evidence_id"), F.col("final_order")).alias("trace")))).alias("parts"))
-    whole = rows.where("status = 'compiled'").join(tasks, "query_id").join(parts, "query_id", "left")
+    whole = rows.join(tasks, "query_id").join(parts, "query_id", "left")
     each = lambda name: F.coalesce(F.array_join(F.transform("parts", lambda x: x[name]), ","), none)
     text = frame(limits, F.col("used").cast("string"), each("item"), F.col("missing"), F.col("task"), each("trace"), snapshot, F.col("warnings"))
-    bundles = staged(whole.select("query_id", text.alias("bundle")), "compile-bundles")
-    named = rows.join(bundles.select("query_id", F.octet_length("bundle").cast("long").alias("bundle_bytes"), F.sha2("bundle", 256).alias("bundle_id")), "query_id", "left").join(tasks.select("query_id", F.sha2("task", 256).alias("task_digest")), "query_id")
+    drafts = staged(whole.select("query_id", "status", text.alias("bundle")), "compile-bundles")
+    named = rows.join(drafts.select("query_id", F.octet_length("bundle").cast("long").alias("draft_bytes"), F.sha2("bundle", 256).alias("draft_id")), "query_id").join(tasks.select("query_id", F.sha2("task", 256).alias("task_digest")), "query_id")
     done = lambda c: F.when(F.col("status") == "compiled", c)
-    facts = F.concat_ws("|", F.lit(f"{limits}|{policy}|{snapshot}"), "task_digest", "bundle_id", "decided", F.col("base_used").cast("string"), F.col("used").cast("string"))
-    ledger = named.select("query_id", "status", "base_used", done(F.col("used") - F.col("base_used")).alias("incremental"), done(F.col("used")).alias("used"), done(limits.ceiling - F.col("used")).alias("remaining"), *zero, F.col("over").alias("truncated"), "abstains", "bundle_bytes", "task_digest", "bundle_id", done(F.sha2(facts, 256)).alias("receipt_id"))
-    return Compiled(staged(ledger, "compile-ledger"), decisions, bundles)
+    facts = F.concat_ws("|", F.lit(f"{limits}|{policy}|{snapshot}"), "task_digest", "draft_id", "decided", F.col("base_used").cast("string"), F.col("used").cast("string"))
+    ledger = named.select("query_id", "status", "base_used", done(F.col("used") - F.col("base_used")).alias("incremental"), done(F.col("used")).alias("used"), done(limits.ceiling - F.col("used")).alias("remaining"), *zero, F.col("over").alias("truncated"), "abstains", done(F.col("draft_bytes")).alias("bundle_bytes"), "task_digest", done(F.col("draft_id")).alias("bundle_id"), done(F.sha2(facts, 256)).alias("receipt_id"), F.col("used").alias("draft_used"), "draft_bytes", "draft_id")
+    return Compiled(staged(ledger, "compile-ledger"), decisions, drafts.where("status = 'compiled'").select("query_id", "bundle"))
 
 
 def snapshot_digest(scopes: DataFrame) -> str:

@@ -87,6 +87,18 @@ def test_packing_writes_the_bundle_it_measures(spark, budget):
     assert {r["reason"] for r in told if r["outcome"] in ("rejected", "stale")} == {"stale", "trust_zone", "sensitivity", "duplicate"}
 
 
+def test_refused_bundles_are_measured(spark):
+    candidates, evidence, _ = world(spark)
+    tasks = spark.createDataFrame([(1, "t"), (3, "nothing")], "query_id long, task string")
+    bare = len(bundle("nothing", [], C.Limits(900), "snap").encode())
+    limits = C.Limits((bare + 20) * 10 // 9)  # the frame fits, what it lacks does not
+    out = C.compile_contexts(tasks, [candidates], evidence, "snap", limits)
+    lost = out.ledger.where("query_id = 3").first()
+    want = bundle("nothing", [], limits, "snap", [{"evidence_type": r, "reason_code": C.MISSING} for r in ("chat", "text")]).encode()
+    assert lost["status"] == "bundle_exceeds_budget" and lost["bundle_id"] is None and out.bundles.where("query_id = 3").count() == 0
+    assert (lost["draft_used"], lost["draft_bytes"], lost["draft_id"]) == (len(want), len(want), hashlib.sha256(want).hexdigest())
+
+
 def test_caps_are_told(spark):
     candidates, evidence, _ = world(spark)
     tasks = spark.createDataFrame([(1, "t"), (2, "u")], "query_id long, task string")
