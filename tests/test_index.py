@@ -1,5 +1,7 @@
 """Postings, lengths and scores of the index on odd input."""
 
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -25,3 +27,27 @@ def test_headings_of_nulls(spark, tmp_path):
     name = "r05_bm25_two_fields"
     got = sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()))
     assert got == sorted(con.sql(entry.oracle_sql()[name]).fetchall())
+
+
+def test_lengths_need_no_postings(spark, tmp_path):
+    rows = [(1, "a b a", "en", "s", 5), (1, "c", "en", "s", 1), (2, None, "en", "s", 0), (3, "é", "en", "s", 1)]
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["length"] for r in I.unit_lengths(docs, ["doc_id"]).collect()}
+    assert got == {1: 4, 3: 1} == {r["doc_id"]: r["length"] for r in I.lengths(I.postings(docs, ["doc_id"]), ["doc_id"]).collect()}
+    plan = entry.queries()["a24_index_statistics"](spark, str(tmp_path))
+    assert plan.first().asDict() == {"n": 2, "tokens": 5} and not any("postings" in f for f in plan.inputFiles())
+
+
+def test_queries_share_the_shuffle_of_postings(spark):
+    """However many queries ask for a word, its postings are shuffled once, by unit."""
+    units = spark.createDataFrame([(u, f"w{u % 3} w{u % 5} both") for u in range(60)], "u long, text string")
+    post, length = I.postings(units, ["u"]), I.unit_lengths(units, ["u"])
+    asked = spark.createDataFrame([(q, w, False) for q in range(40) for w in ("w0", "w1", "both", "none")], "query_id int, item string, prefix boolean")
+    matched = I.matching(post, asked, ["u"])
+    key = lambda df: sorted((r["query_id"], r["u"], round(r["rank"], 9)) for r in df.collect())
+    assert key(I.scored(post, asked, length, ["u"])) == key(I.bm25(matched, length, ["u"]))
+    for df in (I.scored(post, asked, length, ["u"]), I.coverage(matched, ["u"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(query_id#\w+, u#", plan) and "hashpartitioning(u#" in plan
+    assert {r["n"] for r in I.coverage(matched, ["u"]).groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {60}
