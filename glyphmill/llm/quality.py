@@ -18,6 +18,7 @@ rows each count for their site and are judged alike; other columns pass through;
 from __future__ import annotations
 
 import functools
+import pickle
 import string
 from collections import Counter
 from collections.abc import Iterator
@@ -204,8 +205,16 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     known = labels.where("quality is not null and toxic is not null").groupBy(F.col(key).alias("k")).agg(F.min(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("quality"), F.max(F.when(F.col("toxic") == 0, 0).otherwise(1)).alias("toxic"))
     few = known.orderBy(F.xxhash64("k"), "k").limit(sample)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(few), "k").select("k", "t", "quality", "toxic").orderBy("k", "t").limit(sample).collect()
-    return Model.fit([r["t"] for r in rows], np.array([r["quality"] for r in rows]), np.array([r["toxic"] for r in rows]))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(few), "k").select("k", "t", "quality", "toxic").orderBy("k", "t").limit(sample).coalesce(1)
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b[["t", "quality", "toxic"]] for b in batches]
+        if parts:
+            whole = pd.concat(parts, ignore_index=True)
+            yield pd.DataFrame({"model": [pickle.dumps(Model.fit(whole["t"].tolist(), whole["quality"].to_numpy(), whole["toxic"].to_numpy()))]})
+
+    made = rows.mapInPandas(fitted, "model binary").collect()  # texts and entries stay in the task: the driver holds the weights only
+    return pickle.loads(made[0]["model"]) if made else Model.fit([], np.zeros(0), np.zeros(0))
 
 
 def toxic_recall(judged: DataFrame, labels: DataFrame, by: str = "lang", key: str = "doc_id") -> DataFrame:

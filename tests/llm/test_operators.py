@@ -439,6 +439,16 @@ def test_site_posteriors_by_hand(spark):
         assert lo - 1e-6 <= r["p_host"] <= hi + 1e-6
 
 
+def test_quality_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets the weights; the texts and what the fit makes of them stay in the task."""
+    docs = spark.createDataFrame([(i, f"good words {i}" if i % 2 else f"bad junk {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    want = quality.Model.fit([f"good words {i}" if i % 2 else f"bad junk {i}" for i in range(60)], np.arange(60) % 2, np.zeros(60))
+    monkeypatch.setattr(quality.Model, "fit", None)
+    got = quality.fit(docs, labels)
+    assert len(got.parts) == len(want.parts) == 1 and np.allclose(got.parts[0][0], want.parts[0][0], atol=1e-4)
+
+
 def test_quality_without_labels_keeps_all(spark):
     docs = docs_of(spark, [None, "", "a b", "a b"], [None, 1, 2, 2])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
