@@ -14,6 +14,8 @@ from ..sources.scratch import staged
 
 #: Queries that are sent to the tasks at a time, and their components at most: 32 MB.
 BLOCK, BLOCK_COMPONENTS = 4096, 1 << 22
+#: Scores that a task holds at a time; a batch of vectors is taken in slices.
+HELD = 1 << 19
 
 
 def _sound(column: pa.Array, ids: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -46,13 +48,15 @@ def scores(queries: DataFrame, vectors: DataFrame, floor: int | None = None, top
                     if m.shape[1] not in sent.value:
                         continue
                     names, q = sent.value[m.shape[1]]
-                    x = m @ q.T
-                    s = np.clip(np.sign(x) * np.floor(np.abs(x) * 1_000_000 + 0.5), -1_000_000, 1_000_000).astype(np.int32)
-                    keep = np.ones(s.shape, dtype=bool) if floor is None else s >= floor
-                    if top is not None and len(ids) > top:
-                        keep &= s >= np.partition(s, len(ids) - top, axis=0)[len(ids) - top]
-                    row, col = np.nonzero(keep)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[col]), pa.array(ids[row]), pa.array(s[row, col])], names=["query_id", "vec_id", "score"])
+                    step = max(1, HELD // max(1, len(q)), 4 * (top or 0))  # so many that ``top`` still drops most
+                    for lo in range(0, len(ids), step):
+                        own, x = ids[lo : lo + step], m[lo : lo + step] @ q.T
+                        s = np.clip(np.sign(x) * np.floor(np.abs(x) * 1_000_000 + 0.5), -1_000_000, 1_000_000).astype(np.int32)
+                        keep = np.ones(s.shape, dtype=bool) if floor is None else s >= floor
+                        if top is not None and len(own) > top:
+                            keep &= s >= np.partition(s, len(own) - top, axis=0)[len(own) - top]
+                        row, col = np.nonzero(keep)
+                        yield pa.RecordBatch.from_arrays([pa.array(names[col]), pa.array(own[row]), pa.array(s[row, col])], names=["query_id", "vec_id", "score"])
 
         made = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(score, "query_id long, vec_id long, score int")
         if blocks > 1:
