@@ -51,3 +51,16 @@ def test_queries_share_the_shuffle_of_postings(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"hashpartitioning\(query_id#\w+, u#", plan) and "hashpartitioning(u#" in plan
     assert {r["n"] for r in I.coverage(matched, ["u"]).groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {60}
+
+
+def test_heads_are_taken_before_queries_meet(spark, tmp_path, monkeypatch):
+    """j02: postings of other documents than the heads meet no query."""
+    from glyphmill.plans import search_queries as Q
+
+    rows = [(i, f"word w{i} é", "en", f"s{i % 3}", 9) for i in range(1, 60)] + [(70, "other", "en", "s3", 5), (71, None, "en", "s4", 0)]
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "Word"), (2, "e w58"), (3, None)], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen, real = [], Q.I.matching
+    monkeypatch.setattr(Q.I, "matching", lambda post, *a: seen.append(post.select("doc_id").distinct().count()) or real(post, *a))
+    got = sorted((r["query_id"], r["doc_id"]) for r in Q.j02(spark, str(tmp_path)).collect())
+    assert got == [(1, 57), (1, 58), (1, 59), (2, 57), (2, 58), (2, 59)] and seen == [4]
