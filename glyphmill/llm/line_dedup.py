@@ -74,17 +74,17 @@ def _overlap(n: Column, m: Column) -> Column:
 
 
 def _rarity(sets: DataFrame, size: int) -> tuple[Column, int]:
-    """Hashed counters of all words, as a binary literal of a byte for each: the logarithm.  Places in a binary
-    start at 1, and 0 is the same place, so the first two counters are one."""
-    bits = max(10, min(21, (max(1, size) // 64).bit_length()))
-    counts = sets.select(F.explode("h").alias("w")).groupBy(F.greatest(F.shiftright("w", KEY_BITS - bits).cast("int"), F.lit(1)).alias("b")).count().where("count > 1")
+    """Hashed counters of all words, a byte for each: the logarithm.  They are an array of binary literals of 4,096,
+    which plans name and do not print; one literal of 2 MB takes 4 MB of the driver in each description of a plan."""
+    bits = max(12, min(21, (max(1, size) // 64).bit_length()))
+    counts = sets.select(F.explode("h").alias("w")).groupBy(F.shiftright("w", KEY_BITS - bits).cast("int").alias("b")).count().where("count > 1")
     level = F.least(F.lit(LEVELS - 1), F.floor(F.log2("count") * STEPS)).cast("int")
     rows = counts.groupBy(F.shiftright("b", 12).alias("g")).agg(F.array_join(F.collect_list((F.col("b").bitwiseAND(4095) * LEVELS + level).cast("string")), ",").alias("s"))
     table = bytearray(LEVEL_BYTES[:1] * (1 << bits))
     for g, s in rows.toLocalIterator():
         for x in map(int, s.split(",")):
-            table[(g << 12) + x // LEVELS - 1] = LEVEL_BYTES[x % LEVELS]
-    return F.lit(bytes(table)), bits
+            table[(g << 12) + x // LEVELS] = LEVEL_BYTES[x % LEVELS]
+    return F.array(*(F.lit(bytes(table[i : i + 4096])) for i in range(0, len(table), 4096))), bits
 
 
 def _neighbours(sets: DataFrame, rare: Column, bits: int, turn: int) -> DataFrame:
@@ -92,7 +92,8 @@ def _neighbours(sets: DataFrame, rare: Column, bits: int, turn: int) -> DataFram
     parity bits; those of one turn of PASSES."""
 
     def coded(w: Column) -> Column:
-        return F.shiftleft(F.crc32(F.substring(rare, F.shiftright(w, KEY_BITS - bits).cast("int"), F.lit(1))), LOW_BITS).bitwiseXOR(w)
+        counter = F.shiftright(w, KEY_BITS - bits).cast("int")
+        return F.shiftleft(F.crc32(F.substring(F.get(rare, F.shiftright(counter, 12)), counter.bitwiseAND(4095) + 1, F.lit(1))), LOW_BITS).bitwiseXOR(w)
 
     n = F.size("o")
     pairs = F.greatest(F.least(n, F.floor(n / 2).cast("int") + 2) - 1, F.lit(1))  # no partner asks for a longer prefix; one word alone is its own key
