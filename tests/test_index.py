@@ -64,3 +64,21 @@ def test_heads_are_taken_before_queries_meet(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Q.I, "matching", lambda post, *a: seen.append(post.select("doc_id").distinct().count()) or real(post, *a))
     got = sorted((r["query_id"], r["doc_id"]) for r in Q.j02(spark, str(tmp_path)).collect())
     assert got == [(1, 57), (1, 58), (1, 59), (2, 57), (2, 58), (2, 59)] and seen == [4]
+
+
+def test_best_leave_the_tasks(spark, monkeypatch):
+    """Of all units that a query meets only the best and their ties leave a task; blocks of queries change nothing."""
+    monkeypatch.setattr(I.sums, "ASKED", 20)
+    monkeypatch.setattr(I.sums, "HELD", 300)
+    monkeypatch.setattr(I.sums, "GIVEN", 7)
+    units = spark.createDataFrame([(f"u{u:03}", u % 2, f"both w{u % 3} w{u % 7}" if u % 4 else "both w1 w1") for u in range(400)], "u string, v int, text string")
+    keys = ["u", "v"]
+    post, length = I.postings(units, keys), I.unit_lengths(units, keys)
+    asked = spark.createDataFrame([(q, w, False) for q in (None, *range(30)) for w in ("both", f"w{(q or 0) % 7}", "w1", "none")], "query_id int, item string, prefix boolean")
+    ranked = lambda df: sorted(map(tuple, I.top(df.withColumn("r9", F.round("rank", 9)), ["r9", *keys], 5).select("query_id", "place", *keys, "r9").collect()), key=repr)
+    want = I.bm25(I.matching(post, asked.where("query_id is not null"), keys), length, keys)
+    few = I.scored(post, asked, length, keys, 5).where("query_id is not null")
+    assert ranked(few) == ranked(want) and few.count() < want.count() / 3
+    some = units.where("v = 1").select(*keys)
+    assert ranked(I.scored(post, asked, length, keys, 5, some).where("query_id is not null")) == ranked(want.join(some, keys, "left_semi"))
+    assert I.scored(post, asked, length, keys, 5).where("query_id is null").count() >= 5
