@@ -63,3 +63,19 @@ def test_statuses_of_quotes(spark):
     assert lost["status"] == "not_found" and lost["doc_id"] == 2 and lost["ratio"] == brute("moss and stone", "moss und stone")[0]
     (other,) = [r for r in rows if r["query_id"] == 14]  # the document that had it is not among its targets
     assert other["status"] == "not_found"
+
+
+def test_plain_looks_each_character_up_once(monkeypatch):
+    """r12: a text is translated by a table; only new characters are told from their definition."""
+    asked = []
+    real = V.plain_character
+    monkeypatch.setattr(V, "TABLES", {loose: V.Plain(loose) for loose in (False, True)})
+    monkeypatch.setattr(V, "plain_character", lambda c, loose: asked.append(c) or real(c, loose))
+    text = "ﬁ­½  “A” …\x1c é" * 50
+    for loose in (False, True):
+        asked.clear()
+        out, places = V.plain(text, loose)
+        assert len(asked) == len(set(text))
+        pieces = [(x, i) for i, c in enumerate(text) for x in real(c, loose)]
+        firsts = [(x, i) for k, (x, i) in enumerate(pieces) if not (x.isspace() and k and pieces[k - 1][0].isspace())]
+        assert out == " ".join("".join(x for x, _ in pieces).split()) and places.tolist() == [i for _, i in firsts][: len(out)]
