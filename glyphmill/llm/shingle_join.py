@@ -19,7 +19,8 @@ frequent passages make.
 
 Candidates are found by group of equal signatures: each class is compared with one leader only, that with which it
 shares most signatures, then, in some rounds, one class of each component in a group with one of the group's
-largest; what still shares a signature across components after that is compared in full.  Pairs within a component
+largest; what still shares a signature across components after that is compared in full.  Of all these pairs only
+those go on whose parity bits differ in no more places than similar sets may differ in features.  Pairs within a component
 need no comparison; ``similar_classes`` returns all links instead.  All links are verified on whole sets.
 
 Defined results: null, empty or wordless texts have an empty set and link with nothing; texts of fewer
@@ -57,6 +58,12 @@ SECOND, FIRST_SHARE = 4, 0.65
 EQUAL_CHOICES = np.array([SECOND, 1, 0, 0])
 #: Choices of fewer features than this come last, the emptier the later; a power of two less one, told in the lowest bits.
 LIGHT = 3
+#: Parity bits of a set: so many for each of its features, a power of two within these bounds.
+BITS_EACH, LEAST_BITS, MOST_BITS = 8, 64, 1 << 15
+#: Bits of a set that are more than its features only repeat from here on.
+ENOUGH_BITS = 1024
+#: Pairs whose parity bits are compared at a time.
+TOLD = 1 << 16
 #: Features whose signatures one task takes.
 TASK_FEATURES = 1 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -452,47 +459,108 @@ def _near_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)
 
 
+def parity(features: np.ndarray) -> bytes:
+    """Bits turned by the features that fall on them.  Two sets differ in at least as many features as in bits."""
+    n = max(1, len(features))
+    width = 1 << (max(n, min(BITS_EACH * n, ENOUGH_BITS)) - 1).bit_length()
+    width = min(max(width, LEAST_BITS), MOST_BITS)
+    turned = np.bincount((features & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(turned.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, bits of each set (id, set)."""
+    for batch in batches:
+        col = batch.column(1)
+        ends, values = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        bits = [parity(values[ends[i] : ends[i + 1]]) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["doc", "bits"])
+
+
+class _Parity:
+    """Parity bits of the rows of a task; the wider of two is folded to the other's width."""
+
+    def __init__(self, columns: list[pa.Array]):
+        found = [_unpacked(c) for c in columns]
+        self.values = np.concatenate([v for v, _ in found])
+        self.width = np.concatenate([w for _, w in found]).astype(np.int64)
+        self.start = np.cumsum(self.width) - self.width
+
+    def _of(self, rows: np.ndarray, width: int, to: int) -> np.ndarray:
+        held = self.values[self.start[rows][:, None] + np.arange(width)]
+        return held if width == to else np.bitwise_xor.reduce(held.reshape(len(rows), width // to, to), axis=1)
+
+    def may_match(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Which pairs of rows x and y, sets of n and m features, do not differ in too many bits."""
+        out = np.zeros(len(x), dtype=bool)
+        most, wx, wy = most_differ(n, m), self.width[x], self.width[y]
+        for code in np.unique(wx << 32 | wy):
+            a, b = int(code) >> 32, int(code) & 0xFFFFFFFF
+            own = np.flatnonzero((wx == a) & (wy == b))
+            to = min(a, b)
+            step = max(1, TOLD * 16 // max(a, b))
+            for lo in range(0, len(own), step):
+                at = own[lo : lo + step]
+                other = np.bitwise_count(self._of(x[at], a, to) ^ self._of(y[at], b, to)).sum(axis=1, dtype=np.int64)
+                out[at] = other <= most[at]
+        return out
+
+
 def _pairs(step: int | None):
-    """Pairs to compare.  step 0: each document with the leader (smallest id) of its groups, with votes;
-    step k: in each group, one document of each component with one of the largest; None: all pairs across components."""
+    """Pairs to compare, as far as their parity bits allow.  step 0: each document with the leader (smallest id) of its
+    groups, with votes; step k: in each group, one document of each component with one of the largest; None: all pairs
+    across components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gather(batches, "doc", "n", "comp")
+        held = [b for b in batches if b.num_rows]
+        got = _gather(iter(held), "doc", "n", "comp")
         if got is None:
             return
         rows, sigs, row = got
+        bits = _Parity([b.column(b.schema.get_field_index("bits")) for b in held])
+        del held
         doc, n, comp = rows["doc"][row], rows["n"][row].astype(np.int64), rows["comp"][row]
         if step:  # of each component in a group one document, the same in all groups where it is
             chosen = mix(doc.view(np.uint64) + ODD[4:] * np.uint64(step))
             order = np.lexsort((chosen, comp, sigs))
-            sigs, doc, n, comp = sigs[order], doc[order], n[order], comp[order]
+            sigs, doc, n, comp, row = sigs[order], doc[order], n[order], comp[order], row[order]
             one = np.r_[True, (sigs[1:] != sigs[:-1]) | (comp[1:] != comp[:-1])]
             size = np.diff(np.r_[np.flatnonzero(one), len(sigs)])
-            sigs, doc, n, comp = sigs[one], doc[one], n[one], comp[one]
+            sigs, doc, n, comp, row = sigs[one], doc[one], n[one], comp[one], row[one]
             order = np.lexsort((comp, -size, sigs))  # the largest component leads
         else:
-            order = np.lexsort((doc, sigs))
-        sigs, doc, n, comp = sigs[order], doc[order], n[order], comp[order]
+            order = np.lexsort((doc, sigs) if step == 0 else (n, sigs))
+        sigs, doc, n, comp, row = sigs[order], doc[order], n[order], comp[order], row[order]
         first = _starts(sigs)
         counts = np.diff(np.r_[first, len(sigs)])
+
+        def likely(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            near = (doc[x] != doc[y]) & (comp[x] != comp[y]) & _near_sizes(n[x], n[y])
+            x, y = x[near], y[near]
+            near = bits.may_match(row[x], row[y], n[x], n[y])
+            return doc[x[near]], doc[y[near]]
+
         if step is not None:
-            lead = np.repeat(first, counts)
-            keep = (doc != doc[lead]) & (comp != comp[lead]) & _near_sizes(n, n[lead])
-            yield from _counted(doc[lead][keep], doc[keep])
+            yield from _counted(*likely(np.repeat(first, counts), np.arange(len(sigs))))
             return
         low, high = np.minimum.reduceat(comp, first), np.maximum.reduceat(comp, first)
+        last = np.repeat(np.where(low != high, first + counts, 0), counts)  # a group of one component has no pairs
         done: list[np.ndarray] = []
-        waiting = 0
-        for at, size in zip(first[low != high], counts[low != high], strict=True):
-            d, m, c = doc[at : at + size], n[at : at + size], comp[at : at + size]
-            for i in range(size - 1):
-                other = np.flatnonzero((c[i + 1 :] != c[i]) & _near_sizes(m[i + 1 :], m[i]) & (d[i + 1 :] != d[i])) + i + 1
-                if len(other):
-                    done.append(np.column_stack([np.minimum(d[i], d[other]), np.maximum(d[i], d[other])]))
-                    waiting += len(other)
+        waiting, apart = 0, 1
+        at = np.arange(len(sigs))
+        while True:  # the next in a group, then the one after it...; sizes rise, so some are done early
+            at = at[at + apart < last[at]]
+            at = at[_near_sizes(n[at], n[at + apart])]
+            if not len(at):
+                break
+            x, y = likely(at, at + apart)
+            if len(x):
+                done.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+                waiting += len(x)
             if waiting > 1_000_000:
                 done = [np.unique(np.concatenate(done), axis=0)]
                 waiting = len(done[0]) // 2
+            apart += 1
         if done:
             pairs = np.unique(np.concatenate(done), axis=0)
             yield from _counted(pairs[:, 0], pairs[:, 1])
@@ -572,10 +640,11 @@ def _live(units: DataFrame, buckets: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, buckets: int) -> DataFrame:
-    """bucket, doc, n, sigs: signatures of the classes to look up."""
+    """bucket, doc, n, sigs, bits: signatures of the classes to look up, and their parity bits."""
     # twice as many tasks as buckets, so that few tasks get several
     shared = sets.mapInArrow(_chosen(buckets), CHOSEN).repartition(2 * buckets, "bucket").mapInArrow(_shared, "doc long, band int, n int, p long, sigs binary")
-    return staged(shared.repartition(buckets, "doc").mapInArrow(_rarest(), "bucket int, doc long, n int, sigs binary"), "join-prefix")
+    rarest = shared.repartition(buckets, "doc").mapInArrow(_rarest(), "bucket int, doc long, n int, sigs binary")
+    return staged(rarest.join(sets.mapInArrow(_parities, "doc long, bits binary"), "doc").select("bucket", "doc", "n", "sigs", "bits"), "join-prefix")
 
 
 def _likely(sets: DataFrame, buckets: int) -> DataFrame:
@@ -590,7 +659,7 @@ def _round(step: int | None, prefix: DataFrame, labels: DataFrame | None, tested
     if labels is None:
         now = prefix.withColumn("comp", F.col("doc"))
     else:
-        now = prefix.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", "sigs", F.coalesce("label", "doc").alias("comp"))
+        now = prefix.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", "sigs", "bits", F.coalesce("label", "doc").alias("comp"))
     pairs = now.repartition(2 * buckets, "bucket").mapInArrow(_pairs(step), "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     if step == 0:  # one leader for each document, the one it shares most with
         best = F.max(F.struct("votes", (-F.col("a")).alias("a"))).alias("x")
