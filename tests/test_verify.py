@@ -79,3 +79,41 @@ def test_plain_looks_each_character_up_once(monkeypatch):
         pieces = [(x, i) for i, c in enumerate(text) for x in real(c, loose)]
         firsts = [(x, i) for k, (x, i) in enumerate(pieces) if not (x.isspace() and k and pieces[k - 1][0].isspace())]
         assert out == " ".join("".join(x for x, _ in pieces).split()) and places.tolist() == [i for _, i in firsts][: len(out)]
+
+
+def test_quotes_meet_all_documents_that_hold_them(spark):
+    """find_quotes against every pair: short and long fragments, several, marks, letters that fold to more, spaces."""
+    rng = random.Random(6)
+    many = texts() + ["ﬁne ½ “marks” — A B", "x" * 300, "\n\nold stone, old\nstone and older stone", None, "a…b", "퟿ z"]
+    whole = [t for t in many if t]
+    quotes = ["a", "…", "", "“”", "stone … older", "OLD STONE", "x" * 127, "x" * 200, "x" * 301, "FINE 1/2 \"marks\" - a b", "older … old", "Ünd", "und"]
+    for t in whole:
+        for size in (1, 2, 5, 31, 64, 130, 400):
+            at = rng.randrange(max(1, len(t) - size))
+            quotes += [t[at : at + size], t[at : at + size].upper(), t[at : at + size // 2] + " … " + t[at + size : at + 2 * size]]
+    docs = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")
+    asked = [(i, q) for i, q in enumerate([*quotes, quotes[0], None])]
+    rows = V.find_quotes(spark.createDataFrame(asked, "query_id long, quote string"), docs).collect()
+    wanted = [(i, d, *p, t.count("\n", 0, p[0]) + 1) for i, q in asked for d, t in enumerate(many) if (p := V.locate(t or "", q or ""))]
+    assert len(wanted) > 300 and sorted(map(tuple, rows)) == sorted(wanted)
+
+
+def test_blocks_of_quotes_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"common words here and number {i} there") for i in range(30)], "doc_id long, text string")
+    quotes = spark.createDataFrame([(i, f"number {i} there") for i in range(30)] + [(99, "common words")], "query_id long, quote string")
+    monkeypatch.setattr(V, "SENT", 4)
+    monkeypatch.setattr(V, "GIVEN", 3)
+    found = sorted((r["query_id"], r["doc_id"]) for r in V.find_quotes(quotes, docs).collect())
+    assert found == [(i, i) for i in range(30)] + [(99, i) for i in range(30)]
+
+
+def test_r12_looks_in_every_document(spark, tmp_path):
+    """r12: forty copies hold the quote; the 25 best-ranked documents are not all."""
+    rng = random.Random(7)
+    words = [f"w{n}" for n in range(400)]
+    one = " ".join(rng.choice(words) for _ in range(60))
+    rows = [(i, one if i < 40 else " ".join(rng.choice(words) for _ in range(60)), "en", "s", 1) for i in range(70)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = entry.queries()["r12_verify_quotes"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in out if r["query_id"] == 0 and r["status"] == "verified") == list(range(40))
+    assert {r["status"] for r in out if r["query_id"] == 50} <= {"verified", "not_found"} and any(r["query_id"] == 50 for r in out)
