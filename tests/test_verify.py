@@ -117,3 +117,20 @@ def test_r12_looks_in_every_document(spark, tmp_path):
     out = entry.queries()["r12_verify_quotes"](spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in out if r["query_id"] == 0 and r["status"] == "verified") == list(range(40))
     assert {r["status"] for r in out if r["query_id"] == 50} <= {"verified", "not_found"} and any(r["query_id"] == 50 for r in out)
+
+
+def test_bounds_by_order_spare_most_windows(monkeypatch):
+    """r12: windows are compared only while their bound is above the best; letters in any order spare few of them."""
+    rng = random.Random(8)
+    syllables = ["er", "an", "th", "in", "on", "ti", "he", "re", " "]
+    text = "".join(rng.choice(syllables) for _ in range(900))
+    quote = text[700:760].replace("e", "a").replace("n", "m")
+    compared = []
+    real = difflib.SequenceMatcher
+    monkeypatch.setattr(V.difflib, "SequenceMatcher", lambda *x: compared.append(1) or real(*x))
+    assert V.closest(text, quote) == brute(text, quote)
+    windows = len(compared) - len(range(0, len(V.plain(text, True)[0]) - 60 + 15, 15))  # brute compares all
+    assert 0 < windows < 20
+    for size in (1, 63, 64, 65, 200, 256, 257):
+        q = "".join(rng.choice(syllables) for _ in range(size))[:size]
+        assert V.closest(text, q) == brute(text, q)
