@@ -5,9 +5,9 @@ grouping and the first goes on.  Its words are ordered by rarity.  Two sets of n
 c = 3(n + m) / 7 words at least; the words that only one has, e = n + m - 2c at most, cannot part all of the first
 e + 2 shared words in the order, so two shared words stand side by side in both, within the first n - c + e + 2 and
 m - c + e + 2.  The join is on such neighbours: a line looks up each pair of neighbours of its prefix, which is
-far rarer than a word.  Length, prefix and positional filters hold for each pair of lines, and 64 parity bits of
-either set bound what they do not share; what is left is compared on words cut to 15 bits, which can only match more,
-and then verified on whole sets.  A line is removed if any line before it, in order of (document, line), is similar; of such lines
+far rarer than a word.  Length, prefix and positional filters hold for each pair of lines, and parity bits of
+either set bound what they do not share: 64 that each key carries to the first line of its key, and 256 (``_wide``)
+before any other two lines become a pair, since 64 say little of long lines.  What is left is verified on whole sets.  A line is removed if any line before it, in order of (document, line), is similar; of such lines
 all go, also those similar to a line that goes itself.
 
 Rarity: occurrences are counted over all sets in up to 2**21 counters, by hash of the word, and sent to the
@@ -36,7 +36,9 @@ from .common import LOWER, UPPER, free_name, release, staged, table
 
 NUMERATOR, DENOMINATOR = 75, 100
 #: Shares of the keys that are looked up one after another.
-PASSES = 2
+PASSES = 3
+#: Longs of parity bits that lines of one key are compared by.
+LONGS = 4
 #: Pairs that are broadcast to be verified, and settled lines that are; more are shuffled.
 MAX_BROADCAST_PAIRS = 1_000_000
 WORD, SPACES = r"[^\x20\x09-\x0D]", "\t\n\x0b\x0c\r"
@@ -108,6 +110,19 @@ def _parity(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int"))))
 
 
+def _wide(sets: DataFrame) -> DataFrame:
+    """at, n and LONGS columns of 64 parity bits: each word turns one of all these bits."""
+    turned = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("w").bitwiseAND(63).cast("int"))
+    own = [F.coalesce(F.bit_xor(F.when(F.shiftright("w", 6).bitwiseAND(LONGS - 1) == k, turned)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(LONGS)]
+    return sets.select("at", F.explode("h").alias("w")).groupBy("at").agg(F.count("*").cast("int").alias("n"), *own)
+
+
+def _few_differ(n: Column, m: Column, bits: list[str], bits2: list[str]) -> Column:
+    """A word that only one set has turns one bit at most: no more bits differ than words may."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(bits, bits2, strict=True)])
+    return differ <= n + m - _overlap(n, m) * 2
+
+
 def similar_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, h, line): the lines that stay."""
     base = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).where("text is not null")
@@ -134,19 +149,18 @@ def similar_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     size, place_in = lambda x: F.shiftright(x, 32), lambda x: F.col(x).bitwiseAND((1 << 32) - 1)
 
-    def similar(np: str, bits: str, np2: str, bits2: str) -> Column:
-        """The filters above; and a word that only one set has turns one bit at most."""
+    def similar(np: str, bits: list[str], np2: str, bits2: list[str]) -> Column:
+        """The filters above, and parity bits."""
         n, m = size(np), size(np2)
-        few_differ = F.bit_count(F.col(bits).bitwiseXOR(F.col(bits2))) <= n + m - _overlap(n, m) * 2
-        return may_match(n, place_in(np), m, place_in(np2)) & few_differ
+        return may_match(n, place_in(np), m, place_in(np2)) & _few_differ(n, m, bits, bits2)
 
     def met(turn: int) -> DataFrame:
         """Rows behind the first of their key: hit, if that line may be similar, and several, if others have the key too."""
         rows = _neighbours(sets, rare, bits, turn).repartition("t")
         # both read one exchange (a filter that asks for values that are not null would part them), and no side is sorted
         firsts = rows.groupBy("t").agg(F.min("at").alias("lead"), F.max("at").alias("last"), F.min_by("np", "at").alias("np2"), F.min_by("bits", "at").alias("bits2"), (F.count("*") > 2).alias("several"))
-        behind = rows.join(firsts.where(F.col("lead") < F.col("last")).hint("shuffle_hash"), "t").where(~F.col("at").eqNullSafe(F.col("lead"))).withColumn("hit", similar("np", "bits", "np2", "bits2"))
-        return staged(behind.where("hit or several").select("t", "at", "np", "bits", "lead", "hit", "several"), "lines-met")
+        behind = rows.join(firsts.where(F.col("lead") < F.col("last")).hint("shuffle_hash"), "t").where(~F.col("at").eqNullSafe(F.col("lead"))).withColumn("hit", similar("np", ["bits"], "np2", ["bits2"]))
+        return staged(behind.where("hit or several").select("t", "at", "np", "lead", "hit", "several"), "lines-met")
 
     parts = []
     for turn in range(PASSES):
@@ -154,40 +168,42 @@ def similar_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
         release(docs.sparkSession)
     behind = reduce(DataFrame.union, parts)
 
-    def enough(n: Column, m: Column, both: Column) -> Column:
-        return both * DENOMINATOR >= (n + m - both) * NUMERATOR
+    wide = staged(_wide(sets), "lines-wide")
+    ones, others = [f"b{k}" for k in range(LONGS)], [f"c{k}" for k in range(LONGS)]
+    renamed = dict(zip(ones, others, strict=True))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """x of the pairs (x, y) whose sets are similar.  Few pairs are sent to the lines, so these stay in place."""
+    def sent(pairs: DataFrame) -> DataFrame:
+        """Few pairs are sent to the lines, so these stay in place."""
+        return F.broadcast(pairs) if pairs.count() <= MAX_BROADCAST_PAIRS else pairs
 
-        def with_sets(pairs: DataFrame, words: Column) -> DataFrame:
-            sent = F.broadcast(pairs) if pairs.count() <= MAX_BROADCAST_PAIRS else pairs
-            xs = sent.join(sets.select(F.col("at").alias("x"), F.size("h").alias("n"), words.alias("a")), "x")
-            ys = sent.join(sets.select(F.col("at").alias("y"), F.size("h").alias("m"), words.alias("b")), "y")
-            return xs.join(ys, ["x", "y"])
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (x, y) that parity bits allow."""
+        both = sent(pairs).join(wide.withColumnRenamed("at", "x"), "x").join(wide.withColumnsRenamed({"at": "y", "n": "m"} | renamed), "y")
+        return staged(both.where(_few_differ(F.col("n"), F.col("m"), ones, others)).select("x", "y"), "lines-likely")
 
-        short = F.array_distinct(F.transform("h", lambda w: w.bitwiseAND((1 << 15) - 1).cast("short")))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """x of the pairs (x, y) whose sets are similar."""
+        told = sent(pairs)
+        xs = told.join(sets.select(F.col("at").alias("x"), F.size("h").alias("n"), F.col("h").alias("a")), "x")
+        ys = told.join(sets.select(F.col("at").alias("y"), F.size("h").alias("m"), F.col("h").alias("b")), "y")
         n, m, both = F.col("n"), F.col("m"), F.size(F.array_intersect("a", "b"))
-        # shared words that fall together in the short form are not more than a set's own that do
-        most = both + F.least(n - F.size("a"), m - F.size("b"))
-        likely = staged(with_sets(pairs, short).where(enough(n, m, most)).select("x", "y"), "lines-likely")
-        sure = staged(with_sets(likely, F.col("h")).where(enough(n, m, both)).select("x").distinct(), "lines-sure")
-        release(docs.sparkSession, likely)
-        return sure
+        return staged(xs.join(ys, ["x", "y"]).where(both * DENOMINATOR >= (n + m - both) * NUMERATOR).select("x").distinct(), "lines-sure")
 
     led = staged(behind.where("hit").select(F.col("at").alias("x"), F.col("lead").alias("y")).distinct(), "lines-led")
-    settled = verified(led)
-    rest = behind.where("several").select("t", "at", "np", "bits").repartition("t")  # both sides of the join read one exchange
+    close = likely(led)
+    settled = verified(close)
+    release(docs.sparkSession, close)
+    rest = behind.where("several").select("t", "at", "np").join(wide.drop("n").hint("shuffle_hash"), "at").repartition("t")  # both sides of the join read one exchange
     known = settled.select(F.col("x").alias("at"), F.lit(True).alias("settled"))
     if known.count() <= MAX_BROADCAST_PAIRS:
         known = F.broadcast(known)
-    earlier = rest.select("t", F.col("at").alias("y"), F.col("np").alias("np2"), F.col("bits").alias("bits2"))
-    more = rest.join(known, "at", "left").where(~F.coalesce("settled", F.lit(False))).join(earlier, "t").where((F.col("y") < F.col("at")) & similar("np", "bits", "np2", "bits2")).select(F.col("at").alias("x"), "y").distinct()
+    earlier = rest.select("t", F.col("at").alias("y"), F.col("np").alias("np2"), *(F.col(a).alias(b) for a, b in renamed.items()))
+    more = rest.join(known, "at", "left").where(~F.coalesce("settled", F.lit(False))).join(earlier, "t").where((F.col("y") < F.col("at")) & similar("np", ones, "np2", others)).select(F.col("at").alias("x"), "y").distinct()
     more = staged(more.join(led, ["x", "y"], "left_anti"), "lines-more")
     release(docs.sparkSession, *parts)
     surely = verified(more)
     near = staged(settled.union(surely).distinct(), "lines-near")
-    release(docs.sparkSession, sets, settled, surely, led, more)
+    release(docs.sparkSession, sets, wide, settled, surely, led, more)
     stay = first.join(near.select(F.col("x").alias("at")), "at", "left_anti")
     place = [F.shiftright("at", 26).alias("doc"), F.lit(None).cast("long").alias("h"), F.col("at").bitwiseAND((1 << 26) - 1).cast("int").alias("line")] if whole else ["at.doc", "at.h", "at.line"]
     stay = staged(stay.select(*place), "lines-stay")
